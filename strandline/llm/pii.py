@@ -108,13 +108,19 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
+def _disclosure(n: int, n_t: Column) -> Column:
+    """r(t, c) from the columns n_ct and n_c, for n texts of which n_t have the term."""
+    texts = F.lit(float(n))
+    return F.log2(F.col("n_ct") * texts / (F.col("n_c") * n_t)) / F.log2(texts / F.col("n_c"))
+
+
 def disclosures(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """Per text with terms that give an entity away: key, doc_id, terms, gone.
 
     ``docs`` has doc_id and a non-null text.  ``terms`` are all of a text's
     terms with r >= generalise_at, ``gone`` those with r >= REMOVE_AT.
     """
-    n = docs.count()
+    n = docs.select(F.xxhash64("text")).distinct().count()
     if not n:
         return docs.select("doc_id", F.xxhash64("text").alias("key"), F.array().cast("array<string>").alias("terms"), F.array().cast("array<string>").alias("gone"))
     held = docs.filter(F.col("text").rlike("[0-9@]")).select("text", F.explode(base_spans(F.col("text"))).alias("s"))
@@ -129,19 +135,20 @@ def disclosures(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at
         held.select(F.xxhash64(entity).alias("entity"), F.xxhash64("text").alias("key"), F.xxhash64(context).alias("ctx"), _terms(context).alias("terms")), "pii-near"
     )
     n_c = near.groupBy("entity", "key").agg(F.count(F.lit(1)).alias("rows")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    beside = near.groupBy("entity", "key", "ctx").agg(F.first("terms").alias("terms")).select("entity", "key", "ctx", F.explode("terms").alias("term"))
+    beside = near.select("entity", "key", "ctx", F.explode("terms").alias("term")).distinct()
     pairs = beside.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("contexts"), F.count_distinct("key").alias("n_ct"))
-    pairs = materialize(pairs.filter(F.col("contexts") >= min_contexts).join(n_c, "entity"), "pii-pairs")
+    pairs = pairs.filter(F.col("contexts") >= min_contexts).join(n_c.filter(F.col("n_c") < n), "entity")
+    # a term occurs in at least as many texts as it stands beside entities in, which bounds r from above:
+    # words that stand beside all sorts of entities are out before any text is searched for them
+    n_least = beside.groupBy("term").agg(F.count_distinct("key").alias("n_least"))
+    pairs = pairs.join(n_least, "term").filter(_disclosure(n, F.col("n_least")) >= generalise_at).drop("n_least")
+    pairs = materialize(pairs, "pii-pairs")
     # occurrences of the candidate terms in all texts: the candidates are a written table, so
     # Spark broadcasts them only where their size is under its threshold and shuffles otherwise
     words = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term"))
     hits = materialize(words.join(pairs.select("term").distinct(), "term", "left_semi"), "pii-hits")
     n_t = hits.select("key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    texts = F.lit(float(n))
-    r = F.log2(F.col("n_ct") * texts / (F.col("n_c") * F.col("n_t"))) / F.log2(texts / F.col("n_c"))
-    flagged = (
-        pairs.join(n_t, "term").filter(F.col("n_c") < n).groupBy("term").agg(F.max(r).alias("r")).filter(F.col("r") >= generalise_at)
-    )
+    flagged = pairs.join(n_t, "term").groupBy("term").agg(F.max(_disclosure(n, F.col("n_t"))).alias("r")).filter(F.col("r") >= generalise_at)
     flagged = materialize(flagged, "pii-terms")
     found = hits.join(flagged, "term").groupBy("doc_id", "key").agg(
         F.sort_array(F.collect_set("term")).alias("terms"), F.sort_array(F.collect_set(F.when(F.col("r") >= REMOVE_AT, F.col("term")))).alias("gone")
