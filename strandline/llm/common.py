@@ -127,3 +127,49 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     black[1:-1] = ~WHITE[data]
     edge = np.diff(black)
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+# ---- Arrow batches -------------------------------------------------------------
+
+
+def slices(batches, column: str, max_bytes: int = 4 << 20):
+    """Cut Arrow batches so that each piece holds about ``max_bytes`` of a column at most (one row at least)."""
+    import pyarrow as pa
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        sizes = np.zeros(n, np.int64)
+        col = batch.column(batch.schema.get_field_index(column))
+        if not pa.types.is_null(col.type):
+            import pyarrow.compute as pc
+
+            sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = 0
+        total = np.concatenate(([0], np.cumsum(sizes)))
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(total, total[at] + max_bytes, side="right")) - 1)
+            to = min(to, n)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string or binary column and its n+1 offsets; null is empty."""
+    import pyarrow as pa
+
+    col = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+    data = col.buffers()[2]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def add_columns(batch, columns: dict, drop: tuple = ()):
+    """A batch without ``drop`` and with the given Arrow arrays appended."""
+    import pyarrow as pa
+
+    names = [n for n in batch.schema.names if n not in drop and n not in columns]
+    arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    return pa.RecordBatch.from_arrays(arrays + list(columns.values()), names=names + list(columns))

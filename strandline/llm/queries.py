@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii
+from . import edit_embedding, html, language, mixing, pii, tiff, warc
 from .common import ship
 
 
@@ -21,8 +21,13 @@ def _shipped(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {f.__name__: _shipped(f) for f in (
+    warc.op1_warc,
     pii.op2_pii,
+    language.op5_language,
     mixing.op6_mixing,
+    html.op7_html,
+    tiff.op8_tiff,
+    edit_embedding.op10_fingerprint,
 )}
 
 ORACLES = {"op6_mixing": mixing.ORACLE}
