@@ -87,16 +87,14 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
     return state.select("source", F.col("prefix").alias("edge"), "below")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """doc_id, text, source -> doc_id, size, source_size, target, taken, copies.
+def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """(source, size, hash) -> one row a source: source_size, target, whole, edge, edge_in.
 
     A target of r times the source's size takes every document floor(r) times
-    and those under the hash threshold of the rest once more.  The documents
-    on the threshold itself are taken if that ends nearer to the target.
+    (``whole``) and those under the hash threshold ``edge`` of the rest once
+    more.  The documents on the threshold itself are taken (``edge_in``) if
+    that ends nearer to the target.
     """
-    sized = materialize(
-        docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("hash")), "mix-sized"
-    )
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sources, weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0)
@@ -109,20 +107,41 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: fl
         .agg(F.sum("size").alias("edge_size"))
     )
     g, e = goal.alias("g"), at_edge.alias("e")
-    plan = g.join(e, F.col("g.source").eqNullSafe(F.col("e.source")), "left").select(
-        "g.source", "source_size", "target", "whole", "edge",
-        (F.abs(F.col("below") + F.col("edge_size") + F.col("whole") * F.col("source_size") - F.col("target"))
-         < F.abs(F.col("below") + F.col("whole") * F.col("source_size") - F.col("target"))).alias("edge_in"),
-    )
-    plan = materialize(plan, "mix-plan")
-    s, p = sized.alias("s"), plan.alias("p")
-    more = F.coalesce((F.col("hash") < F.col("edge")) | ((F.col("hash") == F.col("edge")) & F.col("edge_in")), F.lit(True))
-    copies = F.least(F.col("whole") + more.cast("long"), F.lit(int(cap)))
+    taken = F.col("below") + F.col("whole") * F.col("source_size") - F.col("target")
+    edge_in = F.abs(taken + F.col("edge_size")) < F.abs(taken)
+    out = g.join(e, F.col("g.source").eqNullSafe(F.col("e.source")), "left")
+    return materialize(out.select("g.source", "source_size", "target", "whole", "edge", edge_in.alias("edge_in")), "mix-plan")
+
+
+def copies_of(hash_: Column, cap: float = CAP) -> Column:
+    """How often a document is taken, from its hash and its source's row of the plan."""
+    more = F.coalesce((hash_ < F.col("edge")) | ((hash_ == F.col("edge")) & F.col("edge_in")), F.lit(True))
+    return F.least(F.col("whole") + more.cast("long"), F.lit(int(cap)))
+
+
+def sized_of(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), hash_of(F.col("doc_id"), F.col("text")).alias("hash"))
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """(doc_id, text, source) -> doc_id, source, size, source_size, target, taken, copies."""
+    sized = materialize(sized_of(docs), "mix-sized")
+    s, p = sized.alias("s"), plan(sized, weights, share, cap).alias("p")
+    copies = copies_of(F.col("s.hash"), cap)
     return s.join(p, F.col("s.source").eqNullSafe(F.col("p.source"))).select(
-        "s.doc_id", "s.source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), "hash"
+        "s.doc_id", "s.source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
     )
 
 
+def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it; the plan is one row a source, and texts stay in place."""
+    rates = plan(materialize(sized_of(docs), "mix-sized"), weights, share, cap)
+    d, p = docs.alias("d"), rates.alias("p")
+    copies = copies_of(hash_of(F.col("d.doc_id"), F.col("d.text")), cap)
+    rows = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", copies.alias("__copies")).filter("__copies > 0")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__copy", "__copies")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_embedding, html, language, mixing, pii, tiff, warc
+from . import edit_embedding, html, language, minhash, mixing, pieces, pii, repeats, tiff, warc
 from .common import ship
 
 
@@ -23,10 +23,13 @@ def _shipped(f: Callable) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES = {f.__name__: _shipped(f) for f in (
     warc.op1_warc,
     pii.op2_pii,
+    pieces.op3_sentencepiece,
+    minhash.op4_minhash,
     language.op5_language,
     mixing.op6_mixing,
     html.op7_html,
     tiff.op8_tiff,
+    repeats.op9_repeats,
     edit_embedding.op10_fingerprint,
 )}
 
