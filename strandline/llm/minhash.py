@@ -381,6 +381,24 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, nume
     return both.mapInArrow(compare, "a binary, b binary")
 
 
+def busiest(pairs: DataFrame) -> DataFrame:
+    """For each class the pair with the candidate that is in most pairs, so that groups become stars."""
+    sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = sides.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    best = sides.join(degree, "b").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def across_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose classes are not yet in one component."""
+    labels = materialize(labels, "mh-labels")
+    out = pairs
+    for side in ("a", "b"):
+        own = labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+        out = out.join(own, side, "left")
+    return out.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 8, denominator: int = 10) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, cls, component_id: the least doc_id of a document's component."""
     spark = docs.sparkSession
@@ -388,7 +406,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 8, denomin
     reps = materialize(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig")), "mh-reps")
     pairs = materialize(candidates(reps), "mh-pairs")
     release(spark)
-    links = materialize(confirm(pairs, reps, docs, words, numerator, denominator), "mh-links")
+    # a class meets its busiest candidate first; what that links needs no second link, so of the
+    # other candidates only those between components are left to confirm
+    tried = materialize(busiest(pairs), "mh-tried")
+    links = materialize(confirm(tried, reps, docs, words, numerator, denominator), "mh-links")
+    release(spark)
+    rest = materialize(across_components(pairs, components(links)).join(tried, ["a", "b"], "left_anti"), "mh-rest")
+    links = links.unionByName(materialize(confirm(rest, reps, docs, words, numerator, denominator), "mh-links"))
     release(spark)
     labels = materialize(components(links), "mh-labels")
     # nulls come after all ids as a component's least
