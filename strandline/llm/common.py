@@ -55,6 +55,11 @@ def ship(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if REPO not in paths:
         env["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
+    # whole texts travel to Python: batches are bounded by bytes, and by rows where the rows are short
+    for key, default, value in (("maxRecordsPerBatch", "10000", "2000"), ("maxBytesPerBatch", None, str(4 << 20))):
+        name = f"spark.sql.execution.arrow.{key}"
+        if default is None or spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,7 +137,21 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---- Arrow batches -------------------------------------------------------------
 
 
-def slices(batches, column: str, max_bytes: int = 4 << 20):
+def trim() -> None:
+    """Give memory that this worker no longer uses back to the system; workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches, column: str, max_bytes: int = 1 << 20):
     """Cut Arrow batches so that each piece holds about ``max_bytes`` of a column at most (one row at least)."""
     import pyarrow as pa
 
@@ -153,6 +172,7 @@ def slices(batches, column: str, max_bytes: int = 4 << 20):
             to = min(to, n)
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 def utf8_buffer(column) -> tuple[np.ndarray, np.ndarray]:

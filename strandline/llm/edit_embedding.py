@@ -32,7 +32,7 @@ CLASSES, PERIOD = 64, 8192
 SEED = 20240229
 #: Below so many active texts a plain loop beats array steps.
 FEW = 40
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
 BANDS, BAND_WIDTH = 16, 4
 MAX_BUCKETS = 4096
 

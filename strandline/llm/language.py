@@ -176,7 +176,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]], keep: list[str] | N
         import pyarrow as pa
 
         m = model.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             pred, score = [UND] * len(texts), np.zeros(len(texts))
             if m:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SpanHash, materialize, mix64, release, shuffle_partitions, slices, table, utf8_buffer, word_spans
+from .common import LOWER, SpanHash, materialize, mix64, release, shuffle_partitions, slices, table, trim, utf8_buffer, word_spans
 from .components import components
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
@@ -284,6 +284,7 @@ def scan(batches):
         yield close(pending, True)
     if pairs:
         yield _pair_batch(pairs, schema)
+    trim()
 
 
 def candidates(reps: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ added columns replace input columns of the same name.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,8 @@ from .common import MIX1, add_columns, mix64, powers, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a process keeps; the table starts afresh when it is full.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 300_000
+PAIR_BITS = 20
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 BASE = 0xD6E8FEB86659FD93
@@ -70,13 +72,15 @@ class Pieces:
                 begins.setdefault(t[:k], -1)
             begins[t] = i if t in self.self_made else begins.get(t, -1)
         strings = list(begins)
-        keys = np.array([int(self._hash(np.array([list(map(ord, t))], np.uint64)).hash(0, len(t))[0]) for t in strings], np.uint64)
+        keys = np.array([int(self._hash(np.array([list(map(ord, t))], np.uint64).T).hash(0, len(t))[0]) for t in strings], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.array([begins[t] for t in strings], np.int64)[order]
+        self.keys, self.values = keys[order], np.array([begins[t] for t in strings], np.int32)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two beginnings of pieces share a hash")
         self.longest = max(map(len, self.ids))
-        self.pair_keys, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
+        # pairs seen so far: a direct-mapped memo before a dictionary
+        self.pair_keys, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        self.pairs: dict[int, bool] = {}
         self.fresh()
 
     def fresh(self) -> None:
@@ -99,16 +103,17 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     class _hash:
-        """Prefix hashes of rows of code points."""
+        """Prefix hashes of columns of code points: one row a position, so that a step reads whole rows."""
 
         def __init__(self, points: np.ndarray):
-            n = points.shape[1]
-            self.sums = np.zeros((points.shape[0], n + 1), np.uint64)
-            np.cumsum(mix64(points * MIX1 + np.uint64(7)) * powers(BASE, n), axis=1, out=self.sums[:, 1:])
+            n = points.shape[0]
+            self.sums = np.zeros((n + 1, points.shape[1]), np.uint64)
+            np.cumsum(mix64(points * MIX1 + np.uint64(7)) * powers(BASE, n)[:, None], axis=0, out=self.sums[1:])
             self.inverse = powers(INVERSE, n + 1)
 
-        def hash(self, start: int, end: int, rows=slice(None)) -> np.ndarray:
-            return (self.sums[rows, end] - self.sums[rows, start]) * self.inverse[start]
+        def hash(self, start: int, end: int, rows=None) -> np.ndarray:
+            a, b = self.sums[start], self.sums[end]
+            return ((b - a) if rows is None else (b.take(rows) - a.take(rows))) * self.inverse[start]
 
     def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether each pair of pieces encodes to itself; left -1 is a word's start or an unknown character."""
@@ -116,53 +121,61 @@ class Pieces:
         ask = np.flatnonzero(~out)
         if not len(ask):
             return out
-        keys = left[ask] * self.n + right[ask]
-        at = np.searchsorted(self.pair_keys, keys)
-        known = np.zeros(len(ask), bool)
-        inside = at < len(self.pair_keys)
-        known[inside] = self.pair_keys[at[inside]] == keys[inside]
-        if not known.all():
-            new = np.unique(keys[~known])
-            ok = []
-            for k in new.tolist():
-                a, b = self.text[k // self.n], self.text[k % self.n]
-                ok.append(self.merge(a + b) == [a, b])
-            where = np.searchsorted(self.pair_keys, new)
-            self.pair_keys = np.insert(self.pair_keys, where, new)
-            self.pair_ok = np.insert(self.pair_ok, where, ok)
-            at = np.searchsorted(self.pair_keys, keys)
-        out[ask] = self.pair_ok[at]
+        keys = left[ask].astype(np.int64) * self.n + right[ask]
+        slot = (keys.view(np.uint64) * np.uint64(BASE) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        ok = self.pair_ok.take(slot)
+        new = np.flatnonzero(self.pair_keys.take(slot) != keys)
+        if len(new):
+            ok[new] = list(map(self._pair, keys[new].tolist()))
+            self.pair_keys[slot[new]], self.pair_ok[slot[new]] = keys[new], ok[new]
+        out[ask] = ok
         return out
 
+    def _pair(self, key: int) -> bool:
+        known = self.pairs.get(key)
+        if known is None:
+            a, b = self.text[key // self.n], self.text[key % self.n]
+            known = self.pairs[key] = self.merge(a + b) == [a, b]
+        return known
+
     def viterbi(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(piece, length) by row and end position for words of one length; piece -1 marks an unknown character."""
-        m, n = points.shape
+        """(piece, length) by end position and word for words of one length; piece -1 marks an unknown character.
+
+        ``points`` has a row for each position and a column for each word.
+        """
+        n, m = points.shape
         h = self._hash(points)
-        score = np.full((m, n + 1), -1, np.int32)
-        score[:, 0] = 0
-        piece, back = np.full((m, n + 1), -1, np.int64), np.zeros((m, n + 1), np.int32)
+        score = np.full((n + 1, m), -1, np.int32)
+        score[0] = 0
+        piece, back = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)
+        top = len(self.keys) - 1
         for s in range(n):
-            rows = np.flatnonzero(score[:, s] >= 0)
+            rows, here, last = None, score[s], piece[s]
             for e in range(s + 1, min(n, s + self.longest) + 1):
                 key = h.hash(s, e, rows)
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                alive = self.keys[at] == key
-                if e == s + 1 and not alive.all():  # a character that is in no piece stands alone
-                    lone = rows[~alive]
-                    score[lone, e], piece[lone, e], back[lone, e] = score[lone, s] + 1, -1, 1
-                rows, found = rows[alive], self.values[at[alive]]
-                if not len(rows):
-                    break
+                at = np.minimum(np.searchsorted(self.keys, key), top)
+                alive = self.keys.take(at) == key
+                found = self.values.take(at)
+                if e == s + 1:  # a character that is no piece stands alone
+                    lone = np.flatnonzero(~alive | (found < 0))
+                    if len(lone):
+                        score[e][lone], back[e][lone] = here[lone] + 1, 1
+                if not alive.all():
+                    rows, found = (np.flatnonzero(alive) if rows is None else rows[alive]), found[alive]
+                    if not len(rows):
+                        break
                 is_piece = found >= 0
-                if e == s + 1 and not is_piece.all():
-                    lone = rows[~is_piece]
-                    score[lone, e], piece[lone, e], back[lone, e] = score[lone, s] + 1, -1, 1
+                if rows is None:
+                    rows = np.arange(m)
                 r, f = rows[is_piece], found[is_piece]
-                ok = self.may_follow(piece[r, s], f)
+                if not len(r):
+                    continue
+                ok = self.may_follow(last.take(r), f)
                 r, f = r[ok], f[ok]
-                better = score[r, s] + 1 > score[r, e]
-                r, f = r[better], f[better]
-                score[r, e], piece[r, e], back[r, e] = score[r, s] + 1, f, e - s
+                new = here.take(r) + 1
+                better = new > score[e].take(r)
+                r = r[better]
+                score[e][r], piece[e][r], back[e][r] = new[better], f[better], e - s
         return piece, back
 
     def learn(self, words: list[str]) -> None:
@@ -171,18 +184,18 @@ class Pieces:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for n, group in by_length.items():
-            step = max(1, (1 << 21) // (n + 1))
+            step = max(1, (1 << 19) // (n + 1))  # so a step's rows stay in the processor's cache
             for i in range(0, len(group), step):
                 self._learn(group[i : i + step], n)
 
     def _learn(self, group: list[str], n: int) -> None:
         points = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(group), n)
-        piece, back = self.viterbi(points.astype(np.uint64))
+        piece, back = self.viterbi(np.ascontiguousarray(points.T).astype(np.uint64))
         # walk back; each step yields one piece of every word that is not yet at its start
         at = np.full(len(group), n)
         rows, chunks = np.arange(len(group)), []
         while len(rows):
-            chunks.append((rows, at[rows] - back[rows, at[rows]], piece[rows, at[rows]]))
+            chunks.append((rows, at[rows] - back[at[rows], rows], piece[at[rows], rows]))
             at[rows] = chunks[-1][1]
             rows = rows[at[rows] > 0]
         row, pos, ids = (np.concatenate([c[k] for c in chunks]) for k in range(3))
@@ -235,7 +248,7 @@ class Pieces:
         if new:
             self.learn(sorted(new))
         get = self.words.__getitem__
-        number = np.fromiter((get(w) for words in split for w in words), np.int64)
+        number = np.fromiter(map(get, chain.from_iterable(split)), np.int64)
         counts = self.count[number]
         ends = np.concatenate(([0], np.cumsum(counts)))
         flat = self.flat[np.arange(ends[-1]) + np.repeat(self.start[number] - ends[:-1], counts)]
@@ -273,7 +286,7 @@ def encode(docs: DataFrame, model: bytes | None = None, keep: list[str] | None =
         import pyarrow as pa
 
         p = loaded(proto.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             texts = [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             flat, ends = p.encode(texts)
             cols = {"n_tokens": pa.array(np.diff(ends), pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))}

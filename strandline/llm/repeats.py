@@ -29,11 +29,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, materialize, mix64, release, shuffle_partitions, slices, table, utf8_buffer
+from .common import SpanHash, materialize, mix64, release, shuffle_partitions, slices, table, trim, utf8_buffer
 
 LENGTH, GRAM = 200, 50
 MOST_CONTEXTS = 4096
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 # ---- anchors -------------------------------------------------------------------
@@ -304,6 +304,7 @@ def compare_contexts(batches):
             pending = pending.slice(cut)
     if pending is not None and pending.num_rows:
         yield solve(pending)
+    trim()
 
 
 def count_windows(big: DataFrame) -> DataFrame:
