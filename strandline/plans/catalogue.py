@@ -1,36 +1,21 @@
-"""The registered queries: one for each operator, each with its DuckDB equivalent."""
+"""The registered queries: one for each operator, each with its DuckDB equivalent where SQL can express it."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import algebra, scalars  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES, query
 from .tables import load
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable:
-    """Register a query under its function's name."""
-
-    def add(f: Callable) -> Callable:
-        _QUERIES[f.__name__] = f
-        if oracle:
-            _ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+def queries() -> dict:
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return ORACLES
 
 
 @query("""
