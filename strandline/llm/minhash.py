@@ -39,7 +39,7 @@ SKETCH = 64
 #: Regions of so many classes at most are compared in full; in larger ones each class meets HUBS hubs and NEAR neighbours.
 SMALL, HUBS, NEAR = 48, 4, 3
 #: Sketch likeness from which a pair is confirmed on full sets, and from which one link stands for others (3 standard errors below and above 0.8).
-LIKE, STRONG = 0.62, 0.95
+LIKE, STRONG = 0.62, 0.94
 #: Rows of a region that a task compares at a time; the rest is a portion of its own, joined through its hubs.
 PORTION = 1 << 16
 
@@ -139,50 +139,72 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
-def region_pairs(keys: np.ndarray, sketches: np.ndarray, depth: int = LEAST_DEPTH):
-    """Candidate pairs (i, j) of one region: rows that share the first ``depth`` values, in sort order."""
+def region_pairs(keys: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int, int]]:
+    """Candidate pairs (i, j, tier) of one region, i < j: rows that share the first LEAST_DEPTH values, in sort order.
+
+    Tier 1 pairs each row with the best hub around it; the rest are of tier 2.
+    Rows that one hub leads, by likeness of STRONG or more, need no pair among themselves.
+    """
     m = len(keys)
-    if m < 2:
-        return
-    if m <= SMALL:
-        like = _alike(sketches[:, None], sketches[None])
-        leader = np.arange(m)
-        for i in range(m):  # a strong link to a leader stands for the links among those it leads
-            if leader[i] == i:
-                mine = np.flatnonzero((like[i] >= STRONG) & (np.arange(m) > i) & (leader == np.arange(m)))
-                leader[mine] = i
-                for j in mine.tolist():
-                    yield i, j
-        a, b = np.nonzero(np.triu((like >= LIKE) & (leader[:, None] != leader[None]), 1))
-        yield from zip(a.tolist(), b.tolist(), strict=True)
-        return
-    for hub in hubs(keys, sketches):
-        for j in np.flatnonzero(_alike(sketches, sketches[hub]) >= LIKE).tolist():
-            if j != hub:
-                yield min(hub, j), max(hub, j)
-    for d in range(1, NEAR + 1):
-        for i in np.flatnonzero(_alike(sketches[d:], sketches[:-d]) >= LIKE).tolist():
-            yield i, i + d
-    if depth < DEPTH:
-        cuts = np.concatenate(([0], np.flatnonzero(keys[1:, depth] != keys[:-1, depth]) + 1, [m]))
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            for i, j in region_pairs(keys[a:b], sketches[a:b], depth + 1):
-                yield a + i, a + j
-        return
-    # one signature, many classes: peel off what is near a hub, then take the hubs of the rest
-    left = np.arange(m)
-    while len(left) > SMALL:
-        gone = np.zeros(len(left), bool)
-        for hub in hubs(keys[left], sketches[left]):
-            near = _alike(sketches[left], sketches[left[hub]]) >= LIKE
-            for j in np.flatnonzero(near).tolist():
-                if j != hub:
-                    yield min(left[hub], left[j]), max(left[hub], left[j])
-            near[hub] = True
-            gone |= near
-        left = left[~gone]
-    for i, j in region_pairs(keys[left], sketches[left], depth):
-        yield left[i], left[j]
+    codes: list[np.ndarray] = []
+    led = np.full(m, -1)
+
+    def add(x, y, tier: int, free: bool = False) -> None:
+        keep = x != y if free else (x != y) & ((led[x] < 0) | (led[x] != led[y]))
+        x, y = x[keep], y[keep]
+        codes.append((np.minimum(x, y) * m + np.maximum(x, y)) * 4 + tier)
+
+    def lead(hub: int, like: np.ndarray, rows: np.ndarray) -> None:
+        led[hub] = hub if led[hub] < 0 else led[hub]
+        mine = rows[(like >= STRONG) & (led[rows] < 0)]
+        led[mine] = led[hub]
+
+    def descend(rows: np.ndarray, depth: int) -> None:
+        n = len(rows)
+        if n < 2:
+            return
+        own = sketches[rows]
+        if n <= SMALL:
+            like = _alike(own[:, None], own[None])
+            top = int(like.sum(axis=1).argmax())
+            near = like[top] >= LIKE
+            add(np.full(near.sum(), rows[top]), rows[near], 1, True)
+            lead(rows[top], like[top], rows)
+            x, y = np.nonzero(np.triu(like >= LIKE, 1))
+            add(rows[x], rows[y], 2)
+            return
+        heads = hubs(keys[rows], own)
+        like = np.stack([_alike(own, own[h]) for h in heads])
+        best = like.argmax(axis=0)
+        for k, h in enumerate(heads):
+            mine = (best == k) & (like[k] >= LIKE)
+            add(np.full(mine.sum(), rows[h]), rows[mine], 1, True)
+            lead(rows[h], np.where(best == k, like[k], 0), rows)
+        for k, h in enumerate(heads):
+            near = like[k] >= LIKE
+            add(np.full(near.sum(), rows[h]), rows[near], 2)
+        for d in range(1, NEAR + 1):
+            near = np.flatnonzero(_alike(own[d:], own[:-d]) >= LIKE)
+            add(rows[near], rows[near + d], 2)
+        if depth < DEPTH:
+            cuts = np.concatenate(([0], np.flatnonzero(keys[rows[1:], depth] != keys[rows[:-1], depth]) + 1, [n]))
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                descend(rows[a:b], depth + 1)
+            return
+        # one signature, many classes: peel off what is near a hub, then take the hubs of the rest
+        gone = (like >= LIKE).any(axis=0)
+        gone[heads] = True
+        descend(rows[~gone], depth)
+
+    descend(np.arange(m), LEAST_DEPTH)
+    if not codes:
+        return []
+    found = np.unique(np.concatenate(codes))
+    pair, tier = found >> 2, found & 3
+    first = np.ones(len(pair), bool)
+    first[1:] = pair[1:] != pair[:-1]  # the lower tier of each pair comes first
+    pair, tier = pair[first], tier[first]
+    return list(zip((pair // m).tolist(), (pair % m).tolist(), tier.tolist(), strict=True))
 
 
 def hubs(keys: np.ndarray, sketches: np.ndarray) -> list[int]:
@@ -193,7 +215,7 @@ def hubs(keys: np.ndarray, sketches: np.ndarray) -> list[int]:
     return np.argsort(-agree, kind="stable")[:HUBS].tolist()
 
 
-FOUND = "a binary, b binary, tree int, prefix binary, portion string, cls binary, key binary, sketch binary"
+FOUND = "a binary, b binary, tier int, tree int, prefix binary, portion string, cls binary, key binary, sketch binary"
 
 
 def forest_rows(reps: DataFrame) -> DataFrame:
@@ -210,19 +232,24 @@ def _columns(table_):
     return keys, sketches, table_.column("cls").to_pylist()
 
 
-def _pair_batch(pairs: list[tuple[bytes, bytes]], schema):
+def _pair_batch(pairs: dict[tuple[bytes, bytes], int], schema):
     import pyarrow as pa
 
     n = len(pairs)
-    low, high = [min(p) for p in pairs], [max(p) for p in pairs]
-    return pa.RecordBatch.from_arrays([pa.array(low, pa.binary()), pa.array(high, pa.binary()), *[pa.nulls(n, f.type) for f in list(schema)[2:]]], schema=schema)
+    head = [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int32())]
+    return pa.RecordBatch.from_arrays([*head, *[pa.nulls(n, f.type) for f in list(schema)[3:]]], schema=schema)
+
+
+def _note(pairs: dict[tuple[bytes, bytes], int], x: bytes, y: bytes, tier: int) -> None:
+    key = (x, y) if x < y else (y, x)
+    pairs[key] = min(tier, pairs.get(key, tier))
 
 
 def _found_schema():
     import pyarrow as pa
 
     b = pa.binary()
-    return pa.schema([("a", b), ("b", b), ("tree", pa.int32()), ("prefix", b), ("portion", pa.string()), ("cls", b), ("key", b), ("sketch", b)])
+    return pa.schema([("a", b), ("b", b), ("tier", pa.int32()), ("tree", pa.int32()), ("prefix", b), ("portion", pa.string()), ("cls", b), ("key", b), ("sketch", b)])
 
 
 def scan(batches):
@@ -237,12 +264,14 @@ def scan(batches):
     import pyarrow as pa
 
     schema, name = _found_schema(), uuid.uuid4().hex
-    number, pending, pairs = 0, None, []
+    number, pending = 0, None
+    pairs: dict[tuple[bytes, bytes], int] = {}  # of this partition so far; flushed when it grows
 
     def close(region, edge: bool):
         nonlocal number
         keys, sketches, cls = _columns(region)
-        pairs.extend((cls[i], cls[j]) for i, j in region_pairs(keys, sketches))
+        for i, j, tier in region_pairs(keys, sketches):
+            _note(pairs, cls[i], cls[j], tier)
         if edge:
             m = len(cls)
             rows = range(m) if m <= SMALL else sorted({*hubs(keys, sketches), *range(NEAR), *range(m - NEAR, m)})
@@ -251,7 +280,7 @@ def scan(batches):
             k = part.num_rows
             raw = part.column("key").to_pylist()
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), part.column("tree").combine_chunks().cast(pa.int32()), pa.array([x[: 2 * LEAST_DEPTH] for x in raw], pa.binary()),
+                [pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), part.column("tree").combine_chunks().cast(pa.int32()), pa.array([x[: 2 * LEAST_DEPTH] for x in raw], pa.binary()),
                  pa.array([f"{name}-{number}"] * k), *[pa.array(part.column(c).to_pylist(), pa.binary()) for c in ("cls", "key", "sketch")]], schema=schema,
             )
         return None
@@ -277,9 +306,9 @@ def scan(batches):
         if pending.num_rows >= PORTION:
             yield close(pending, True)
             pending, first = None, True
-        if len(pairs) >= 20_000:
+        if len(pairs) >= 100_000:
             yield _pair_batch(pairs, schema)
-            pairs = []
+            pairs.clear()
     if pending is not None and pending.num_rows:
         yield close(pending, True)
     if pairs:
@@ -288,7 +317,7 @@ def scan(batches):
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(cls, sig) of distinct classes -> candidate pairs (a, b) with a < b, each once."""
+    """(cls, sig) of distinct classes -> candidate pairs a < b, each once, and their tier."""
     spark = reps.sparkSession
     rows = forest_rows(reps)
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "tree", "key", "cls").sortWithinPartitions("tree", "key", "cls")
@@ -302,11 +331,15 @@ def candidates(reps: DataFrame) -> DataFrame:
 
         region = region.sort_by("key")
         keys, sketches, cls = _columns(region)
-        out = [_pair_batch([(cls[i], cls[j]) for i, j in region_pairs(keys, sketches) if cls[i] != cls[j]], _found_schema())]
+        pairs: dict[tuple[bytes, bytes], int] = {}
+        for i, j, tier in region_pairs(keys, sketches):
+            if cls[i] != cls[j]:
+                _note(pairs, cls[i], cls[j], tier)
+        out = [_pair_batch(pairs, _found_schema())]
         best = region.take(pa.array(hubs(keys, sketches), pa.int64()))
         k = best.num_rows
         out.append(pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), *[best.column(c).combine_chunks() for c in ("tree", "prefix")], pa.nulls(k, pa.string()),
+            [pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), *[best.column(c).combine_chunks() for c in ("tree", "prefix")], pa.nulls(k, pa.string()),
              *[best.column(c).combine_chunks() for c in ("cls", "key", "sketch")]], schema=_found_schema(),
         ))
         return pa.Table.from_batches(out)
@@ -320,16 +353,16 @@ def candidates(reps: DataFrame) -> DataFrame:
         schema = _found_schema()
         for batch in batches:
             own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SKETCH)
-            pairs = []
+            pairs: dict[tuple[bytes, bytes], int] = {}
             for cls, sketch, best in zip(batch.column(0).to_pylist(), own, batch.column(2).to_pylist(), strict=True):
                 for hub in best:
                     if hub["cls"] != cls and (np.frombuffer(hub["sketch"], np.uint8) == sketch).mean() >= LIKE:
-                        pairs.append((cls, hub["cls"]))
+                        _note(pairs, cls, hub["cls"], 1)
             yield _pair_batch(pairs, schema)
 
     met = members.select("cls", "sketch", "best").mapInArrow(meet, FOUND)
-    pairs = found.select("a", "b").unionByName(joined.select("a", "b")).unionByName(met.select("a", "b"))
-    return pairs.filter("a is not null and a != b").distinct()
+    pairs = found.select("a", "b", "tier").unionByName(joined.select("a", "b", "tier")).unionByName(met.select("a", "b", "tier"))
+    return pairs.filter("a is not null and a != b").groupBy("a", "b").agg(F.min("tier").alias("tier"))
 
 
 # ---- confirmation and components -----------------------------------------------------
@@ -382,14 +415,6 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, nume
     return both.mapInArrow(compare, "a binary, b binary")
 
 
-def busiest(pairs: DataFrame) -> DataFrame:
-    """For each class the pair with the candidate that is in most pairs, so that groups become stars."""
-    sides = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = sides.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    best = sides.join(degree, "b").groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def across_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose classes are not yet in one component."""
     labels = materialize(labels, "mh-labels")
@@ -407,12 +432,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 8, denomin
     reps = materialize(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig")), "mh-reps")
     pairs = materialize(candidates(reps), "mh-pairs")
     release(spark)
-    # a class meets its busiest candidate first; what that links needs no second link, so of the
+    # each class meets the hubs around it first; what they link needs no second link, so of the
     # other candidates only those between components are left to confirm
-    tried = materialize(busiest(pairs), "mh-tried")
-    links = materialize(confirm(tried, reps, docs, words, numerator, denominator), "mh-links")
+    links = materialize(confirm(pairs.filter("tier = 1"), reps, docs, words, numerator, denominator), "mh-links")
     release(spark)
-    rest = materialize(across_components(pairs, components(links)).join(tried, ["a", "b"], "left_anti"), "mh-rest")
+    rest = materialize(across_components(pairs.filter("tier = 2"), components(links)), "mh-rest")
     links = links.unionByName(materialize(confirm(rest, reps, docs, words, numerator, denominator), "mh-links"))
     release(spark)
     labels = materialize(components(links), "mh-labels")
