@@ -35,14 +35,13 @@ def first_parent_walk(parents: DataFrame, seeds: DataFrame, most: int = 10_000)
 
 def ancestors(parents: DataFrame, seeds: DataFrame, most_levels: int = 1_000_000) -> DataFrame:
     """(seed, id): everything each seed reaches, itself included; level by level, without what is known."""
-    known = written(seeds.select(F.col("id").alias("seed"), "id").distinct(), "anc")
-    frontier = known
+    frontier = known = written(seeds.select(F.col("id").alias("seed"), "id").distinct(), "anc")
     for _ in range(most_levels):
         step = frontier.join(parents, frontier["id"] == parents["commit_id"]).select("seed", F.col("parent_id").alias("id")).distinct()
         frontier = written(step.join(known, ["seed", "id"], "left_anti"), "anc")
         if frontier.isEmpty():
-            return known
-        known = written(known.unionByName(frontier), "anc")
+            break
+        known = known.unionByName(frontier)  # of written levels
     return known
 
 
@@ -163,3 +162,35 @@ def status(head: DataFrame, index: DataFrame, worktree: DataFrame) -> DataFrame:
 
     out = joined.select("path", change("h", "i").alias("index_change"), change("i", "w").alias("worktree_change"))
     return out.filter("index_change IS NOT NULL OR worktree_change IS NOT NULL")
+
+
+def revision_list(commits: DataFrame, parents: DataFrame, seeds: DataFrame, first_parent: bool = False, min_parents: int | None = None, max_parents: int | None = None,
+                  order: str = "date", reverse: bool = False, max_count: int | None = None) -> DataFrame:
+    """(id, epoch[, author_epoch, generation]) reached from the seeds, filtered, ordered and cut, with their position ``rn``.
+
+    ``order`` is ``date`` (committed), ``author-date`` or ``topo`` (by falling generation).  The count is cut before the
+    order is reversed, as a history is.
+    """
+    reached = first_parent_walk(parents, seeds).select("id").distinct() if first_parent else ancestors(parents, seeds).select("id").distinct()
+    counts = parents.groupBy(F.col("commit_id").alias("id")).agg(F.count(F.lit(1)).alias("n_parents"))
+    rows = commits.join(reached, "id", "left_semi").join(counts, "id", "left").withColumn("n_parents", F.coalesce("n_parents", F.lit(0)))
+    if min_parents is not None:
+        rows = rows.filter(F.col("n_parents") >= min_parents)
+    if max_parents is not None:
+        rows = rows.filter(F.col("n_parents") <= max_parents)
+    keys = {"date": ["epoch"], "author-date": ["author_epoch"], "topo": ["generation", "epoch"]}[order]
+    sort = [*[F.desc(k) for k in keys], F.desc("id")]
+    if max_count is not None:
+        rows = rows.orderBy(*sort).limit(max_count)
+    from .sequence import By, with_ordinal
+
+    return with_ordinal(rows, [By(F.col(k), not reverse) for k in [*keys, "id"]], "rn")
+
+
+def check_objects(objects: DataFrame, edges: DataFrame, sha256: bool = False) -> DataFrame:
+    """(id, type, content), (from_id, to_id) -> id, problem: contents that do not hash to their id, and targets that are missing."""
+    from ..functions.binary import object_id
+
+    wrong = objects.filter(object_id(F.col("type"), F.col("content"), sha256) != F.col("id")).select("id", F.lit("corrupt").alias("problem"))
+    missing = edges.select(F.col("to_id").alias("id")).distinct().join(objects.select("id"), "id", "left_anti").select("id", F.lit("missing").alias("problem"))
+    return wrong.unionByName(missing)

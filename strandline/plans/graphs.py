@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.durable import written
 from .registry import query
 from .tables import load
 
@@ -33,21 +34,21 @@ def _commits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 UNION ALL SELECT seed, e.parent_id, depth + 1 FROM w JOIN e ON e.commit_id = w.id AND parent_index = 0) SELECT id, CAST(depth AS BIGINT) AS depth, seed FROM w""")
 def rev_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-parent history of each user's latest commit."""
-    nodes, parents = _commits(spark, sf_dir)
+    nodes, parents = (written(x, "dag") for x in _commits(spark, sf_dir))
     return G.first_parent_walk(parents, nodes.groupBy("u").agg(F.max("id").alias("id")))
 
 
 @query(f"""WITH RECURSIVE {_DAG}, f(id, r) AS (SELECT id, 1 FROM n WHERE id NOT IN (SELECT commit_id FROM e)
 UNION SELECT e.commit_id, r + 1 FROM f JOIN e ON e.parent_id = f.id) SELECT id, CAST(max(r) AS BIGINT) AS generation FROM f GROUP BY id""")
 def generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, parents = _commits(spark, sf_dir)
+    nodes, parents = (written(x, "dag") for x in _commits(spark, sf_dir))
     return G.generations(nodes, parents)
 
 
 @query(f"""WITH RECURSIVE {_DAG}, f(id, t, r) AS (SELECT id, epoch, 0 FROM n
 UNION SELECT e.commit_id, f.t + 1, r + 1 FROM f JOIN e ON e.parent_id = f.id) SELECT id, CAST(max(t) AS BIGINT) AS corrected FROM f GROUP BY id""")
 def corrected_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, parents = _commits(spark, sf_dir)
+    nodes, parents = (written(x, "dag") for x in _commits(spark, sf_dir))
     return G.corrected_times(nodes, parents, G.generations(nodes, parents))
 
 
@@ -62,7 +63,7 @@ r(id) AS (SELECT max(id) FROM n WHERE u = (SELECT u + 1 FROM n ORDER BY id DESC
 SELECT (SELECT count(*) FROM l WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM r WHERE id IS NOT NULL)) AS ahead,
 (SELECT count(*) FROM r WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM l WHERE id IS NOT NULL)) AS behind""")
 def ahead_behind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, parents = _commits(spark, sf_dir)
+    nodes, parents = (written(x, "dag") for x in _commits(spark, sf_dir))
     last = nodes.orderBy(F.desc("id")).limit(1)
     other = nodes.join(F.broadcast(last.select((F.col("u") + 1).alias("u"))), "u").groupBy("u").agg(F.max("id").alias("id")).select("id")  # one row
     return G.ahead_behind(parents, last.select("id"), other)
@@ -214,3 +215,30 @@ def config_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layered configuration: the last setting of a key holds; a null subgroup is a key of its own."""
     c = load(spark, sf_dir, "events").select(F.lit("user").alias("grp"), F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("s"), F.col("event_id") % 4)).alias("sub"), F.col("event_type").alias("key"), F.col("event_id").alias("n"))
     return c.groupBy("grp", "sub", "key").agg(F.max("n").alias("line"))
+
+
+@query(f"""WITH RECURSIVE {_DAG}, r(id) AS (SELECT max(id) FROM n GROUP BY u HAVING u % 5 = 0 UNION SELECT parent_id FROM r JOIN e ON commit_id = id),
+c AS (SELECT n.id, n.epoch, (SELECT count(*) FROM e WHERE commit_id = n.id) AS n_parents FROM n WHERE n.id IN (SELECT id FROM r)),
+top AS (SELECT * FROM c WHERE n_parents >= 1 ORDER BY epoch DESC, id DESC LIMIT 32)
+SELECT id, CAST(row_number() OVER (ORDER BY epoch, id) - 1 AS BIGINT) AS rn FROM top""")
+def rev_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 latest commits with parents reached from some users' tips, oldest first."""
+    nodes, parents = (written(x, "dag") for x in _commits(spark, sf_dir))
+    tips = nodes.filter("u % 5 = 0").groupBy("u").agg(F.max("id").alias("id")).select("id")
+    return G.revision_list(nodes.select("id", "epoch"), parents, tips, min_parents=1, max_count=32, reverse=True).select("id", "rn")
+
+
+_BLOB = "sha1(encode('blob ' || octet_length(encode(text))) || '\\x00'::BLOB || encode(text))"
+
+
+@query(f"""SELECT id, 'corrupt' AS problem FROM (SELECT CASE WHEN doc_id % 17 = 0 THEN sha1(CAST(doc_id AS VARCHAR)) ELSE {_BLOB} END AS id, {_BLOB} AS real FROM documents) WHERE id <> real
+UNION ALL SELECT DISTINCT sha1('gone' || doc_id), 'missing' FROM documents WHERE doc_id % 13 = 0""")
+def fsck(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.binary import object_id
+
+    d = load(spark, sf_dir, "documents")
+    body = F.encode("text", "UTF-8")
+    id_ = F.when(F.col("doc_id") % 17 == 0, F.sha1(F.col("doc_id").cast("string").cast("binary"))).otherwise(object_id(F.lit("blob"), body))
+    objects = d.select(id_.alias("id"), F.lit("blob").alias("type"), body.alias("content"))
+    edges = d.filter("doc_id % 13 = 0").select(F.lit("x").alias("from_id"), F.sha1(F.concat(F.lit("gone"), "doc_id").cast("binary")).alias("to_id"))
+    return G.check_objects(objects, edges)

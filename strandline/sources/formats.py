@@ -487,3 +487,45 @@ def header_rows(text: str) -> dict[str, str]:
         key, _, value = line.partition(": ")
         out[key] = value
     return out
+
+
+def revision_file_rows(data: bytes, base=None) -> Iterator[tuple[str, bytes]]:
+    """(kind, text) of the representations of a revision file: PLAIN as they are, DELTA applied to ``base(revision, offset, length)`` or to nothing."""
+    from ..functions.diff import apply_window_delta
+
+    at = 0
+    while True:
+        m = re.compile(rb"^(PLAIN|DELTA(?: (\d+) (\d+) (\d+))?)\n", re.M).search(data, at)
+        if not m:
+            return
+        end = data.index(b"ENDREP\n", m.end())
+        raw = data[m.end() : end]
+        if m[1] == b"PLAIN":
+            yield "PLAIN", raw
+        else:
+            source = base(*(int(x) for x in m.groups()[1:])) if m[2] and base else b""
+            yield "DELTA", apply_window_delta(source, raw)
+        at = end + 7
+
+
+def http_response(data: bytes) -> dict:
+    """Status, headers (names in lower case) and body of a response; chunked and compressed bodies are undone."""
+    from ..functions.binary import http_dechunk_bytes, inflate_any
+
+    head, _, body = data.partition(b"\r\n\r\n")
+    first, *rest = head.decode("latin-1").split("\r\n")
+    headers: dict[str, str] = {}
+    for line in rest:
+        name, _, value = line.partition(":")
+        headers[name.strip().lower()] = value.strip()
+    if headers.get("transfer-encoding", "").lower() == "chunked":
+        body = http_dechunk_bytes(body)
+    coding = headers.get("content-encoding", "").lower()
+    if coding in ("gzip", "deflate"):
+        try:
+            body = inflate_any(body, "gzip" if coding == "gzip" else "zlib")
+        except zlib.error:
+            body = inflate_any(body, "deflate")
+    elif coding not in ("", "identity"):
+        raise ValueError(f"content coding {coding} is not supported")
+    return {"status": int(first.split(" ")[1]), "headers": headers, "body": body}

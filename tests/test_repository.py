@@ -130,3 +130,41 @@ def test_small_formats():
 def test_signed_commit_parts():
     body = b"tree " + b"a" * 40 + b"\nauthor A <a@b> 1 +0000\ncommitter A <a@b> 1 +0000\ngpgsig -----BEGIN\n line\n\nmessage\n"
     assert X.commit_row(body)["is_signed"] and b"gpgsig" not in X.signed_portion(body) and b" line" not in X.signed_portion(body)
+
+
+def test_revision_file_and_http():
+    delta = b"SVN\0" + bytes([0, 5, 6, 3, 1]) + bytes([5, 0, 2 << 6 | 1]) + b"!"
+    data = b"PLAIN\nK 1\nENDREP\nDELTA 3 10 20\n" + delta + b"ENDREP\nid: x\n"
+    assert list(X.revision_file_rows(data, lambda r, o, n: b"hello")) == [("PLAIN", b"K 1\n"), ("DELTA", b"hello!")]
+    import gzip
+
+    body = gzip.compress(b"hi")
+    raw = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n\r\n" + b"%x\r\n" % len(body) + body + b"\r\n0\r\n\r\n"
+    assert X.http_response(raw) == {"status": 200, "headers": {"content-encoding": "gzip", "transfer-encoding": "chunked"}, "body": b"hi"}
+
+
+def test_graph_files():
+    import struct
+
+    ids = [bytes([i]) * 20 for i in (1, 2, 3, 4)]
+    fan = b"".join(struct.pack(">I", sum(x[0] <= b for x in ids)) for b in range(256))
+    none, extra = 0x70000000, 0x80000000
+    rows = [(none, none, 1), (0, none, 2), (0, none, 2), (2, extra, 3)]
+    cdat = b"".join(b"\x09" * 20 + struct.pack(">IIII", a, b, g << 2, 1000 + g) for a, b, g in rows)
+    edge = struct.pack(">II", 1, extra | 0)
+    chunks = [(b"OIDF", fan), (b"OIDL", b"".join(ids)), (b"CDAT", cdat), (b"EDGE", edge), (b"GDA2", struct.pack(">4I", 0, 1, 2, 3))]
+    at, toc = 8 + 12 * (len(chunks) + 1), b""
+    for name, c in chunks:
+        toc += name + struct.pack(">Q", at)
+        at += len(c)
+    data = b"CGPH" + bytes([1, 1, len(chunks), 0]) + toc + b"\0\0\0\0" + struct.pack(">Q", at) + b"".join(c for _, c in chunks)
+    got = list(X.commit_graph_rows(data))
+    assert [(r["generation"], r["commit_time"], r["corrected_time"]) for r in got] == [(1, 1001, 1001), (2, 1002, 1003), (2, 1002, 1004), (3, 1003, 1006)]
+    assert got[3]["parent_ids"] == [ids[2].hex(), ids[1].hex(), ids[0].hex()] and got[0]["parent_ids"] == []
+    chunks = [(b"OIDF", fan), (b"OIDL", b"".join(ids)), (b"OOFF", struct.pack(">8I", 0, 12, 1, 40, 0, 99, 1, extra)), (b"PNAM", b"a.idx\0b.idx\0\0\0"), (b"LOFF", struct.pack(">Q", 1 << 33))]
+    at, toc = 12 + 12 * (len(chunks) + 1), b""
+    for name, c in chunks:
+        toc += name + struct.pack(">Q", at)
+        at += len(c)
+    data = b"MIDX" + bytes([1, 1, len(chunks), 0]) + struct.pack(">I", 2) + toc + b"\0\0\0\0" + struct.pack(">Q", at) + b"".join(c for _, c in chunks)
+    assert [(p, o) for _, p, o in X.multi_pack_rows(data)] == [("a.idx", 12), ("b.idx", 40), ("a.idx", 99), ("b.idx", 1 << 33)]
