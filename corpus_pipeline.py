@@ -23,11 +23,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, the one with the least doc_id, of each group of near copies (five words, 0.8)."""
     ship(spark)
-    found = materialize(minhash.near_duplicates(docs, words=5, numerator=8, denominator=10), "pipeline-near")
+    found = materialize(minhash.near_duplicates(docs, words=5, numerator=8, denominator=10), "pipeline-near", thin=True)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     # rows that share the id of their component's representative: one of them stays
     twice = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("doc_id")
-    gone, twice = materialize(gone.distinct(), "pipeline-gone"), materialize(twice, "pipeline-twice")
+    gone, twice = materialize(gone.distinct(), "pipeline-gone", thin=True), materialize(twice, "pipeline-twice", thin=True)
     kept = _without(docs, gone)
     several = docs.join(twice, docs["doc_id"].eqNullSafe(twice["doc_id"]), "left_semi")
     return _without(kept, twice).unionByName(_one_each(_without(several, gone)))

@@ -32,12 +32,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, thin: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage at files that outlive any executor.
+    This cuts the lineage at files that outlive any executor.  ``thin`` tables
+    (ids, links, counts) are written in as many files as the cluster has cores,
+    however many partitions the shuffle before them had.
     """
     spark = df.sparkSession
+    if thin:
+        df = df.coalesce(max(2, spark.sparkContext.defaultParallelism))
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

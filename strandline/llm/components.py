@@ -20,7 +20,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     path.  A node's neighbours are never gathered: minima are partial sums and
     the joins behind them are ones that Spark splits where a node is hot.
     """
-    edges = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    edges = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", thin=True)
     state = _state(edges)
     for _ in range(most_rounds):
         if not state[0]:
@@ -29,12 +29,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: the greater neighbours of a node go to its least one
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        large = materialize(large, "cc")
         # small star: the lesser neighbours of a node, and the node, go to its least one
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
-        edges = materialize(small, "cc")
+        edges = materialize(small, "cc", thin=True)
         now = _state(edges)
         if now == state:
             break

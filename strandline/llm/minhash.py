@@ -324,7 +324,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     found = materialize(ordered.mapInArrow(scan, FOUND), "mh-found")
     edges = found.filter("portion is not null")
     many = edges.groupBy("tree", "prefix").agg(F.count_distinct("portion").alias("n")).filter("n > 1").select("tree", "prefix")
-    parts = edges.join(materialize(many, "mh-many"), ["tree", "prefix"]).select("tree", "prefix", "cls", "key", "sketch")
+    parts = edges.join(materialize(many, "mh-many", thin=True), ["tree", "prefix"]).select("tree", "prefix", "cls", "key", "sketch")
 
     def across(region):
         import pyarrow as pa
@@ -345,9 +345,9 @@ def candidates(reps: DataFrame) -> DataFrame:
         return pa.Table.from_batches(out)
 
     # a region's portions hold SMALL rows at most each, and there are no more of them than partitions
-    joined = materialize(parts.groupBy("tree", "prefix").applyInArrow(across, FOUND), "mh-across")
+    joined = materialize(parts.groupBy("tree", "prefix").applyInArrow(across, FOUND), "mh-across", thin=True)
     best = joined.filter("tree is not null").groupBy("tree", "prefix").agg(F.collect_list(F.struct("cls", "sketch")).alias("best"))
-    members = rows.withColumn("prefix", F.expr(f"substring(key, 1, {2 * LEAST_DEPTH})")).join(materialize(best, "mh-best"), ["tree", "prefix"])
+    members = rows.withColumn("prefix", F.expr(f"substring(key, 1, {2 * LEAST_DEPTH})")).join(materialize(best, "mh-best", thin=True), ["tree", "prefix"])
 
     def meet(batches):
         schema = _found_schema()
@@ -417,7 +417,7 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, nume
 
 def across_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose classes are not yet in one component."""
-    labels = materialize(labels, "mh-labels")
+    labels = materialize(labels, "mh-labels", thin=True)
     out = pairs
     for side in ("a", "b"):
         own = labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
@@ -429,22 +429,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 8, denomin
     """(doc_id, text) -> doc_id, n_shingles, cls, component_id: the least doc_id of a document's component."""
     spark = docs.sparkSession
     signed = materialize(sign(docs, words), "mh-signed")
-    reps = materialize(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig")), "mh-reps")
-    pairs = materialize(candidates(reps), "mh-pairs")
+    reps = materialize(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig")), "mh-reps", thin=True)
+    pairs = materialize(candidates(reps), "mh-pairs", thin=True)
     release(spark)
     # each class meets the hubs around it first; what they link needs no second link, so of the
     # other candidates only those between components are left to confirm
     links = materialize(confirm(pairs.filter("tier = 1"), reps, docs, words, numerator, denominator), "mh-links")
     release(spark)
-    rest = materialize(across_components(pairs.filter("tier = 2"), components(links)), "mh-rest")
+    rest = materialize(across_components(pairs.filter("tier = 2"), components(links)), "mh-rest", thin=True)
     links = links.unionByName(materialize(confirm(rest, reps, docs, words, numerator, denominator), "mh-links"))
     release(spark)
-    labels = materialize(components(links), "mh-labels")
+    labels = materialize(components(links), "mh-labels", thin=True)
     # nulls come after all ids as a component's least
     least = labels.join(reps.select(F.col("cls").alias("node"), "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = labels.join(least, "label").select(F.col("node").alias("cls"), "component_id")
     owners = reps.select("cls", "doc_id").join(linked, "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
-    owners = materialize(owners, "mh-owners")
+    owners = materialize(owners, "mh-owners", thin=True)
     own = signed.select("doc_id", "n_shingles", "cls").join(owners, "cls", "left")
     return own.select("doc_id", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 

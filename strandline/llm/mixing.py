@@ -83,7 +83,7 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
             .agg(F.min(F.struct("bucket", "to", "size", "want")).alias("b"))
             .select("source", F.col("b.want").alias("want"), F.col("b.bucket").alias("prefix"), (F.col("b.to") - F.col("b.size")).alias("below"))
         )
-        state = materialize(cut, "mix-level")
+        state = materialize(cut, "mix-level", thin=True)
     return state.select("source", F.col("prefix").alias("edge"), "below")
 
 
@@ -98,7 +98,7 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(sources, weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(cap)))).otherwise(0)
-    goal = materialize(goal.select("*", whole.cast("long").alias("whole")), "mix-goal")
+    goal = materialize(goal.select("*", whole.cast("long").alias("whole")), "mix-goal", thin=True)
     want = goal.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("want"))
     edges = thresholds(sized, want)
     at_edge = (
@@ -110,7 +110,7 @@ def plan(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
     taken = F.col("below") + F.col("whole") * F.col("source_size") - F.col("target")
     edge_in = F.abs(taken + F.col("edge_size")) < F.abs(taken)
     out = g.join(e, F.col("g.source").eqNullSafe(F.col("e.source")), "left")
-    return materialize(out.select("g.source", "source_size", "target", "whole", "edge", edge_in.alias("edge_in")), "mix-plan")
+    return materialize(out.select("g.source", "source_size", "target", "whole", "edge", edge_in.alias("edge_in")), "mix-plan", thin=True)
 
 
 def copies_of(hash_: Column, cap: float = CAP) -> Column:

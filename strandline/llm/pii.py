@@ -142,18 +142,18 @@ def disclosures(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at
     # words that stand beside all sorts of entities are out before any text is searched for them
     n_least = beside.groupBy("term").agg(F.count_distinct("key").alias("n_least"))
     pairs = pairs.join(n_least, "term").filter(_disclosure(n, F.col("n_least")) >= generalise_at).drop("n_least")
-    pairs = materialize(pairs, "pii-pairs")
+    pairs = materialize(pairs, "pii-pairs", thin=True)
     # occurrences of the candidate terms in all texts: the candidates are a written table, so
     # Spark broadcasts them only where their size is under its threshold and shuffles otherwise
     words = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term"))
     hits = materialize(words.join(pairs.select("term").distinct(), "term", "left_semi"), "pii-hits")
     n_t = hits.select("key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     flagged = pairs.join(n_t, "term").groupBy("term").agg(F.max(_disclosure(n, F.col("n_t"))).alias("r")).filter(F.col("r") >= generalise_at)
-    flagged = materialize(flagged, "pii-terms")
+    flagged = materialize(flagged, "pii-terms", thin=True)
     found = hits.join(flagged, "term").groupBy("doc_id", "key").agg(
         F.sort_array(F.collect_set("term")).alias("terms"), F.sort_array(F.collect_set(F.when(F.col("r") >= REMOVE_AT, F.col("term")))).alias("gone")
     )
-    return materialize(found, "pii-found")
+    return materialize(found, "pii-found", thin=True)
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import SpanHash, materialize, mix64, release, shuffle_partitions, slices, table, trim, utf8_buffer
 
 LENGTH, GRAM = 200, 50
-MOST_CONTEXTS = 4096
+MOST_CONTEXTS = 256
 SLICE_BYTES = 1 << 20
 
 
@@ -331,13 +331,13 @@ def marks(docs: DataFrame) -> DataFrame:
     """key, first, last: ranges of starts of repeated windows in the texts that have no copy of themselves."""
     spark = docs.sparkSession
     stats = anchors(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).filter("n > 1")
-    stats = materialize(stats.select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "rep-anchors")
+    stats = materialize(stats.select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "rep-anchors", thin=True)
     release(spark)
     found = materialize(anchors(docs).join(stats, "anchor"), "rep-found")
     release(spark)
     differ = found.filter(~F.col("same")).groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("r"))
-    differ = materialize(differ.select("anchor", "around", "n", "r.key", "r.place"), "rep-differ")
-    big = materialize(differ.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > MOST_CONTEXTS).select("anchor"), "rep-big")
+    differ = materialize(differ.select("anchor", "around", "n", "r.key", "r.place"), "rep-differ", thin=True)
+    big = materialize(differ.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > MOST_CONTEXTS).select("anchor"), "rep-big", thin=True)
     around = materialize(contexts(differ, docs), "rep-contexts")
     release(spark)
     small = around.join(big, "anchor", "left_anti").repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor")
@@ -366,7 +366,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """key, text, copies, ranges for each distinct text: all windows of a text that has copies repeat."""
     texts = texts_by_key(docs)
     ranges = marks(docs).distinct().groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-    return texts.join(materialize(ranges, "rep-ranges"), "key", "left")
+    return texts.join(materialize(ranges, "rep-ranges", thin=True), "key", "left")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -233,7 +233,7 @@ def removed_by_force(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("most", [4096, 1])
+@pytest.mark.parametrize("most", [256, 1])
 def test_repeats(ship, tables, corpus, monkeypatch, most):
     monkeypatch.setattr(repeats, "MOST_CONTEXTS", most)
     got = queries.QUERIES["op9_repeats"](ship, tables["corpus"]).collect()
