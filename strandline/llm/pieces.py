@@ -30,7 +30,7 @@ from .common import MIX1, add_columns, mix64, powers, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words whose ids a process keeps; the table starts afresh when it is full.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 700_000
 PAIR_BITS = 20
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -77,6 +77,11 @@ class Pieces:
         self.keys, self.values = keys[order], np.array([begins[t] for t in strings], np.int32)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two beginnings of pieces share a hash")
+        # where each character of the lower planes stands among the keys; -1 where it begins no piece
+        points = np.arange(0x3000, dtype=np.uint64)[None]
+        one = self._hash(points).hash(0, 1)
+        at = np.minimum(np.searchsorted(self.keys, one), len(self.keys) - 1)
+        self.lone = np.where(self.keys[at] == one, at, -1)
         self.longest = max(map(len, self.ids))
         # pairs seen so far: a direct-mapped memo before a dictionary
         self.pair_keys, self.pair_ok = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
@@ -148,13 +153,17 @@ class Pieces:
         score = np.full((n + 1, m), -1, np.int32)
         score[0] = 0
         piece, back = np.full((n + 1, m), -1, np.int32), np.zeros((n + 1, m), np.int32)
-        top = len(self.keys) - 1
+        top, low = len(self.keys) - 1, bool((points < len(self.lone)).all())
         for s in range(n):
             rows, here, last = None, score[s], piece[s]
             for e in range(s + 1, min(n, s + self.longest) + 1):
-                key = h.hash(s, e, rows)
-                at = np.minimum(np.searchsorted(self.keys, key), top)
-                alive = self.keys.take(at) == key
+                if e == s + 1 and low:
+                    at = self.lone.take(points[s].astype(np.int64))
+                    alive = at >= 0
+                else:
+                    key = h.hash(s, e, rows)
+                    at = np.minimum(np.searchsorted(self.keys, key), top)
+                    alive = self.keys.take(at) == key
                 found = self.values.take(at)
                 if e == s + 1:  # a character that is no piece stands alone
                     lone = np.flatnonzero(~alive | (found < 0))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_embedding, html, language, minhash, mixing, pieces, pii, repeats, tiff, warc
+from . import edit_embedding, html, language, minhash, mixing, oracles, pieces, pii, repeats, tiff, warc
 from .common import ship
 
 
@@ -33,4 +33,4 @@ QUERIES = {f.__name__: _shipped(f) for f in (
     edit_embedding.op10_fingerprint,
 )}
 
-ORACLES = {"op6_mixing": mixing.ORACLE}
+ORACLES = {"op1_warc": oracles.WARC, "op4_minhash": oracles.MINHASH, "op6_mixing": mixing.ORACLE}
