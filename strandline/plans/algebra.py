@@ -69,11 +69,11 @@ def _nation_keys(spark: SparkSession, sf_dir: str) -> tuple[Sequence, Sequence]:
     c = seq(spark, sf_dir, "customer", "c_custkey")
     s = seq(spark, sf_dir, "supplier", "s_suppkey")
     a = Sequence(c.df.select("c_custkey", F.col("c_nationkey").alias("k")), ["c_custkey"])
-    b = Sequence(s.df.filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("k")), ["c_custkey"])
+    b = Sequence(s.df.filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("c_custkey"), F.col("s_nationkey").alias("k")), ["c_custkey"])
     return a, b
 
 
-_PAIR = "a AS (SELECT c_nationkey AS k FROM customer), b AS (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey % 2 = 0)"
+_PAIR = "a AS (SELECT c_nationkey AS k FROM customer), b AS (SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000)"
 
 
 @query(f"WITH {_PAIR} SELECT k FROM a UNION ALL SELECT k FROM b")
@@ -105,6 +105,7 @@ def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _at(spark, sf_dir).df.select("event_type").distinct()
 
 
+_SMALL, _LARGE, _DEAR = "p_size <= 20", "p_size > 20", "p_size >= 46 AND p_type = 'PROMO'"
 _CASED = "CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE lower(p_brand) END"
 
 
@@ -112,7 +113,7 @@ def _brands(spark: SparkSession, sf_dir: str, keep: str) -> Sequence:
     return Sequence(load(spark, sf_dir, "part").filter(keep).select("p_partkey", F.expr(_CASED).alias("brand")), ["p_partkey"])
 
 
-_BRANDS = f"p AS (SELECT p_partkey, {_CASED} AS brand FROM part)"
+_BRANDS = f"p AS (SELECT p_partkey, p_size, p_type, {_CASED} AS brand FROM part)"
 _FIRST = "SELECT p_partkey, brand FROM (SELECT *, row_number() OVER (PARTITION BY lower(brand) ORDER BY {order}) AS n FROM {src}) WHERE n = 1"
 
 
@@ -121,24 +122,24 @@ def distinct_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _brands(spark, sf_dir, "true").distinct(F.lower("brand")).df.select("p_partkey", "brand")
 
 
-@query(f"""WITH {_BRANDS}, u AS (SELECT 0 AS br, * FROM p WHERE p_partkey % 3 = 0 UNION ALL SELECT 1, * FROM p WHERE p_partkey % 3 = 1)
+@query(f"""WITH {_BRANDS}, u AS (SELECT 0 AS br, * FROM p WHERE {_SMALL} UNION ALL SELECT 1, * FROM p WHERE {_LARGE})
 {_FIRST.format(order="br, p_partkey", src="u")}""")
 def union_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _brands(spark, sf_dir, "p_partkey % 3 = 0"), _brands(spark, sf_dir, "p_partkey % 3 = 1")
+    a, b = _brands(spark, sf_dir, _SMALL), _brands(spark, sf_dir, _LARGE)
     return a.union(b, F.lower("brand")).df.select("p_partkey", "brand")
 
 
-@query(f"""WITH {_BRANDS}, a AS (SELECT * FROM p WHERE p_partkey % 3 = 0), f AS ({_FIRST.format(order="p_partkey", src="a")})
-SELECT * FROM f WHERE lower(brand) NOT IN (SELECT lower(brand) FROM p WHERE p_partkey % 97 = 1)""")
+@query(f"""WITH {_BRANDS}, a AS (SELECT * FROM p WHERE {_SMALL}), f AS ({_FIRST.format(order="p_partkey", src="a")})
+SELECT p_partkey, brand FROM f WHERE lower(brand) NOT IN (SELECT lower(brand) FROM p WHERE {_DEAR})""")
 def except_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _brands(spark, sf_dir, "p_partkey % 3 = 0"), _brands(spark, sf_dir, "p_partkey % 97 = 1")
+    a, b = _brands(spark, sf_dir, _SMALL), _brands(spark, sf_dir, _DEAR)
     return a.except_(b, F.lower("brand")).df.select("p_partkey", "brand")
 
 
-@query(f"""WITH {_BRANDS}, a AS (SELECT * FROM p WHERE p_partkey % 3 = 0), f AS ({_FIRST.format(order="p_partkey", src="a")})
-SELECT * FROM f WHERE lower(brand) IN (SELECT lower(brand) FROM p WHERE p_partkey % 97 = 1)""")
+@query(f"""WITH {_BRANDS}, a AS (SELECT * FROM p WHERE {_SMALL}), f AS ({_FIRST.format(order="p_partkey", src="a")})
+SELECT p_partkey, brand FROM f WHERE lower(brand) IN (SELECT lower(brand) FROM p WHERE {_DEAR})""")
 def intersect_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _brands(spark, sf_dir, "p_partkey % 3 = 0"), _brands(spark, sf_dir, "p_partkey % 97 = 1")
+    a, b = _brands(spark, sf_dir, _SMALL), _brands(spark, sf_dir, _DEAR)
     return a.intersect(b, F.lower("brand")).df.select("p_partkey", "brand")
 
 
@@ -203,9 +204,9 @@ def join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _orders(spark, sf_dir).join(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey"), F.col("c_custkey")).select("o_orderkey", "c_name")
 
 
-@query(f"""WITH {_BRANDS} SELECT a.p_partkey, b.p_partkey AS other FROM p a JOIN p b ON lower(a.brand) = lower(b.brand) WHERE a.p_partkey % 3 = 0 AND b.p_partkey % 97 = 1""")
+@query(f"""WITH {_BRANDS} SELECT a.p_partkey, b.p_partkey AS other FROM p a JOIN p b ON lower(a.brand) = lower(b.brand) WHERE a.p_size <= 20 AND b.p_size >= 46 AND b.p_type = 'PROMO'""")
 def join_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _brands(spark, sf_dir, "p_partkey % 3 = 0"), _brands(spark, sf_dir, "p_partkey % 97 = 1")
+    a, b = _brands(spark, sf_dir, _SMALL), _brands(spark, sf_dir, _DEAR)
     inner = b.df.select(F.col("p_partkey").alias("other"), F.col("brand").alias("other_brand"))
     return a.join(inner, F.col("brand"), F.col("other_brand"), equal=F.lower).select("p_partkey", "other")
 
@@ -218,9 +219,9 @@ def group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_BRANDS} SELECT p_partkey, coalesce(m, '') AS matches FROM p LEFT JOIN
-(SELECT lower(brand) AS k, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS m FROM p WHERE p_partkey % 97 = 1 GROUP BY 1) ON k = lower(brand) WHERE p_partkey % 3 = 0""")
+(SELECT lower(brand) AS k, string_agg(CAST(p_partkey AS VARCHAR), ',' ORDER BY p_partkey) AS m FROM p WHERE {_DEAR} GROUP BY 1) ON k = lower(brand) WHERE {_SMALL}""")
 def group_join_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _brands(spark, sf_dir, "p_partkey % 3 = 0"), _brands(spark, sf_dir, "p_partkey % 97 = 1")
+    a, b = _brands(spark, sf_dir, _SMALL), _brands(spark, sf_dir, _DEAR)
     return a.group_join(b, F.col("brand"), F.col("brand"), F.col("p_partkey"), equal=F.lower).select("p_partkey", _listed("matches").alias("matches"))
 
 

@@ -140,11 +140,11 @@ def ref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resolve_references(_refs(spark, sf_dir), most=8)
 
 
-@query("""SELECT 'refs/tags/' || o_orderkey AS name, sha1(CAST(o_orderkey AS VARCHAR)) AS id, CASE WHEN o_orderkey % 3 = 0 THEN sha1('target' || o_orderkey) ELSE sha1(CAST(o_orderkey AS VARCHAR)) END AS commit_id FROM orders""")
+@query("""SELECT 'refs/tags/' || o_orderkey AS name, sha1(CAST(o_orderkey AS VARCHAR)) AS id, CASE WHEN o_orderstatus = 'F' THEN sha1('target' || o_orderkey) ELSE sha1(CAST(o_orderkey AS VARCHAR)) END AS commit_id FROM orders""")
 def peel(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders")
     refs = o.selectExpr("concat('refs/tags/', o_orderkey) AS name", "sha1(CAST(o_orderkey AS STRING)) AS id")
-    tags = o.filter("o_orderkey % 3 = 0").selectExpr("sha1(CAST(o_orderkey AS STRING)) AS id", "sha1(concat('target', o_orderkey)) AS object_id")
+    tags = o.filter("o_orderstatus = 'F'").selectExpr("sha1(CAST(o_orderkey AS STRING)) AS id", "sha1(concat('target', o_orderkey)) AS object_id")
     return G.peel(refs, tags)
 
 
@@ -155,25 +155,25 @@ def abbrev_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resolve_prefixes(ids, ids.select(F.substring("id", 1, 3).alias("prefix")).distinct(), 3)
 
 
-@query("""WITH r AS (SELECT 'refs/tags/' || o_orderkey AS name, sha1(CAST(o_orderkey AS VARCHAR)) AS id, CASE WHEN o_orderkey % 3 = 0 THEN sha1('t' || (o_orderkey % 50)) ELSE sha1(CAST(o_orderkey AS VARCHAR)) END AS commit_id FROM orders)
+@query("""WITH r AS (SELECT 'refs/tags/' || o_orderkey AS name, sha1(CAST(o_orderkey AS VARCHAR)) AS id, CASE WHEN o_orderstatus = 'F' THEN sha1('t' || (o_orderkey % 50)) ELSE sha1(CAST(o_orderkey AS VARCHAR)) END AS commit_id FROM orders)
 SELECT DISTINCT sha1('t' || k) AS target, name FROM (SELECT unnest(range(50)) AS k) JOIN r ON sha1('t' || k) IN (id, commit_id)""")
 def refs_to_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders")
     refs = o.selectExpr("concat('refs/tags/', o_orderkey) AS name", "sha1(CAST(o_orderkey AS STRING)) AS id")
-    tags = o.filter("o_orderkey % 3 = 0").selectExpr("sha1(CAST(o_orderkey AS STRING)) AS id", "sha1(concat('t', o_orderkey % 50)) AS object_id")
+    tags = o.filter("o_orderstatus = 'F'").selectExpr("sha1(CAST(o_orderkey AS STRING)) AS id", "sha1(concat('t', o_orderkey % 50)) AS object_id")
     return G.references_to(refs, tags, spark.range(50).selectExpr("sha1(concat('t', id)) AS target"))
 
 
 # ---- scans over several sources, counts, pack indexes ----
 
 
-@query("""WITH s AS (SELECT 0 AS rank, 'loose' AS source, sha1(CAST(p_partkey AS VARCHAR)) AS id FROM part WHERE p_partkey % 2 = 0
-UNION ALL SELECT 1, 'pack', sha1(CAST(p_partkey AS VARCHAR)) FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 2, 'alternate', sha1(CAST(p_partkey AS VARCHAR)) FROM part)
+@query("""WITH s AS (SELECT 0 AS rank, 'loose' AS source, sha1(CAST(p_partkey AS VARCHAR)) AS id FROM part WHERE p_size < 25
+UNION ALL SELECT 1, 'pack', sha1(CAST(p_partkey AS VARCHAR)) FROM part WHERE p_size > 10 UNION ALL SELECT 2, 'alternate', sha1(CAST(p_partkey AS VARCHAR)) FROM part)
 SELECT id, arg_min(source, rank) AS source FROM s GROUP BY id""")
 def object_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of object sources; an id comes from the first source that has it."""
     p = load(spark, sf_dir, "part").select("p_partkey", F.sha1(F.col("p_partkey").cast("string").cast("binary")).alias("id"))
-    parts = [p.filter(keep).select("id", F.lit(rank).alias("rank"), F.lit(name).alias("source")) for rank, name, keep in ((0, "loose", "p_partkey % 2 = 0"), (1, "pack", "p_partkey % 3 = 0"), (2, "alternate", "true"))]
+    parts = [p.filter(keep).select("id", F.lit(rank).alias("rank"), F.lit(name).alias("source")) for rank, name, keep in ((0, "loose", "p_size < 25"), (1, "pack", "p_size > 10"), (2, "alternate", "true"))]
     return G.first_source(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["id"], F.col("rank")).select("id", "source")
 
 
@@ -193,8 +193,8 @@ def reverse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ordinal(ids, [By(F.col("p_partkey"))], "pack_position").select("id", "index_position", "pack_position")
 
 
-_STATUS = """h AS (SELECT c_custkey AS path, c_name AS id FROM customer WHERE c_custkey % 10 < 7), i AS (SELECT c_custkey AS path, CASE WHEN c_custkey % 6 = 0 THEN 'x' ELSE c_name END AS id FROM customer WHERE c_custkey % 10 < 9),
-w AS (SELECT c_custkey AS path, CASE WHEN c_custkey % 6 = 0 THEN 'x' WHEN c_custkey % 9 = 0 THEN 'y' ELSE c_name END AS id FROM customer WHERE c_custkey % 10 > 0)"""
+_STATUS = """h AS (SELECT c_custkey AS path, c_name AS id FROM customer WHERE c_acctbal < 7000), i AS (SELECT c_custkey AS path, CASE WHEN c_nationkey = 6 THEN 'x' ELSE c_name END AS id FROM customer WHERE c_acctbal < 9000),
+w AS (SELECT c_custkey AS path, CASE WHEN c_nationkey = 6 THEN 'x' WHEN c_nationkey = 9 THEN 'y' ELSE c_name END AS id FROM customer WHERE c_acctbal > 1000)"""
 
 
 @query(f"""WITH {_STATUS}, j AS (SELECT coalesce(h.path, i.path, w.path) AS path, h.id AS h, i.id AS i, w.id AS w FROM h FULL JOIN i ON h.path = i.path FULL JOIN w ON coalesce(h.path, i.path) = w.path)
@@ -203,9 +203,9 @@ CASE WHEN i IS NULL AND w IS NOT NULL THEN 'A' WHEN i IS NOT NULL AND w IS NULL
 WHERE (h IS NULL) <> (i IS NULL) OR h <> i OR (i IS NULL) <> (w IS NULL) OR i <> w""")
 def status(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = load(spark, sf_dir, "customer")
-    h = c.filter("c_custkey % 10 < 7").selectExpr("c_custkey AS path", "c_name AS id")
-    i = c.filter("c_custkey % 10 < 9").selectExpr("c_custkey AS path", "CASE WHEN c_custkey % 6 = 0 THEN 'x' ELSE c_name END AS id")
-    w = c.filter("c_custkey % 10 > 0").selectExpr("c_custkey AS path", "CASE WHEN c_custkey % 6 = 0 THEN 'x' WHEN c_custkey % 9 = 0 THEN 'y' ELSE c_name END AS id")
+    h = c.filter("c_acctbal < 7000").selectExpr("c_custkey AS path", "c_name AS id")
+    i = c.filter("c_acctbal < 9000").selectExpr("c_custkey AS path", "CASE WHEN c_nationkey = 6 THEN 'x' ELSE c_name END AS id")
+    w = c.filter("c_acctbal > 1000").selectExpr("c_custkey AS path", "CASE WHEN c_nationkey = 6 THEN 'x' WHEN c_nationkey = 9 THEN 'y' ELSE c_name END AS id")
     return G.status(h, i, w)
 
 
@@ -217,28 +217,28 @@ def config_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("grp", "sub", "key").agg(F.max("n").alias("line"))
 
 
-@query(f"""WITH RECURSIVE {_DAG}, r(id) AS (SELECT max(id) FROM n GROUP BY u HAVING u % 5 = 0 UNION SELECT parent_id FROM r JOIN e ON commit_id = id),
+@query(f"""WITH RECURSIVE {_DAG}, r(id) AS (SELECT max(id) FROM n GROUP BY u UNION SELECT parent_id FROM r JOIN e ON commit_id = id),
 c AS (SELECT n.id, n.epoch, (SELECT count(*) FROM e WHERE commit_id = n.id) AS n_parents FROM n WHERE n.id IN (SELECT id FROM r)),
 top AS (SELECT * FROM c WHERE n_parents >= 1 ORDER BY epoch DESC, id DESC LIMIT 32)
 SELECT id, CAST(row_number() OVER (ORDER BY epoch, id) - 1 AS BIGINT) AS rn FROM top""")
 def rev_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 32 latest commits with parents reached from some users' tips, oldest first."""
+    """The 32 latest commits with parents reached from the users' tips, oldest first."""
     nodes, parents = (written(x, "dag") for x in _commits(spark, sf_dir))
-    tips = nodes.filter("u % 5 = 0").groupBy("u").agg(F.max("id").alias("id")).select("id")
+    tips = nodes.groupBy("u").agg(F.max("id").alias("id")).select("id")
     return G.revision_list(nodes.select("id", "epoch"), parents, tips, min_parents=1, max_count=32, reverse=True).select("id", "rn")
 
 
 _BLOB = "sha1(encode('blob ' || octet_length(encode(text))) || '\\x00'::BLOB || encode(text))"
 
 
-@query(f"""SELECT id, 'corrupt' AS problem FROM (SELECT CASE WHEN doc_id % 17 = 0 THEN sha1(CAST(doc_id AS VARCHAR)) ELSE {_BLOB} END AS id, {_BLOB} AS real FROM documents) WHERE id <> real
-UNION ALL SELECT DISTINCT sha1('gone' || doc_id), 'missing' FROM documents WHERE doc_id % 13 = 0""")
+@query(f"""SELECT id, 'corrupt' AS problem FROM (SELECT CASE WHEN source = 'src3' THEN sha1(CAST(doc_id AS VARCHAR)) ELSE {_BLOB} END AS id, {_BLOB} AS real FROM documents) WHERE id <> real
+UNION ALL SELECT DISTINCT sha1('gone' || doc_id), 'missing' FROM documents WHERE lang = 'de'""")
 def fsck(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.binary import object_id
 
     d = load(spark, sf_dir, "documents")
     body = F.encode("text", "UTF-8")
-    id_ = F.when(F.col("doc_id") % 17 == 0, F.sha1(F.col("doc_id").cast("string").cast("binary"))).otherwise(object_id(F.lit("blob"), body))
+    id_ = F.when(F.col("source") == "src3", F.sha1(F.col("doc_id").cast("string").cast("binary"))).otherwise(object_id(F.lit("blob"), body))
     objects = d.select(id_.alias("id"), F.lit("blob").alias("type"), body.alias("content"))
-    edges = d.filter("doc_id % 13 = 0").select(F.lit("x").alias("from_id"), F.sha1(F.concat(F.lit("gone"), "doc_id").cast("binary")).alias("to_id"))
+    edges = d.filter("lang = 'de'").select(F.lit("x").alias("from_id"), F.sha1(F.concat(F.lit("gone"), "doc_id").cast("binary")).alias("to_id"))
     return G.check_objects(objects, edges)

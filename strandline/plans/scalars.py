@@ -262,17 +262,17 @@ def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", D.has_changes(F.col("c")).alias("has_changes"), D.similarity(F.col("c")).alias("similarity"))
 
 
-@query("""WITH a AS (SELECT l_orderkey || '/' || l_linenumber AS path, l_quantity AS v FROM lineitem WHERE l_orderkey % 10 < 8),
-b AS (SELECT l_orderkey || '/' || l_linenumber AS path, l_quantity + CASE WHEN l_orderkey % 5 = 0 THEN 1 ELSE 0 END AS v FROM lineitem WHERE l_orderkey % 10 > 1)
+@query("""WITH a AS (SELECT l_orderkey || '/' || l_linenumber AS path, l_quantity AS v FROM lineitem WHERE l_discount < 0.08),
+b AS (SELECT l_orderkey || '/' || l_linenumber AS path, l_quantity + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS v FROM lineitem WHERE l_discount > 0.01)
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS change
 FROM (SELECT path, min(v) AS v FROM a GROUP BY path) a FULL OUTER JOIN (SELECT path, min(v) AS v FROM b GROUP BY path) b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.v <> b.v""")
 def path_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Added, deleted and modified paths between two snapshots."""
     items = load(spark, sf_dir, "lineitem")
     path = F.concat_ws("/", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("path")
-    a = items.filter("l_orderkey % 10 < 8").groupBy(path).agg(F.min("l_quantity").alias("v"))
-    more = F.col("l_quantity") + F.when(F.col("l_orderkey") % 5 == 0, 1).otherwise(0)
-    b = items.filter("l_orderkey % 10 > 1").groupBy(path).agg(F.min(more).alias("w"))
+    a = items.filter("l_discount < 0.08").groupBy(path).agg(F.min("l_quantity").alias("v"))
+    more = F.col("l_quantity") + F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    b = items.filter("l_discount > 0.01").groupBy(path).agg(F.min(more).alias("w"))
     both = a.withColumn("l", F.lit(True)).join(b.withColumn("r", F.lit(True)), "path", "full")
     change = F.when(F.col("l").isNull(), "added").when(F.col("r").isNull(), "deleted").otherwise("modified")
     return both.filter(F.col("l").isNull() | F.col("r").isNull() | (F.col("v") != F.col("w"))).select("path", change.alias("change"))
