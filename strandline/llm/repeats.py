@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import SpanHash, materialize, mix64, release, shuffle_partitions, slices, table, trim, utf8_buffer
 
 LENGTH, GRAM = 200, 50
-MOST_CONTEXTS = 256
+MOST_CONTEXTS = 4096
 SLICE_BYTES = 1 << 20
 
 
@@ -116,7 +116,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def rank(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_ = keys[order]
     out = np.empty(len(keys), np.int64)
     out[order] = np.cumsum(np.concatenate(([0], sorted_[1:] != sorted_[:-1])))
@@ -197,11 +197,33 @@ def _runs(mask: np.ndarray):
 
 
 def repeated_windows(contexts: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each context, which of its first ``counts[i]`` windows equal another window of the contexts."""
+    """For each context, which of its first ``counts[i]`` windows equal another window of the contexts.
+
+    Contexts none of whose windows shares a hash with another cannot have such
+    windows; the rest go into the suffix array, which compares bytes.
+    """
+    sizes = np.array([len(c) + 1 for c in contexts])
+    begin = np.cumsum(sizes) - sizes
+    n = np.array(counts)
+    data = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
+    starts = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+    h = SpanHash(data).spans(starts, starts + length)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    some = np.flatnonzero(np.add.reduceat(twice, np.cumsum(n) - n) > 0)
+    out = [np.zeros(k, bool) for k in counts]
+    if len(some):
+        for i, mask in zip(some.tolist(), _compared([contexts[i] for i in some.tolist()], [counts[i] for i in some.tolist()], length), strict=True):
+            out[i] = mask
+    return out
+
+
+def _compared(contexts: list[bytes], counts: list[int], length: int) -> list[np.ndarray]:
     sizes = np.array([len(c) + 1 for c in contexts])
     begin = np.cumsum(sizes) - sizes
-    symbols = np.zeros(int(sizes.sum()), np.int16)
-    symbols[:] = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
+    symbols = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int16)
     symbols += 1
     symbols[begin + sizes - 1] = 0
     n = np.array(counts)
