@@ -529,3 +529,36 @@ def http_response(data: bytes) -> dict:
     elif coding not in ("", "identity"):
         raise ValueError(f"content coding {coding} is not supported")
     return {"status": int(first.split(" ")[1]), "headers": headers, "body": body}
+
+
+def pack_bitmap_types(data: bytes, size: int = 20) -> dict[str, list[int]]:
+    """Pack positions of commits, trees, blobs and tags in a bitmap file."""
+    if data[:4] != b"BITM":
+        raise ValueError("not a bitmap file")
+    at, out = 12 + size, {}
+    for kind in ("commit", "tree", "blob", "tag"):
+        out[kind], _, at = ewah_bits(data, at)
+    return out
+
+
+def included(rows: list[tuple[str, str | None, str, str | None]], git_dir: str, home: str) -> Iterator[str]:
+    """Paths that a configuration includes, always or for this repository's folder."""
+    import fnmatch
+    import os
+
+    for group, subgroup, key, value in rows:
+        if key != "path" or not value:
+            continue
+        if group == "includeif":
+            kind, _, pattern = (subgroup or "").partition(":")
+            if kind not in ("gitdir", "gitdir/i"):
+                continue
+            fold = str.lower if kind.endswith("/i") else str
+            pattern = pattern.replace("~/", home.rstrip("/") + "/", 1) if pattern.startswith("~/") else pattern
+            pattern = pattern if pattern.startswith("/") else "**/" + pattern
+            pattern = pattern + "**" if pattern.endswith("/") else pattern
+            if not fnmatch.fnmatch(fold(git_dir.rstrip("/") + "/"), fold(pattern)) and not fnmatch.fnmatch(fold(git_dir), fold(pattern)):
+                continue
+        elif group != "include":
+            continue
+        yield os.path.expanduser(value) if value.startswith("~/") else value

@@ -85,6 +85,9 @@ class RepositoryReader(DataSourceReader):
             return [Part("reflog", os.path.join(d, n), os.path.relpath(os.path.join(d, n), at("logs"))) for d, _, names in os.walk(at("logs")) for n in names] or [Part("none", "")]
         if self.table in ("config", "index_entries", "commit_graph", "multi_pack_index"):
             path = {"config": at("config"), "index_entries": at("index"), "commit_graph": at("objects", "info", "commit-graph"), "multi_pack_index": at("objects", "pack", "multi-pack-index")}[self.table]
+            chain = at("objects", "info", "commit-graphs", "commit-graph-chain")
+            if self.table == "commit_graph" and not os.path.exists(path) and os.path.exists(chain):
+                return [Part("commit_graph_chain", chain)]
             return [Part(self.table if os.path.exists(path) else "none", path)]
         packs = [p for f in self._object_folders() if os.path.isdir(os.path.join(f, "pack")) for n in sorted(os.listdir(os.path.join(f, "pack"))) if (p := os.path.join(f, "pack", n))]
         if self.table == "pack_index":
@@ -174,7 +177,16 @@ class RepositoryReader(DataSourceReader):
             yield part.value, n, old, new, None if who is None else tuple(who.values()), reason
 
     def _config(self, part):
-        yield from X.config_rows(_read(part.path).decode("utf-8", "replace"))
+        """Settings in file order, an included file's where it is included; the last setting of a key holds."""
+        yield from self._settings(part.path, 0)
+
+    def _settings(self, path: str, depth: int):
+        for row in X.config_rows(_read(path).decode("utf-8", "replace")):
+            yield row
+            for more in X.included([row], self.root, os.path.expanduser("~")):
+                more = os.path.join(os.path.dirname(path), more)
+                if depth < 10 and os.path.exists(more):
+                    yield from self._settings(more, depth + 1)
 
     def _index_entries(self, part):
         for e in X.directory_rows(_read(part.path), X.id_bytes(self.algorithm)):
@@ -188,6 +200,14 @@ class RepositoryReader(DataSourceReader):
         for r in X.commit_graph_rows(_read(part.path)):
             yield tuple(r.values())
 
+    def _commit_graph_chain(self, part):
+        """Layers from the oldest on; a layer's positions count on from those below it."""
+        below: list[str] = []
+        for name in _read(part.path).decode().split():
+            rows = list(X.commit_graph_rows(_read(os.path.join(os.path.dirname(part.path), f"graph-{name}.graph")), below))
+            yield from (tuple(r.values()) for r in rows)
+            below += [r["id"] for r in rows]
+
     def _multi_pack_index(self, part):
         yield from X.multi_pack_rows(_read(part.path))
 
@@ -196,3 +216,48 @@ def load(spark, path: str, table: str, algorithm: str = "sha1"):
     """A table of the repository at ``path``."""
     spark.dataSource.register(RepositorySource)
     return spark.read.format("repository").option("table", table).option("algorithm", algorithm).load(path)
+
+
+# ---- views over the tables ----
+
+
+def visible_refs(refs):
+    """References without the stash."""
+    return refs.filter("name != 'refs/stash'")
+
+
+def branches(refs):
+    return refs.filter("name LIKE 'refs/heads/%'")
+
+
+def tags(refs, tag_objects):
+    """Lightweight and annotated tags: name, object the reference holds, object it stands for, and the annotation."""
+    from pyspark.sql import functions as F
+
+    t = tag_objects.select(F.col("id").alias("tag_id"), F.col("object_id"), "message", "tagger")
+    own = refs.filter("name LIKE 'refs/tags/%'")
+    return own.join(t, F.col("id") == F.col("tag_id"), "left").select("name", "id", F.coalesce("object_id", "peeled_id", "id").alias("object_id"), "message", "tagger")
+
+
+def stashes(reflog):
+    """Entries of the stash, latest first by ``position``."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    own = reflog.filter("ref_name = 'refs/stash'")
+    return own.select("*", (F.row_number().over(Window.partitionBy("ref_name").orderBy(F.desc("seq"))) - 1).cast("long").alias("position"))
+
+
+def settings(config):
+    """The setting that holds of each key, by the order of the rows within the file."""
+    from pyspark.sql import functions as F
+
+    numbered = config.withColumn("n", F.monotonically_increasing_id())  # one partition: the file
+    return numbered.groupBy("group", "subgroup", "key").agg(F.max_by(F.struct("value"), "n").alias("v")).select("group", "subgroup", "key", F.col("v.value").alias("value"))
+
+
+def remotes(config):
+    from pyspark.sql import functions as F
+
+    own = settings(config).filter("`group` = 'remote' AND subgroup IS NOT NULL")
+    return own.groupBy(F.col("subgroup").alias("name")).agg(F.max(F.when(F.col("key") == "url", F.col("value"))).alias("url"))

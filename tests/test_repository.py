@@ -168,3 +168,28 @@ def test_graph_files():
         at += len(c)
     data = b"MIDX" + bytes([1, 1, len(chunks), 0]) + struct.pack(">I", 2) + toc + b"\0\0\0\0" + struct.pack(">Q", at) + b"".join(c for _, c in chunks)
     assert [(p, o) for _, p, o in X.multi_pack_rows(data)] == [("a.idx", 12), ("b.idx", 40), ("a.idx", 99), ("b.idx", 1 << 33)]
+
+
+def test_bitmap_types():
+    sets = [{0, 3}, {1, 70}, {2}, set()]
+    data = b"BITM" + b"\0\1\0\1" + b"\0\0\0\0" + b"\7" * 20 + b"".join(X.ewah_encode(s, 71) for s in sets)
+    assert X.pack_bitmap_types(data) == {"commit": [0, 3], "tree": [1, 70], "blob": [2], "tag": []}
+
+
+def test_views(spark, repo, tmp_path):
+    path, refs = repo
+    table = R.load(spark, path, "refs")
+    assert {r["name"] for r in R.branches(table).collect()} >= {"refs/heads/master", "refs/heads/side"}
+    assert [(r["name"], r["object_id"]) for r in R.tags(table, R.load(spark, path, "tag_objects")).collect()] == [("refs/tags/v0.1", refs["refs/heads/side"])]
+    root = W.init(str(tmp_path))
+    (tmp_path / "more").write_text('[remote "up"]\n\turl = second\n')
+    with open(os.path.join(root, "config"), "a") as f:
+        f.write(f'[remote "up"]\n\turl = first\n\tfetch = x\n[include]\n\tpath = {tmp_path}/more\n[includeIf "gitdir:/nowhere/"]\n\tpath = {tmp_path}/more\n')
+    config = R.load(spark, str(tmp_path), "config")
+    assert [tuple(r) for r in R.remotes(config).collect()] == [("up", "second")]
+    log = os.path.join(root, "logs/refs/stash")
+    os.makedirs(os.path.dirname(log))
+    with open(log, "w") as f:
+        f.write(f"{'0' * 40} {'a' * 40} {WHO}\tWIP one\n{'a' * 40} {'b' * 40} {WHO}\tWIP two\n")
+    rows = {r["position"]: r["reason"] for r in R.stashes(R.load(spark, str(tmp_path), "reflog")).collect()}
+    assert rows == {0: "WIP two", 1: "WIP one"}
