@@ -37,7 +37,7 @@ TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 HASHES = TREES * DEPTH
 SKETCH = 64
 #: Regions of so many classes at most are compared in full; in larger ones each class meets HUBS hubs and NEAR neighbours.
-SMALL, HUBS, NEAR = 48, 4, 3
+SMALL, HUBS, NEAR = 64, 4, 3
 #: Sketch likeness from which a pair is confirmed on full sets, and from which one link stands for others (3 standard errors below and above 0.8).
 LIKE, STRONG = 0.62, 0.94
 #: Rows of a region that a task compares at a time; the rest is a portion of its own, joined through its hubs.
@@ -187,15 +187,19 @@ def region_pairs(keys: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int,
             near = np.flatnonzero(_alike(own[d:], own[:-d]) >= LIKE)
             add(rows[near], rows[near + d], 2)
         if depth < DEPTH:
-            cuts = np.concatenate(([0], np.flatnonzero(keys[rows[1:], depth] != keys[rows[:-1], depth]) + 1, [n]))
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                descend(rows[a:b], depth + 1)
+            value = keys[rows, depth]
+        elif depth < DEPTH + SKETCH:
+            # a whole signature in common: go on by the values of the sketch, from another one in each region
+            value = own[:, (depth + turn) % SKETCH]
+            order = np.argsort(value, kind="stable")
+            rows, value = rows[order], value[order]
+        else:
             return
-        # one signature, many classes: peel off what is near a hub, then take the hubs of the rest
-        gone = (like >= LIKE).any(axis=0)
-        gone[heads] = True
-        descend(rows[~gone], depth)
+        cuts = np.concatenate(([0], np.flatnonzero(value[1:] != value[:-1]) + 1, [n]))
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            descend(rows[a:b], depth + 1)
 
+    turn = int(keys[0, 0]) if m else 0
     descend(np.arange(m), LEAST_DEPTH)
     if not codes:
         return []
