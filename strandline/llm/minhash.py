@@ -37,9 +37,9 @@ TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 HASHES = TREES * DEPTH
 SKETCH = 64
 #: Regions of so many classes at most are compared in full; in larger ones each class meets HUBS hubs and NEAR neighbours.
-SMALL, HUBS, NEAR = 64, 4, 3
+SMALL, HUBS, NEAR = 40, 4, 3
 #: Sketch likeness from which a pair is confirmed on full sets, and from which one link stands for others (3 standard errors below and above 0.8).
-LIKE, STRONG = 0.62, 0.94
+LIKE, STRONG = 0.64, 0.94
 #: Rows of a region that a task compares at a time; the rest is a portion of its own, joined through its hubs.
 PORTION = 1 << 16
 
