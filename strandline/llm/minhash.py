@@ -8,11 +8,14 @@ in full is descended deeper, prefix by prefix.  Candidates of a region are
 
 * all pairs where it has few classes,
 * each class with the region's hubs (the classes nearest to its consensus
-  signature) and its neighbours in sort order where it has many,
+  signature) and its neighbours in sort order where it has many.
 
-so they grow with the classes and not with the square of a region.  Candidates
-whose 64-value sketches are alike are confirmed on full shingle sets, and
-linked documents form components.
+Candidates whose 64-value sketches are alike are confirmed on full shingle
+sets, and linked documents form components.  What a crowded region has left
+unlinked is then joined exactly: two alike classes share one of the first
+shingles of both in a common order, so the classes of crowded regions meet by
+these where their components differ, without a sketch and without a bound on
+the pairs.
 
 Two classes of similarity 0.8 share four values of a tree with probability
 0.41, and of at least one tree with 0.9998.
@@ -36,8 +39,10 @@ from .components import components
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 HASHES = TREES * DEPTH
 SKETCH = 64
-#: Regions of so many classes at most are compared in full; in larger ones each class meets HUBS hubs and NEAR neighbours.
-SMALL, HUBS, NEAR = 40, 4, 3
+#: Regions of so many classes at most are compared in full; in larger ones each class meets HUBS hubs and NEAR neighbours first and the rest by shingles.
+SMALL, HUBS, NEAR = 80, 4, 3
+#: Buckets by which shingles are counted, so that rare ones come first in the order of the exact join.
+RARITY = 1 << 16
 #: Sketch likeness from which a pair is confirmed on full sets, and from which one link stands for others (3 standard errors below and above 0.8).
 LIKE, STRONG = 0.64, 0.94
 #: Rows of a region that a task compares at a time; the rest is a portion of its own, joined through its hubs.
@@ -219,6 +224,7 @@ def hubs(keys: np.ndarray, sketches: np.ndarray) -> list[int]:
     return np.argsort(-agree, kind="stable")[:HUBS].tolist()
 
 
+#: A candidate pair; or a class of a crowded region, in a alone; or a row of a portion.
 FOUND = "a binary, b binary, tier int, tree int, prefix binary, portion string, cls binary, key binary, sketch binary"
 
 
@@ -244,6 +250,14 @@ def _pair_batch(pairs: dict[tuple[bytes, bytes], int], schema):
     return pa.RecordBatch.from_arrays([*head, *[pa.nulls(n, f.type) for f in list(schema)[3:]]], schema=schema)
 
 
+def _crowded_batch(classes: set[bytes]):
+    import pyarrow as pa
+
+    schema = _found_schema()
+    n = len(classes)
+    return pa.RecordBatch.from_arrays([pa.array(list(classes), pa.binary()), *[pa.nulls(n, f.type) for f in list(schema)[1:]]], schema=schema)
+
+
 def _note(pairs: dict[tuple[bytes, bytes], int], x: bytes, y: bytes, tier: int) -> None:
     key = (x, y) if x < y else (y, x)
     pairs[key] = min(tier, pairs.get(key, tier))
@@ -270,10 +284,13 @@ def scan(batches):
     schema, name = _found_schema(), uuid.uuid4().hex
     number, pending = 0, None
     pairs: dict[tuple[bytes, bytes], int] = {}  # of this partition so far; flushed when it grows
+    crowded: set[bytes] = set()
 
     def close(region, edge: bool):
         nonlocal number
         keys, sketches, cls = _columns(region)
+        if len(cls) > SMALL:
+            crowded.update(cls)
         for i, j, tier in region_pairs(keys, sketches):
             _note(pairs, cls[i], cls[j], tier)
         if edge:
@@ -313,15 +330,23 @@ def scan(batches):
         if len(pairs) >= 100_000:
             yield _pair_batch(pairs, schema)
             pairs.clear()
+        if len(crowded) >= 100_000:
+            yield _crowded_batch(crowded)
+            crowded.clear()
     if pending is not None and pending.num_rows:
         yield close(pending, True)
     if pairs:
         yield _pair_batch(pairs, schema)
+    if crowded:
+        yield _crowded_batch(crowded)
     trim()
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """(cls, sig) of distinct classes -> candidate pairs a < b, each once, and their tier."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cls, sig) of distinct classes -> candidate pairs a < b, each once, and their tier; and the classes (cls) of crowded regions.
+
+    Classes of a region in several portions count as crowded, too.
+    """
     spark = reps.sparkSession
     rows = forest_rows(reps)
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "tree", "key", "cls").sortWithinPartitions("tree", "key", "cls")
@@ -339,7 +364,7 @@ def candidates(reps: DataFrame) -> DataFrame:
         for i, j, tier in region_pairs(keys, sketches):
             if cls[i] != cls[j]:
                 _note(pairs, cls[i], cls[j], tier)
-        out = [_pair_batch(pairs, _found_schema())]
+        out = [_pair_batch(pairs, _found_schema()), _crowded_batch(set(cls))]
         best = region.take(pa.array(hubs(keys, sketches), pa.int64()))
         k = best.num_rows
         out.append(pa.RecordBatch.from_arrays(
@@ -366,7 +391,8 @@ def candidates(reps: DataFrame) -> DataFrame:
 
     met = members.select("cls", "sketch", "best").mapInArrow(meet, FOUND)
     pairs = found.select("a", "b", "tier").unionByName(joined.select("a", "b", "tier")).unionByName(met.select("a", "b", "tier"))
-    return pairs.filter("a is not null and a != b").groupBy("a", "b").agg(F.min("tier").alias("tier"))
+    crowded = found.select("a", "b", "portion").unionByName(joined.select("a", "b", "portion")).filter("a is not null and b is null")
+    return pairs.filter("a is not null and a != b").groupBy("a", "b").agg(F.min("tier").alias("tier")), crowded.select(F.col("a").alias("cls")).distinct()
 
 
 # ---- confirmation and components -----------------------------------------------------
@@ -404,6 +430,11 @@ def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, nume
 
     rows = texts.mapInArrow(sets, "a binary, b binary, side int, shingles binary")
     both = rows.groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("shingles"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("shingles"))).alias("y"))
+    return compared(both, numerator, denominator)
+
+
+def compared(both: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(a, b, x, y) -> the pairs a, b whose sets x and y have intersection / union >= numerator / denominator."""
 
     def compare(batches):
         import pyarrow as pa
@@ -429,12 +460,87 @@ def across_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
 
+def first_shingles(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(cls, shingles) -> cls, n, shingle, rest: of each set of n the shingles of which alike sets have one in common, and how many follow.
+
+    A set of likeness t has t * n of the n shingles at least in common, in
+    whatever order; rare ones come first here, by counts of hash buckets.
+    """
+
+    def count(batches):
+        import pyarrow as pa
+
+        total = np.zeros(RARITY, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                np.add.at(total, np.frombuffer(x, np.uint64) % np.uint64(RARITY), 1)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there], pa.int64())], names=["bucket", "n"])
+
+    counts = np.zeros(RARITY, np.int64)
+    for bucket, n in sets.select("shingles").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():  # RARITY rows at most
+        counts[bucket] = n
+    often = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def firsts(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            cls, size, shingle, rest = [], [], [], []
+            for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = np.frombuffer(x, np.uint64)
+                n = len(s)
+                k = n + -(numerator * n) // denominator + 1
+                s = s[np.lexsort((s, often.value[s % np.uint64(RARITY)]))[:k]]
+                cls += [c] * k
+                size.append(np.full(k, n, np.int32))
+                shingle.append(s.view(np.int64))
+                rest.append(n - 1 - np.arange(k, dtype=np.int32))
+            if cls:
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), *[pa.array(np.concatenate(v)) for v in (size, shingle, rest)]], names=["cls", "n", "shingle", "rest"])
+
+    return sets.select("cls", "shingles").mapInArrow(firsts, "cls binary, n int, shingle long, rest int")
+
+
+def exact_rest(crowded: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
+    """All links a, b among the classes of crowded regions whose components (node, label) differ so far."""
+
+    def shingled(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(batch.column(1), words)
+            right = pa.array([set_key(s) == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"]).filter(right)
+
+    chosen = crowded.join(reps.select("cls", F.col("doc_id").alias("rep")), "cls")
+    texts = chosen.join(docs.select("doc_id", "text"), F.col("rep").eqNullSafe(F.col("doc_id"))).select("cls", "text")
+    # rows may repeat a doc_id and its text
+    sets = materialize(texts.mapInArrow(shingled, "cls binary, shingles binary").groupBy("cls").agg(F.max("shingles").alias("shingles")), "mh-sets")
+    own = labels.select(F.col("node").alias("cls"), "label")
+    firsts = first_shingles(sets, numerator, denominator).join(own, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    firsts = materialize(firsts, "mh-firsts")
+    # of a shingle's classes only those outside its largest component have to meet all others
+    by = firsts.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max_by("label", "k").alias("top"), F.count(F.lit(1)).alias("labels"))
+    live = materialize(firsts.join(by.filter("labels > 1").select("shingle", "top"), "shingle"), "mh-live")
+    x = live.filter("label != top").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "rest", "label")])
+    y = live.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "rest", "label")])
+    size = (F.least("x_n", "y_n") * denominator >= F.greatest("x_n", "y_n") * numerator)
+    # the first shingle that two sets share leaves no more than the shorter rest to share
+    share = (F.least("x_rest", "y_rest") + 1) * (numerator + denominator) >= (F.col("x_n") + F.col("y_n")) * numerator
+    met = x.join(y, "shingle").filter((F.col("x_label") != F.col("y_label")) & size & share)
+    pairs = materialize(met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct(), "mh-met", thin=True)
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    return compared(both.select("a", "b", "x", "y"), numerator, denominator)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 8, denominator: int = 10) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, cls, component_id: the least doc_id of a document's component."""
     spark = docs.sparkSession
     signed = materialize(sign(docs, words), "mh-signed")
     reps = materialize(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig")), "mh-reps", thin=True)
-    pairs = materialize(candidates(reps), "mh-pairs", thin=True)
+    pairs, crowded = candidates(reps)
+    pairs, crowded = materialize(pairs, "mh-pairs", thin=True), materialize(crowded, "mh-crowded", thin=True)
     release(spark)
     # each class meets the hubs around it first; what they link needs no second link, so of the
     # other candidates only those between components are left to confirm
@@ -444,6 +550,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 8, denomin
     links = links.unionByName(materialize(confirm(rest, reps, docs, words, numerator, denominator), "mh-links"))
     release(spark)
     labels = materialize(components(links), "mh-labels", thin=True)
+    if not crowded.isEmpty():
+        links = links.unionByName(materialize(exact_rest(crowded, labels, reps, docs, words, numerator, denominator), "mh-links"))
+        release(spark)
+        labels = materialize(components(links), "mh-labels", thin=True)
     # nulls come after all ids as a component's least
     least = labels.join(reps.select(F.col("cls").alias("node"), "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     linked = labels.join(least, "label").select(F.col("node").alias("cls"), "component_id")

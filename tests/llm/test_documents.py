@@ -1,6 +1,7 @@
 """The operators over documents against brute force, with nulls, ties, copies, empty tables and clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -135,6 +136,27 @@ def test_forest_of_a_dense_region():
     assert len(pairs) == len({p[:2] for p in pairs}) < 20 * m and sum(t == 1 for _, _, t in pairs) < 8 * m
 
 
+def test_minhash_links_within_a_crowd(ship):
+    """Alike pairs among hundreds of documents of one template, none of them alike to a hub."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8))
+    base, rows = [word() for _ in range(200)], []
+    for _ in range(600):
+        places = rng.sample(range(4, 196, 6), 12)
+        pair = list(base)
+        for at in places[:8]:
+            pair[at] = word()
+        for own in (places[8:10], places[10:]):
+            w = list(pair)
+            for at in own:
+                w[at] = word()
+            rows.append((len(rows), " ".join(w)))
+    docs = ship.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, words=5).select("doc_id", "component_id").collect()}
+    assert got == {i: c for i, _, c in components_by_force(rows, 5)}
+    assert len(set(got.values())) == 600
+
+
 def test_language(ship, tables, corpus):
     got = {(r["doc_id"], r["held_out"]): (r["lang_pred"], r["score"]) for r in queries.QUERIES["op5_language"](ship, tables["corpus"]).collect()}
     for d, text, _, _ in corpus:
