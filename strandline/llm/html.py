@@ -5,11 +5,12 @@ token (a tag with its place in the tree, or a stretch of text) has an
 occurrence vector: how often each page has it.  Tokens that share a vector and
 keep one order in all pages form an equivalence class.  The class of tokens
 that occur once in every page is the root of the template; further classes
-nest in its slots.  The slots that remain between the root's tokens hold what
-differs from page to page: the article is read from those that lie in the
-article element or, on pages without one, from those with much text and few
-links.  Groups of one or two pages have no template; there the whole body is
-one slot.
+nest in its slots.  The texts of the root and of these classes repeat from page
+to page and are left out everywhere.  The slots that remain between the root's
+tokens hold what differs: the article is what of them lies in the article
+element or, on pages without one, those that are not mostly links.  Groups of
+less than MIN_PAGES different articles have no template; there the whole
+article element or body is read.
 
 Defined results: a null page is empty and gives an empty text; null urls form
 one host; pages cut short are read to their end; equal pages in one group give
@@ -149,46 +150,64 @@ def nested(keys: list[list[str]], template: list[str], vectors: dict[tuple[int,
     return out
 
 
-def content_slots(pages: list[list[tuple[int, str, str]]], keys: list[list[str]]) -> set[int] | None:
-    """Slots of the group's template that hold the article; None: there is no template, or none of its slots does.
+def article(toks: list[tuple[int, str, str]], keys: list[str]) -> tuple[str, ...]:
+    """The texts within the article element or, on a page without one, all keys."""
+    main, inside = 0, []
+    for (kind, name, _), k in zip(toks, keys, strict=True):
+        if kind == TEXT:
+            if main and k != "t:":
+                inside.append(k)
+        elif name in MAIN:
+            main = max(0, main + (1 if kind == OPEN else -1))
+    return tuple(inside) if has_article(toks) else tuple(keys)
+
+
+def has_article(toks: list[tuple[int, str, str]]) -> bool:
+    return any(kind == OPEN and name in MAIN for kind, name, _ in toks)
+
 
-    Slot i follows the template's token i.
+def deduced(pages: list[list[tuple[int, str, str]]], keys: list[list[str]]) -> tuple[dict[str, int], set[str], set[int] | None] | None:
+    """Slot of each token of the group's template, the texts that repeat from page to page, and the slots that
+    hold the article on pages without an article element (None: no slot does); None: there is no template.
+
+    Slot i follows the template's token i.  Pages of one article are copies and count once, empty pages not at all.
     """
-    if len(pages) < MIN_PAGES:
+    once = {}
+    for toks, page in zip(pages, keys, strict=True):
+        if page:
+            once.setdefault(article(toks, page), page)
+    own = list(once.values())
+    if len(own) < MIN_PAGES:
         return None
-    vectors = classes(keys)
-    template = root(keys, vectors.get((1,) * len(pages), []))
+    vectors = classes(own)
+    template = root(own, vectors.get((1,) * len(own), []))
     if not template:
         return None
-    repeated = nested(keys, template, vectors)
+    repeated = {k for k in nested(own, template, vectors) | set(template) if k.startswith("t:")}
     index = {k: i for i, k in enumerate(template)}
-    text, links, depth = Counter(), Counter(), Counter()
+    text, links = Counter(), Counter()
     for toks, page in zip(pages, keys, strict=True):
-        slot, main, link = -1, 0, 0
+        if has_article(toks):
+            continue
+        slot, link = -1, 0
         for (kind, name, _), k in zip(toks, page, strict=True):
-            if kind != TEXT:
-                step = 1 if kind == OPEN else -1
-                main = max(0, main + step * (name in MAIN))
-                link = max(0, link + step * (name == "a"))
+            if kind != TEXT and name == "a":
+                link = max(0, link + (1 if kind == OPEN else -1))
             slot = index.get(k, slot)
             if kind == TEXT and k not in repeated:
                 size = len(name.strip())
                 text[slot] += size
                 links[slot] += size * bool(link)
-                depth[slot] += size * bool(main)
-    if any(depth.values()):
-        return {s for s in text if depth[s]}
-    most = max((text[s] - links[s] for s in text), default=0)
-    return {s for s in text if most and links[s] <= 0.5 * text[s] and text[s] - links[s] >= 0.1 * most} or None
+    return index, repeated, {s for s in text if text[s] and links[s] <= 0.5 * text[s]} or None
 
 
-def read(toks: list[tuple[int, str, str]], keys: list[str], template_slots: tuple[dict[str, int], set[int]] | None) -> str:
-    """The blocks of the article, from the given slots of the template or the whole body."""
-    has_main = any(kind == OPEN and name in MAIN for kind, name, _ in toks)
+def read(toks: list[tuple[int, str, str]], keys: list[str], plan: tuple[dict[str, int], set[str], set[int] | None] | None) -> str:
+    """The blocks of the article without the template's texts: from the article element, else the given slots or the whole body."""
+    has_main = has_article(toks)
     blocks: list[list[str]] = [[]]
     skip, skipped = 0, ""
     main, slot = 0, -1
-    index, wanted = template_slots or ({}, None)
+    index, repeated, wanted = plan or ({}, (), None)
     for (kind, name, raw), key in zip(toks, keys, strict=True):
         slot = index.get(key, slot)
         if skip:
@@ -207,7 +226,7 @@ def read(toks: list[tuple[int, str, str]], keys: list[str], template_slots: tupl
         elif kind == CLOSE and name in MAIN:
             main = max(0, main - 1)
         if kind == TEXT:
-            if (main or not has_main) and (wanted is None or main or slot in wanted):
+            if key not in repeated and (main if has_main else wanted is None or slot in wanted):
                 blocks[-1].append(name)
         elif name in BLOCKS:
             blocks.append([])
@@ -221,11 +240,7 @@ def extract(htmls: list[str]) -> list[str]:
     """Main text of each page of one group of pages of a host."""
     pages = [tokens(h) for h in htmls]
     keys = [keyed(p) for p in pages]
-    wanted = content_slots(pages, keys)
-    plan = None
-    if wanted is not None:
-        template = root(keys, classes(keys).get((1,) * len(pages), []))
-        plan = ({k: i for i, k in enumerate(template)}, wanted)
+    plan = deduced(pages, keys)
     return [read(p, k, plan) for p, k in zip(pages, keys, strict=True)]
 
 

@@ -82,6 +82,23 @@ def test_pages_without_an_article_element():
     assert extraction.extract(pages) == texts
 
 
+def test_template_texts_within_the_article_element():
+    """Texts that repeat go from articles, too; copies of one article are no template; pages without the element are scored by themselves."""
+    rng = random.Random(3)
+    words = "red green blue white black pink cyan grey".split()
+    texts = [" ".join(rng.choices(words, k=60)) + str(i) for i in range(8)]
+    shell = "<html><body><div id=top>Our site</div>{}<div id=b>All rights</div></body></html>".format
+    tip = "<p class=tip>Read on</p>"
+    pages = [shell(f"<article><p>By our staff</p><div id=m>{t}</div>{tip * (2 + i % 2)}</article>") for i, t in enumerate(texts[:5])]
+    pages += [shell(f"<div id=m>{t}</div><div id=s>note {i}</div>{tip * 2}<p>By our staff</p>") for i, t in enumerate(texts[5:])]
+    assert extraction.extract(pages[:5]) == texts[:5]
+    assert extraction.extract(pages[:5] + [""]) == [*texts[:5], ""]
+    assert extraction.extract(pages[5:]) == [f"{t}\nnote {i}" for i, t in enumerate(texts[5:])]
+    assert extraction.extract(pages[:1] * 5)[0] == f"By our staff\n{texts[0]}\nRead on\nRead on"
+    mixed = extraction.extract(pages)
+    assert all(t in x and "By our staff" not in x for t, x in zip(texts, mixed, strict=True))
+
+
 def test_equivalence_classes():
     keys = [["<a", "t:x", "</a", "<b", "t:1", "</b"], ["<a", "t:x", "</a", "<b", "t:2", "</b", "<b", "t:3", "</b"]]
     found = extraction.classes(keys)
