@@ -1,16 +1,22 @@
 """Information-theoretic sanitisation of personal data, in DataFrame functions only.
 
-Base patterns (email, ip, card, phone) are the protected entities.  The words
-next to an entity are candidate quasi-identifiers: over the whole corpus, a
+Base patterns (email, ip, card, phone) are the protected entities.  The other
+words of an entity's texts are candidate quasi-identifiers: over the whole corpus, a
 term's disclosure is its pointwise mutual information with an entity as a
 share of the entity's own information content,
 
     r(t, c) = log2(n(c,t) N / (n(c) n(t))) / log2(N / n(c)),
 
-which is 1 where the term only ever occurs beside that entity.  Terms with
-enough distinct contexts whose r reaches ``generalise_at`` are replaced by a
-placeholder wherever they occur in the corpus, and removed outright from
-``remove_at`` on.
+which is 1 where the term only ever occurs in that entity's texts.  Terms whose
+r reaches ``generalise_at`` are replaced by a placeholder wherever they occur
+in the corpus, and removed outright from ``remove_at`` on, unless chance alone
+would bring term and entity together so often: the chance that n(c,t) or more
+of n(t) texts drawn from N fall among the n(c) is 2 ** -bits at most, with
+
+    bits = n(t) KL(n(c,t) / n(t) || n(c) / N),
+
+and has to be 2 ** -``SIGNIFICANT`` or less.  Among 2 ** ``SIGNIFICANT`` texts
+or more a single text in common is enough where term and entity occur once.
 
 Defined results: a null text counts as empty and has no spans; rows are
 independent of ``doc_id``, so null or repeated ids are fine; ties in start are
@@ -41,8 +47,7 @@ PATTERNS = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
 )
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-CONTEXT = 48
-MIN_CONTEXTS = 3
+SIGNIFICANT = 10
 GENERALISE_AT, REMOVE_AT = 0.9, 0.97
 TERM = r"\p{L}{3,}+"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
@@ -114,41 +119,45 @@ def _disclosure(n: int, n_t: Column) -> Column:
     return F.log2(F.col("n_ct") * texts / (F.col("n_c") * n_t)) / F.log2(texts / F.col("n_c"))
 
 
-def disclosures(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise_at: float = GENERALISE_AT) -> DataFrame:
+def _bits(n: int, n_t: Column) -> Column:
+    """How unlikely n_ct of n_t texts among the n_c of n are by chance; falls as n_t grows."""
+    p, q = F.col("n_c") / F.lit(float(n)), F.col("n_ct") / n_t
+    rest = F.when(q < 1, (1 - q) * F.log2((1 - q) / (1 - p))).otherwise(0.0)
+    return F.when(q > p, n_t * (q * F.log2(q / p) + rest)).otherwise(0.0)
+
+
+def disclosures(docs: DataFrame, significant: float = SIGNIFICANT, generalise_at: float = GENERALISE_AT) -> DataFrame:
     """Per text with terms that give an entity away: key, doc_id, terms, gone.
 
     ``docs`` has doc_id and a non-null text.  ``terms`` are all of a text's
-    terms with r >= generalise_at, ``gone`` those with r >= REMOVE_AT.
+    terms with r >= generalise_at that are significant, ``gone`` those with r >= REMOVE_AT.
     """
     n = docs.select(F.xxhash64("text")).distinct().count()
     if not n:
         return docs.select("doc_id", F.xxhash64("text").alias("key"), F.array().cast("array<string>").alias("terms"), F.array().cast("array<string>").alias("gone"))
-    held = docs.filter(F.col("text").rlike("[0-9@]")).select("text", F.explode(base_spans(F.col("text"))).alias("s"))
-    left = F.substring(F.col("text"), F.greatest(F.col("s.start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(CONTEXT)))
-    right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT))
-    # a word cut by the window's edge is dropped unless the text itself ends there
-    left = F.when(F.col("s.start") > CONTEXT, F.regexp_replace(left, r"^\p{L}++", "")).otherwise(left)
-    right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\p{L}++$", "")).otherwise(right)
-    context = F.concat_ws("\n", left, right)
-    entity = F.concat_ws(":", F.col("s.kind").cast("string"), F.when(F.col("s.kind").isin(2, 3), F.regexp_replace("s.value", "[^0-9]", "")).otherwise(F.lower("s.value")))
+    held = docs.filter(F.col("text").rlike("[0-9@]")).select("text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
+    # what is left without the entities, of the words that the text itself has
+    other = sanitised(F.col("text"), F.col("spans"), F.array().cast("array<string>"), [" "] * len(KINDS))
+    other = F.array_intersect(_terms(other), _terms(F.col("text")))
+    entity = lambda s: F.concat_ws(":", s["kind"].cast("string"), F.when(s["kind"].isin(2, 3), F.regexp_replace(s["value"], "[^0-9]", "")).otherwise(F.lower(s["value"])))
     near = materialize(
-        held.select(F.xxhash64(entity).alias("entity"), F.xxhash64("text").alias("key"), F.xxhash64(context).alias("ctx"), _terms(context).alias("terms")), "pii-near"
+        held.select(F.array_distinct(F.transform("spans", lambda s: F.xxhash64(entity(s)))).alias("entities"), F.xxhash64("text").alias("key"), other.alias("terms")).dropDuplicates(["key"]), "pii-near"
     )
-    n_c = near.groupBy("entity", "key").agg(F.count(F.lit(1)).alias("rows")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    beside = near.select("entity", "key", "ctx", F.explode("terms").alias("term")).distinct()
-    pairs = beside.groupBy("entity", "term").agg(F.count_distinct("ctx").alias("contexts"), F.count_distinct("key").alias("n_ct"))
-    pairs = pairs.filter(F.col("contexts") >= min_contexts).join(n_c.filter(F.col("n_c") < n), "entity")
-    # a term occurs in at least as many texts as it stands beside entities in, which bounds r from above:
-    # words that stand beside all sorts of entities are out before any text is searched for them
-    n_least = beside.groupBy("term").agg(F.count_distinct("key").alias("n_least"))
-    pairs = pairs.join(n_least, "term").filter(_disclosure(n, F.col("n_least")) >= generalise_at).drop("n_least")
+    n_c = near.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    beside = near.select("entities", F.explode("terms").alias("term")).select("term", F.explode("entities").alias("entity"))
+    pairs = beside.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).join(n_c.filter(F.col("n_c") < n), "entity")
+    # a term occurs in at least as many texts as it shares with entities, which bounds r and bits from above:
+    # words of all sorts of entities' texts are out before any text is searched for them
+    n_least = near.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_least"))
+    least = F.col("n_least")
+    pairs = pairs.join(n_least, "term").filter((_disclosure(n, least) >= generalise_at) & (_bits(n, least) >= significant)).drop("n_least")
     pairs = materialize(pairs, "pii-pairs", thin=True)
     # occurrences of the candidate terms in all texts: the candidates are a written table, so
     # Spark broadcasts them only where their size is under its threshold and shuffles otherwise
     words = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term"))
     hits = materialize(words.join(pairs.select("term").distinct(), "term", "left_semi"), "pii-hits")
     n_t = hits.select("key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    flagged = pairs.join(n_t, "term").groupBy("term").agg(F.max(_disclosure(n, F.col("n_t"))).alias("r")).filter(F.col("r") >= generalise_at)
+    flagged = pairs.join(n_t, "term").filter(_bits(n, F.col("n_t")) >= significant).groupBy("term").agg(F.max(_disclosure(n, F.col("n_t"))).alias("r")).filter(F.col("r") >= generalise_at)
     flagged = materialize(flagged, "pii-terms", thin=True)
     found = hits.join(flagged, "term").groupBy("doc_id", "key").agg(
         F.sort_array(F.collect_set("term")).alias("terms"), F.sort_array(F.collect_set(F.when(F.col("r") >= REMOVE_AT, F.col("term")))).alias("gone")
@@ -167,13 +176,13 @@ def find(docs: DataFrame) -> DataFrame:
     return d.join(t, on, "left").select("d.*", base_spans(dt).alias("pii_base"), term_spans(dt, terms).alias("pii_terms"), F.col("t.gone").alias("pii_gone"))
 
 
-def sanitised(text: Column, spans: Column, gone: Column) -> Column:
+def sanitised(text: Column, spans: Column, gone: Column, placeholders: list[str] | None = None) -> Column:
     """The text with each span replaced by its kind's placeholder, or cut where it is to go.
 
     Where spans overlap the one that starts first is replaced and what the
     others have beyond it is cut.
     """
-    marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
+    marks = F.array(*map(F.lit, placeholders or [f"<{k.upper()}>" for k in KINDS]))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:

@@ -77,6 +77,17 @@ def test_pii_terms_that_give_an_entity_away(ship):
     assert "Zarquon" not in clean[0] and "bob@" not in clean[0] and "<EMAIL>" in clean[0] and clean[150] == rows[56][1]
 
 
+def test_pii_terms_of_rare_entities(ship):
+    """One text in common is enough among many texts, at whatever distance; words that others have, or that meet by chance, stay."""
+    far = "the weather is fine today " * 10
+    rows = [(i, f"the weather is fine today and {i} people like it") for i in range(1100)]
+    rows += [(2000, f"Zarquon {far} call bob@example.com"), (2001, "only the weather ann@example.com")]
+    rows += [(3000 + i, f"often eve@example.com {w} weather") for i, w in enumerate("red green blue".split())]
+    got = {r["doc_id"]: [s["value"] for s in r["pii_terms"]] for r in pii.find(ship.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2000] == ["Zarquon", "call"] and got[2001] == ["only"] and got[3000] == ["often"]
+    assert not any(got[i] for i in range(1100))
+
+
 def shingles(text, n):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", lower)
