@@ -147,6 +147,13 @@ def test_forest_of_a_dense_region():
     assert len(pairs) == len({p[:2] for p in pairs}) < 20 * m and sum(t == 1 for _, _, t in pairs) < 8 * m
 
 
+def test_pairs_of_40_equal_sketch_values_are_confirmed():
+    """A pair of similarity 0.8 has fewer with probability 0.00035."""
+    sketches = np.zeros((2, minhash.SKETCH), np.uint8)
+    sketches[1, 40:] = 1
+    assert [p[:2] for p in minhash.region_pairs(np.zeros((2, minhash.DEPTH), np.uint16), sketches)] == [(0, 1)]
+
+
 def test_minhash_links_within_a_crowd(ship):
     """Alike pairs among hundreds of documents of one template, none of them alike to a hub."""
     rng = random.Random(11)
