@@ -12,19 +12,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64("a", "b"), 16))).first())
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (node, label): each node of an edge with the least node it can reach.
 
     Every round replaces edges by edges to lesser nodes and writes them to the
     shared folder; the number of rounds grows with the logarithm of the longest
-    path.  A node's neighbours are never gathered: minima are partial sums and
+    path, and they go on until none changes an edge.  A node's neighbours are never gathered: minima are partial sums and
     the joins behind them are ones that Spark splits where a node is hot.
     """
     edges = materialize(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc", thin=True)
     state = _state(edges)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: the greater neighbours of a node go to its least one

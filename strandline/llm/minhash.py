@@ -2,75 +2,132 @@
 
 Documents with equal shingle sets form a class.  Each class gets 128 minimum
 hashes, eight for each of 16 trees.  For every tree the classes are sorted by
-their eight values, so neighbours share the longest prefixes; documents that
-share at least four values are one region, and a region too dense to compare
-in full is descended deeper, prefix by prefix.  Candidates of a region are
-
-* all pairs where it has few classes,
-* each class with the region's hubs (the classes nearest to its consensus
-  signature) and its neighbours in sort order where it has many.
-
-Candidates whose 64-value sketches are alike are confirmed on full shingle
-sets, and linked documents form components.  What a crowded region has left
-unlinked is then joined exactly: two alike classes share one of the first
-shingles of both in a common order, so the classes of crowded regions meet by
-these where their components differ, without a sketch and without a bound on
-the pairs.
+their eight values, so neighbours share the longest prefixes; classes that
+share at least four values are one region.
+
+1. In a small region all pairs whose sketches are alike are candidates.  A
+   crowded region is descended, prefix by prefix, and its classes are paired
+   with the hubs (those nearest to the consensus) of each depth.
+2. Hub pairs are confirmed on full shingle sets first; of the others only those
+   between the components found so far are left to confirm.
+3. Where a crowded region still holds several components, all its classes meet
+   in one task with their own sets (the least BOTTOM hashes of a set; most sets
+   are smaller), which replaces the sketch; what joins components is confirmed.
+4. A region of more than LARGE classes is not gathered.  Its portions meet
+   through the best of their hubs; what is left unlinked is joined exactly, by
+   the first shingles of the sets in a common order, without a bound on pairs.
 
 Two classes of similarity 0.8 share four values of a tree with probability
-0.41, and of at least one tree with 0.9998.  Their sketches are too unlike for a
-confirmation with probability 0.00035, in all trees alike; only classes of
-crowded regions are joined without regard to the sketch.
+0.41, and of at least one tree with 0.9998.  In small regions their sketches
+are too unlike for a confirmation with probability MISS at most, in all trees
+alike (``miss=0`` confirms every pair of a small region).
+
+Words are hashed with BLAKE2b, so sets that have equal hashes have equal words.
 
 Defined results: null and empty texts have an empty set, are linked with
 nothing and are kept; a null doc_id takes part in links, comes last as a
 representative, and is kept where its component has no id; rows that repeat a
-doc_id count as copies only if their texts do; an empty table gives no rows.
+doc_id count as copies only if their texts do; columns other than doc_id and
+text are not read, so their names cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SpanHash, materialize, mix64, release, shuffle_partitions, slices, table, trim, utf8_buffer, word_spans
+from .common import materialize, mix64, release, shuffle_partitions, slices, table, trim
 from .components import components
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 HASHES = TREES * DEPTH
-SKETCH = 64
-#: Regions of so many classes at most are compared in full; in larger ones each class meets HUBS hubs and NEAR neighbours first and the rest by shingles.
-SMALL, HUBS, NEAR = 80, 4, 3
+#: Values of four bits in a sketch, one of each minimum hash.
+SKETCH = HASHES
+#: Regions of so many classes at most are compared in full at once; larger ones meet HUBS hubs of each depth first.
+SMALL, HUBS = 32, 4
+#: Regions of so many classes at most meet in one task; of a set so many hashes come along.
+LARGE, BOTTOM = 2048, 2048
 #: Buckets by which shingles are counted, so that rare ones come first in the order of the exact join.
 RARITY = 1 << 16
-#: Sketch likeness from which a pair is confirmed on full sets, and from which one link stands for others (3 standard errors below and above 0.8).
-LIKE, STRONG = 0.62, 0.94
-#: Rows of a region that a task compares at a time; the rest is a portion of its own, joined through its hubs.
+#: Share of pairs of the least similarity whose sketches may be too unlike for a confirmation.
+MISS = 0.00035
+#: Rows of a region that a task reads at a time; the rest is a portion of its own.
 PORTION = 1 << 16
+#: Bytes of a text that are split into words at a time.
+BLOCK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(4711))
 MULTIPLY = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _rng.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 
 
+def least_alike(numerator: int, denominator: int, miss: float = MISS) -> float:
+    """Share of equal sketch values from which a pair is confirmed; a pair of the least similarity has fewer with probability ``miss`` at most."""
+    p = numerator / denominator
+    p += (1 - p) / 16  # unequal minima have equal values of four bits by chance
+    total, k = 0.0, 0
+    while k < SKETCH:
+        total += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if total > miss:
+            break
+        k += 1
+    return k / SKETCH
+
+
 # ---- shingles and signatures -----------------------------------------------------
 
 
-def shingle_sets(column, words: int):
+class WordHashes(dict):
+    """Word (bytes) -> 64 bits of its BLAKE2b digest; emptied when it has grown."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return value
+
+
+_words = WordHashes()
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a text (runs of bytes other than space and 0x09-0x0D, A-Z in lower case)."""
+    if len(raw) <= BLOCK:
+        found = raw.lower().split()
+        return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    out, at, held = [], 0, b""
+    while at < len(raw):
+        part = held + raw[at : at + BLOCK]
+        at += BLOCK
+        held = b""
+        if at < len(raw) and not part[-1:].isspace():
+            head = part.rsplit(None, 1)
+            part, held = (b"", part) if len(head) < 2 else (head[0], head[1])
+        found = part.lower().split()
+        out.append(np.fromiter(map(_words.__getitem__, found), np.uint64, len(found)))
+    return np.concatenate(out)
+
+
+def shingle_sets(column, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of an Arrow column."""
-    data, offsets = utf8_buffer(column)
-    if not len(data):
-        return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
-    data = LOWER[data]
-    # a text's last word must not run on into the next text
-    start, end = word_spans(np.insert(data, offsets[1:-1], 32)) if len(offsets) > 2 else word_spans(data)
-    if len(offsets) > 2:
-        shift = np.searchsorted(offsets[1:-1] + np.arange(len(offsets) - 2), start, side="left")
-        start, end = start - shift, end - shift
-    hashes = SpanHash(data).spans(start, end)
-    first = np.searchsorted(start, offsets)
+    import pyarrow as pa
+
+    texts = column.cast(pa.large_binary()).to_pylist()
+    if sum(map(len, filter(None, texts))) <= BLOCK:
+        lists = [(t or b"").lower().split() for t in texts]
+        counts = np.array([len(x) for x in lists], np.int64)
+        hashes = np.fromiter(map(_words.__getitem__, chain.from_iterable(lists)), np.uint64, int(counts.sum()))
+    else:
+        parts = [word_hashes(t or b"") for t in texts]
+        counts = np.array([len(x) for x in parts], np.int64)
+        hashes = np.concatenate(parts)
+    first = np.concatenate(([0], np.cumsum(counts)))
     n = len(hashes)
     grams = np.zeros(n, np.uint64)
     if n >= words:
@@ -80,7 +137,7 @@ def shingle_sets(column, words: int):
             acc = mix64(acc * np.uint64(3) + hashes[k : k + m])
         grams[:m] = acc
     out = []
-    for a, b in zip(first[:-1], first[1:], strict=True):
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= words:
             out.append(np.unique(grams[a : b - words + 1]))
         elif b > a:
@@ -96,11 +153,7 @@ def shingle_sets(column, words: int):
 
 def set_key(s: np.ndarray) -> bytes | None:
     """128-bit key of a set; null for the empty set."""
-    if not len(s):
-        return None
-    with np.errstate(over="ignore"):
-        pair = np.array([mix64(s).sum(dtype=np.uint64), mix64(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)
-    return pair.tobytes()
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -112,31 +165,64 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
-def packed(sig: np.ndarray) -> bytes:
-    """Two bytes of each value for the trees, then one byte of the first SKETCH values for the sketch."""
+def packed(sig: np.ndarray, size: int) -> bytes:
+    """Two bytes of each value for the trees; the sketch: four bits of each value, two to a byte, and the set's size."""
     spread = mix64(sig.astype(np.uint64))
-    return spread.astype(np.uint16).tobytes() + (spread[:SKETCH] >> np.uint64(32)).astype(np.uint8).tobytes()
+    four = (spread >> np.uint64(32)).astype(np.uint8) & 15
+    return spread.astype(np.uint16).tobytes() + (four[0::2] | four[1::2] << 4).tobytes() + np.uint32(size).tobytes()
 
 
-SIGNED = "n_shingles long, cls binary, sig binary"
+SKETCH_BYTES = SKETCH // 2 + 4
+SIGNED = "text_key long, n_shingles long, cls binary, sig binary"
+
+
+def text_key(text: str = "text"):
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def sign(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, cls, sig."""
+    """(doc_id, text) -> doc_id, text_key, n_shingles, cls, sig."""
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(SIGNED).fields])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column(batch.schema.get_field_index("text")), words)
+            sets = shingle_sets(batch.column(1), words)
             arrays = [
                 pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()),
-                pa.array([packed(signature(s)) if len(s) else None for s in sets], pa.binary()),
+                pa.array([packed(signature(s), len(s)) if len(s) else None for s in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), *arrays], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays], names=schema.names)
+
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, schema)
+
+
+def representatives(signed: DataFrame) -> DataFrame:
+    """cls, doc_id, text_key, sig: each class once, with the least doc_id that has one (null comes last)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r")
+    return signed.filter("cls is not null").groupBy("cls").agg(first, F.max("sig").alias("sig")).select("cls", "r.doc_id", "r.text_key", "sig")
+
+
+def class_sets(classes: DataFrame, reps: DataFrame, docs: DataFrame, words: int, keep=None, result: str = "shingles binary") -> DataFrame:
+    """(cls) -> cls and, of its representative's text, the sorted shingle hashes, or what ``keep`` makes of them."""
+    fields = T._parse_datatype_string(f"cls binary, {result}")
+
+    def run(batches):
+        import pyarrow as pa
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(batch.column(1), words)
+            mine = [(c, s) for c, s in zip(batch.column(0).to_pylist(), sets, strict=True) if set_key(s) == c]
+            cols = [[c for c, _ in mine], *zip(*((keep or (lambda s: (s.tobytes(),)))(s) for _, s in mine), strict=True)] if mine else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.binary(), pa.int64()), strict=False)], names=fields.names)
+
+    chosen = classes.join(reps.select("cls", "doc_id", "text_key"), "cls").alias("c")
+    d = docs.select("doc_id", "text", text_key().alias("text_key")).alias("d")
+    texts = d.join(chosen, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_key") == F.col("c.text_key"))).select("c.cls", "d.text")
+    # rows may repeat a doc_id and its text
+    return texts.mapInArrow(run, fields).groupBy("cls").agg(*[F.max(c).alias(c) for c in fields.names[1:]])
 
 
 # ---- the forest --------------------------------------------------------------------
@@ -146,53 +232,43 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
-def region_pairs(keys: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int, int]]:
-    """Candidate pairs (i, j, tier) of one region, i < j: rows that share the first LEAST_DEPTH values, in sort order.
+def _near_size(sizes: np.ndarray, x, y, share: float) -> np.ndarray:
+    return np.minimum(sizes[x], sizes[y]) >= share * np.maximum(sizes[x], sizes[y]) - 1e-9
+
 
-    Tier 1 pairs each row with the best hub around it; the rest are of tier 2.
-    Rows that one hub leads, by likeness of STRONG or more, need no pair among themselves.
+def region_pairs(keys: np.ndarray, sketches: np.ndarray, sizes: np.ndarray | None = None, like: float | None = None, share: float = 0.0) -> list[tuple[int, int, int]]:
+    """Candidate pairs (i, j, tier), i < j, of one region: rows that share the first LEAST_DEPTH values, in sort order.
+
+    All alike pairs (tier 2) where the region is small; otherwise the pairs of
+    each row with the hub of each depth that it is most alike to, and of hubs (tier 1).
     """
+    like = least_alike(8, 10) if like is None else like
+    sizes = np.ones(len(keys)) if sizes is None else sizes
     m = len(keys)
     codes: list[np.ndarray] = []
-    led = np.full(m, -1)
 
-    def add(x, y, tier: int, free: bool = False) -> None:
-        keep = x != y if free else (x != y) & ((led[x] < 0) | (led[x] != led[y]))
+    def add(x, y, tier: int) -> None:
+        keep = (x != y) & _near_size(sizes, x, y, share)
         x, y = x[keep], y[keep]
         codes.append((np.minimum(x, y) * m + np.maximum(x, y)) * 4 + tier)
 
-    def lead(hub: int, like: np.ndarray, rows: np.ndarray) -> None:
-        led[hub] = hub if led[hub] < 0 else led[hub]
-        mine = rows[(like >= STRONG) & (led[rows] < 0)]
-        led[mine] = led[hub]
+    def star(rows: np.ndarray, own: np.ndarray) -> None:
+        heads = hubs(own)
+        to = np.stack([_alike(own, own[h]) for h in heads])
+        best = to.argmax(axis=0)
+        near = np.flatnonzero(to[best, np.arange(len(rows))] >= like)
+        add(rows[near], rows[np.array(heads)[best[near]]], 1)
+        x, y = np.nonzero(np.triu(to[:, heads] >= like, 1))
+        add(rows[np.array(heads)[x]], rows[np.array(heads)[y]], 1)
 
     def descend(rows: np.ndarray, depth: int) -> None:
         n = len(rows)
         if n < 2:
             return
         own = sketches[rows]
+        star(rows, own)
         if n <= SMALL:
-            like = _alike(own[:, None], own[None])
-            top = int(like.sum(axis=1).argmax())
-            near = like[top] >= LIKE
-            add(np.full(near.sum(), rows[top]), rows[near], 1, True)
-            lead(rows[top], like[top], rows)
-            x, y = np.nonzero(np.triu(like >= LIKE, 1))
-            add(rows[x], rows[y], 2)
             return
-        heads = hubs(keys[rows], own)
-        like = np.stack([_alike(own, own[h]) for h in heads])
-        best = like.argmax(axis=0)
-        for k, h in enumerate(heads):
-            mine = (best == k) & (like[k] >= LIKE)
-            add(np.full(mine.sum(), rows[h]), rows[mine], 1, True)
-            lead(rows[h], np.where(best == k, like[k], 0), rows)
-        for k, h in enumerate(heads):
-            near = like[k] >= LIKE
-            add(np.full(near.sum(), rows[h]), rows[near], 2)
-        for d in range(1, NEAR + 1):
-            near = np.flatnonzero(_alike(own[d:], own[:-d]) >= LIKE)
-            add(rows[near], rows[near + d], 2)
         if depth < DEPTH:
             value = keys[rows, depth]
         elif depth < DEPTH + SKETCH:
@@ -207,57 +283,72 @@ def region_pairs(keys: np.ndarray, sketches: np.ndarray) -> list[tuple[int, int,
             descend(rows[a:b], depth + 1)
 
     turn = int(keys[0, 0]) if m else 0
-    descend(np.arange(m), LEAST_DEPTH)
+    if 1 < m <= SMALL:
+        x, y = np.nonzero(np.triu(_alike(sketches[:, None], sketches[None]) >= like, 1))
+        add(x, y, 2)
+    else:
+        descend(np.arange(m), LEAST_DEPTH)
     if not codes:
         return []
     found = np.unique(np.concatenate(codes))
-    pair, tier = found >> 2, found & 3
-    first = np.ones(len(pair), bool)
-    first[1:] = pair[1:] != pair[:-1]  # the lower tier of each pair comes first
-    pair, tier = pair[first], tier[first]
-    return list(zip((pair // m).tolist(), (pair % m).tolist(), tier.tolist(), strict=True))
+    pair = found >> 2
+    return list(zip((pair // m).tolist(), (pair % m).tolist(), (found & 3).tolist(), strict=True))
 
 
-def hubs(keys: np.ndarray, sketches: np.ndarray) -> list[int]:
+def hubs(sketches: np.ndarray) -> list[int]:
     """The rows nearest to the consensus of a region."""
     agree = np.zeros(len(sketches), np.int32)
     for col in sketches.T:
-        agree += col == np.bincount(col, minlength=256).argmax()
+        agree += col == np.bincount(col, minlength=16).argmax()
     return np.argsort(-agree, kind="stable")[:HUBS].tolist()
 
 
-#: A candidate pair; or a class of a crowded region, in a alone; or a row of a portion.
-FOUND = "a binary, b binary, tier int, tree int, prefix binary, portion string, cls binary, key binary, sketch binary"
+#: A candidate pair; or one of the hubs (cls, sketch) of a part of a crowded region, the first of which has the part's rows.
+FOUND = "a binary, b binary, tier int, tree int, prefix binary, n int, part int, cls binary, sketch binary"
 
 
 def forest_rows(reps: DataFrame) -> DataFrame:
     """(cls, sig) -> a row for each tree: tree, key, cls, sketch."""
     trees = reps.select("cls", "sig", F.explode(F.array(*map(F.lit, range(TREES)))).alias("tree"))
     key = F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * DEPTH})")
-    return trees.select("tree", key.alias("key"), "cls", F.expr(f"substring(sig, {2 * HASHES + 1}, {SKETCH})").alias("sketch"))
+    return trees.select("tree", key.alias("key"), "cls", F.expr(f"substring(sig, {2 * HASHES + 1}, {SKETCH_BYTES})").alias("sketch"))
+
+
+def prefix(sig_or_key: str = "key"):
+    return F.expr(f"substring({sig_or_key}, 1, {2 * LEAST_DEPTH})").alias("prefix")
 
 
-def _columns(table_):
-    """Key, sketch and cls of Arrow rows as arrays."""
-    keys = np.frombuffer(b"".join(table_.column("key").to_pylist()), np.uint16).reshape(-1, DEPTH)
-    sketches = np.frombuffer(b"".join(table_.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-    return keys, sketches, table_.column("cls").to_pylist()
+def unpacked(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The values and the set sizes of sketches."""
+    raw = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH_BYTES)
+    four = np.empty((len(raw), SKETCH), np.uint8)
+    four[:, 0::2], four[:, 1::2] = raw[:, : SKETCH // 2] & 15, raw[:, : SKETCH // 2] >> 4
+    return four, np.ascontiguousarray(raw[:, SKETCH // 2 :]).view(np.uint32).ravel().astype(np.int64)
 
 
-def _pair_batch(pairs: dict[tuple[bytes, bytes], int], schema):
+def _found_schema():
     import pyarrow as pa
 
+    b, i = pa.binary(), pa.int32()
+    return pa.schema([("a", b), ("b", b), ("tier", i), ("tree", i), ("prefix", b), ("n", i), ("part", i), ("cls", b), ("sketch", b)])
+
+
+def _pair_batch(pairs: dict[tuple[bytes, bytes], int]):
+    import pyarrow as pa
+
+    schema = _found_schema()
     n = len(pairs)
     head = [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array(list(pairs.values()), pa.int32())]
     return pa.RecordBatch.from_arrays([*head, *[pa.nulls(n, f.type) for f in list(schema)[3:]]], schema=schema)
 
 
-def _crowded_batch(classes: set[bytes]):
+def _part_batch(tree: int, prefix_: bytes, n: int, hubs_: list[tuple[bytes, bytes]]):
     import pyarrow as pa
 
     schema = _found_schema()
-    n = len(classes)
-    return pa.RecordBatch.from_arrays([pa.array(list(classes), pa.binary()), *[pa.nulls(n, f.type) for f in list(schema)[1:]]], schema=schema)
+    k = len(hubs_)
+    cols = [[None] * k] * 3 + [[tree] * k, [prefix_] * k, [n] + [0] * (k - 1), [1] + [0] * (k - 1), [c for c, _ in hubs_], [s for _, s in hubs_]]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
 def _note(pairs: dict[tuple[bytes, bytes], int], x: bytes, y: bytes, tier: int) -> None:
@@ -265,201 +356,263 @@ def _note(pairs: dict[tuple[bytes, bytes], int], x: bytes, y: bytes, tier: int)
     pairs[key] = min(tier, pairs.get(key, tier))
 
 
-def _found_schema():
-    import pyarrow as pa
-
-    b = pa.binary()
-    return pa.schema([("a", b), ("b", b), ("tier", pa.int32()), ("tree", pa.int32()), ("prefix", b), ("portion", pa.string()), ("cls", b), ("key", b), ("sketch", b)])
-
-
-def scan(batches):
+def scan(like: float, share: float):
     """Candidates of the regions of one partition of the sorted forest.
 
-    The partition's first and last regions may go on in its neighbours: what
-    stands for them there (all of a small region, else hubs and ends) is
-    reported as a portion.
+    A region that is crowded, and the partition's first and last one, which may
+    go on in its neighbours, are reported by their size and hubs.
     """
-    import uuid
 
-    import pyarrow as pa
+    def run(batches):
+        import pyarrow as pa
 
-    schema, name = _found_schema(), uuid.uuid4().hex
-    number, pending = 0, None
-    pairs: dict[tuple[bytes, bytes], int] = {}  # of this partition so far; flushed when it grows
-    crowded: set[bytes] = set()
-
-    def close(region, edge: bool):
-        nonlocal number
-        keys, sketches, cls = _columns(region)
-        if len(cls) > SMALL:
-            crowded.update(cls)
-        for i, j, tier in region_pairs(keys, sketches):
-            _note(pairs, cls[i], cls[j], tier)
-        if edge:
-            m = len(cls)
-            rows = range(m) if m <= SMALL else sorted({*hubs(keys, sketches), *range(NEAR), *range(m - NEAR, m)})
-            number += 1
-            part = region.take(pa.array(rows, pa.int64()))
-            k = part.num_rows
-            raw = part.column("key").to_pylist()
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), part.column("tree").combine_chunks().cast(pa.int32()), pa.array([x[: 2 * LEAST_DEPTH] for x in raw], pa.binary()),
-                 pa.array([f"{name}-{number}"] * k), *[pa.array(part.column(c).to_pylist(), pa.binary()) for c in ("cls", "key", "sketch")]], schema=schema,
-            )
-        return None
+        pairs: dict[tuple[bytes, bytes], int] = {}  # of this partition so far; flushed when it grows
+        pending, first = None, True
 
-    first = True
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if pending is not None:
-            rows = pa.concat_tables([pending, rows])
-        if not rows.num_rows:
-            continue
-        tree = rows.column("tree").to_numpy()
-        pre = np.frombuffer(b"".join(rows.column("key").to_pylist()), np.uint16).reshape(-1, DEPTH)[:, :LEAST_DEPTH]
-        same = (tree[1:] == tree[:-1]) & (pre[1:] == pre[:-1]).all(axis=1)
-        cuts = np.concatenate(([0], np.flatnonzero(~same) + 1)).tolist()
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if first or b - a > 1:
-                edge = close(rows.slice(a, b - a), first)
-                first = False
-                if edge is not None:
-                    yield edge
-        pending = rows.slice(cuts[-1])
-        if pending.num_rows >= PORTION:
+        def close(region, edge: bool):
+            m = region.num_rows
+            raw = region.column("key").to_pylist()
+            keys = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, DEPTH)
+            sketch, cls = region.column("sketch").to_pylist(), region.column("cls").to_pylist()
+            sketches, sizes = unpacked(sketch)
+            for i, j, tier in region_pairs(keys, sketches, sizes, like, share):
+                _note(pairs, cls[i], cls[j], tier)
+            if edge or m > SMALL:
+                return _part_batch(region.column("tree")[0].as_py(), raw[0][: 2 * LEAST_DEPTH], m, [(cls[h], sketch[h]) for h in hubs(sketches)])
+            return None
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if pending is not None:
+                rows = pa.concat_tables([pending, rows])
+            if not rows.num_rows:
+                continue
+            tree = rows.column("tree").to_numpy()
+            pre = np.frombuffer(b"".join(rows.column("key").to_pylist()), np.uint16).reshape(-1, DEPTH)[:, :LEAST_DEPTH]
+            same = (tree[1:] == tree[:-1]) & (pre[1:] == pre[:-1]).all(axis=1)
+            cuts = np.concatenate(([0], np.flatnonzero(~same) + 1)).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if first or b - a > 1:
+                    part = close(rows.slice(a, b - a), first)
+                    first = False
+                    if part is not None:
+                        yield part
+            pending = rows.slice(cuts[-1])
+            if pending.num_rows >= PORTION:
+                yield close(pending, True)
+                pending, first = None, True
+            if len(pairs) >= 100_000:
+                yield _pair_batch(pairs)
+                pairs.clear()
+        if pending is not None and pending.num_rows:
             yield close(pending, True)
-            pending, first = None, True
-        if len(pairs) >= 100_000:
-            yield _pair_batch(pairs, schema)
-            pairs.clear()
-        if len(crowded) >= 100_000:
-            yield _crowded_batch(crowded)
-            crowded.clear()
-    if pending is not None and pending.num_rows:
-        yield close(pending, True)
-    if pairs:
-        yield _pair_batch(pairs, schema)
-    if crowded:
-        yield _crowded_batch(crowded)
-    trim()
-
-
-def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cls, sig) of distinct classes -> candidate pairs a < b, each once, and their tier; and the classes (cls) of crowded regions.
-
-    Classes of a region in several portions count as crowded, too.
+        if pairs:
+            yield _pair_batch(pairs)
+        trim()
+
+    return run
+
+
+def candidates(reps: DataFrame, like: float, share: float) -> tuple[DataFrame, DataFrame]:
+    """(cls, sig) of distinct classes -> candidate pairs a < b, each once, and their tier; and the crowded regions: tree, prefix, n.
+
+    Regions in several parts count as crowded, too.
     """
     spark = reps.sparkSession
     rows = forest_rows(reps)
     ordered = rows.repartitionByRange(shuffle_partitions(spark), "tree", "key", "cls").sortWithinPartitions("tree", "key", "cls")
-    found = materialize(ordered.mapInArrow(scan, FOUND), "mh-found")
-    edges = found.filter("portion is not null")
-    many = edges.groupBy("tree", "prefix").agg(F.count_distinct("portion").alias("n")).filter("n > 1").select("tree", "prefix")
-    parts = edges.join(materialize(many, "mh-many", thin=True), ["tree", "prefix"]).select("tree", "prefix", "cls", "key", "sketch")
+    found = materialize(ordered.mapInArrow(scan(like, share), FOUND), "mh-found")
+    parts = found.filter("tree is not null")
+    regions = parts.groupBy("tree", "prefix").agg(F.sum("n").alias("n"), F.sum("part").alias("parts")).filter((F.col("n") > 1) & ((F.col("n") > SMALL) | (F.col("parts") > 1)))
+    regions = materialize(regions, "mh-regions", thin=True)
+    pairs = found.filter("a is not null").select("a", "b", "tier")
+    apart = regions.filter((F.col("n") > LARGE) & (F.col("parts") > 1))
+    if not apart.isEmpty():
+        pairs = pairs.unionByName(across_parts(parts.join(apart.select("tree", "prefix"), ["tree", "prefix"]), rows, like))
+    return pairs.filter("a != b").groupBy("a", "b").agg(F.min("tier").alias("tier")), regions.select("tree", "prefix", "n")
+
+
+def across_parts(parts: DataFrame, rows: DataFrame, like: float) -> DataFrame:
+    """Pairs of the classes of regions in several parts with the best hubs of all parts."""
 
     def across(region):
         import pyarrow as pa
 
-        region = region.sort_by("key")
-        keys, sketches, cls = _columns(region)
-        pairs: dict[tuple[bytes, bytes], int] = {}
-        for i, j, tier in region_pairs(keys, sketches):
-            if cls[i] != cls[j]:
-                _note(pairs, cls[i], cls[j], tier)
-        out = [_pair_batch(pairs, _found_schema()), _crowded_batch(set(cls))]
-        best = region.take(pa.array(hubs(keys, sketches), pa.int64()))
-        k = best.num_rows
-        out.append(pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), *[best.column(c).combine_chunks() for c in ("tree", "prefix")], pa.nulls(k, pa.string()),
-             *[best.column(c).combine_chunks() for c in ("cls", "key", "sketch")]], schema=_found_schema(),
-        ))
-        return pa.Table.from_batches(out)
-
-    # a region's portions hold SMALL rows at most each, and there are no more of them than partitions
-    joined = materialize(parts.groupBy("tree", "prefix").applyInArrow(across, FOUND), "mh-across", thin=True)
-    best = joined.filter("tree is not null").groupBy("tree", "prefix").agg(F.collect_list(F.struct("cls", "sketch")).alias("best"))
-    members = rows.withColumn("prefix", F.expr(f"substring(key, 1, {2 * LEAST_DEPTH})")).join(materialize(best, "mh-best", thin=True), ["tree", "prefix"])
+        region = region.sort_by("cls")
+        best = region.take(pa.array(hubs(unpacked(region.column("sketch").to_pylist())[0]), pa.int64()))
+        return best.select(["tree", "prefix", "cls", "sketch"])
 
     def meet(batches):
-        schema = _found_schema()
         for batch in batches:
-            own = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            own, _ = unpacked(batch.column(1).to_pylist())
             pairs: dict[tuple[bytes, bytes], int] = {}
             for cls, sketch, best in zip(batch.column(0).to_pylist(), own, batch.column(2).to_pylist(), strict=True):
-                for hub in best:
-                    if hub["cls"] != cls and (np.frombuffer(hub["sketch"], np.uint8) == sketch).mean() >= LIKE:
-                        _note(pairs, cls, hub["cls"], 1)
-            yield _pair_batch(pairs, schema)
+                to = _alike(unpacked([h["sketch"] for h in best])[0], sketch)
+                if to.max() >= like and best[to.argmax()]["cls"] != cls:
+                    _note(pairs, cls, best[to.argmax()]["cls"], 1)
+            yield _pair_batch(pairs)
 
-    met = members.select("cls", "sketch", "best").mapInArrow(meet, FOUND)
-    pairs = found.select("a", "b", "tier").unionByName(joined.select("a", "b", "tier")).unionByName(met.select("a", "b", "tier"))
-    crowded = found.select("a", "b", "portion").unionByName(joined.select("a", "b", "portion")).filter("a is not null and b is null")
-    return pairs.filter("a is not null and a != b").groupBy("a", "b").agg(F.min("tier").alias("tier")), crowded.select(F.col("a").alias("cls")).distinct()
+    # HUBS rows a part, and no more parts than partitions and PORTIONs of rows
+    joined = parts.select("tree", "prefix", "cls", "sketch").groupBy("tree", "prefix").applyInArrow(across, "tree int, prefix binary, cls binary, sketch binary")
+    best = materialize(joined.groupBy("tree", "prefix").agg(F.collect_list(F.struct("cls", "sketch")).alias("best")), "mh-best", thin=True)
+    members = rows.select("tree", prefix(), "cls", "sketch").join(best, ["tree", "prefix"])
+    return members.select("cls", "sketch", "best").mapInArrow(meet, FOUND).select("a", "b", "tier")
 
 
 # ---- confirmation and components -----------------------------------------------------
 
 
-def confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
-    """Pairs of classes whose full sets have intersection / union >= numerator / denominator.
-
-    The texts of the classes' representatives are shuffled to their pairs and
-    the sets to each other; a hot representative's rows are split by Spark.
-    """
-    sides = pairs.select("a", "b", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("cls")), F.struct(F.lit(1).alias("side"), F.col("b").alias("cls")))).alias("s"))
-    sides = sides.select("a", "b", "s.side", "s.cls").join(reps.select("cls", F.col("doc_id").alias("rep")), "cls")
-    texts = sides.join(docs.select("doc_id", "text"), F.col("rep").eqNullSafe(F.col("doc_id"))).select("a", "b", "side", "cls", "text")
-
-    def sets(batches):
-        import pyarrow as pa
-
-        last_text, last = None, None
-        for batch in slices(batches, "text"):
-            col = batch.column(4).to_pylist()
-            keys, packed_ = [], []
-            # rows of one representative lie side by side, so its set is made once
-            fresh = [i for i, t in enumerate(col) if t != (col[i - 1] if i else last_text)]
-            made = dict(zip(fresh, shingle_sets(batch.column(4).take(pa.array(fresh, pa.int64())), words), strict=True)) if fresh else {}
-            for i in range(len(col)):
-                if i in made:
-                    last = (set_key(made[i]), made[i].tobytes())
-                keys.append(last[0])
-                packed_.append(last[1])
-            last_text = col[-1]
-            right = pa.array([k == c for k, c in zip(keys, batch.column(3).to_pylist(), strict=True)], pa.bool_())
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(packed_, pa.binary())], names=["a", "b", "side", "shingles"])
-            yield out.filter(right)
-
-    rows = texts.mapInArrow(sets, "a binary, b binary, side int, shingles binary")
-    both = rows.groupBy("a", "b").agg(F.max(F.when(F.col("side") == 0, F.col("shingles"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("shingles"))).alias("y"))
-    return compared(both, numerator, denominator)
-
-
-def compared(both: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(a, b, x, y) -> the pairs a, b whose sets x and y have intersection / union >= numerator / denominator."""
+def confirm(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs of classes whose full sets have intersection / union >= numerator / denominator; hot classes' rows are split by Spark."""
+    x, y = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
 
     def compare(batches):
         import pyarrow as pa
 
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                u, v = np.frombuffer(x or b"", np.uint64), np.frombuffer(y or b"", np.uint64)
+            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                u, v = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
                 same = len(np.intersect1d(u, v, assume_unique=True))
                 ok.append(denominator * same >= numerator * (len(u) + len(v) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(compare, "a binary, b binary")
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+
+
+def classes_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+
+
+def labelled(classes: DataFrame, labels: DataFrame, cls: str = "cls", label: str = "label") -> DataFrame:
+    """Add the component of each class, which is the class itself where it has no link."""
+    own = labels.select(F.col("node").alias(cls), F.col("label").alias(label))
+    return classes.join(own, cls, "left").withColumn(label, F.coalesce(label, cls))
 
 
 def across_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose classes are not yet in one component."""
-    labels = materialize(labels, "mh-labels", thin=True)
-    out = pairs
-    for side in ("a", "b"):
-        own = labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
-        out = out.join(own, side, "left")
-    return out.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
+    out = labelled(labelled(pairs, labels, "a", "a_label"), labels, "b", "b_label")
+    return out.filter("a_label != b_label").select("a", "b")
+
+
+# ---- crowded regions -----------------------------------------------------------------
+
+
+def bottom(s: np.ndarray) -> tuple[bytes, int]:
+    """The BOTTOM least 32-bit hashes of a set, and its size."""
+    return np.unique((mix64(s) >> np.uint64(32)).astype(np.uint32))[:BOTTOM].tobytes(), len(s)
+
+
+def common_counts(lists: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
+    """Number of values that each of the given rows shares with every list."""
+    m = len(lists)
+    value = np.concatenate(lists)
+    owner = np.repeat(np.arange(m), [len(x) for x in lists])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    at = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    often = np.diff(np.append(at, len(value)))
+    place = np.full(m, -1)
+    place[rows] = np.arange(len(rows))
+    out = np.zeros((len(rows), m), np.float32)
+    hot = np.flatnonzero(often * 10 >= max(m, 20))
+    # values that many lists have: a matrix product, some columns at a time; others: list by list
+    for k in range(0, len(hot), 1024):
+        there = np.zeros((m, min(1024, len(hot) - k)), np.float32)
+        for c, v in enumerate(hot[k : k + 1024].tolist()):
+            there[owner[at[v] : at[v] + often[v]], c] = 1
+        out += there[rows] @ there.T
+    flat = out.reshape(-1)
+    for size in np.unique(often[(often > 1) & (often * 10 < max(m, 20))]).tolist():
+        mine = at[often == size]
+        for k in range(0, len(mine), max(1, (1 << 20) // size**2)):
+            group = owner[mine[k : k + max(1, (1 << 20) // size**2), None] + np.arange(size)]
+            x, y = np.broadcast_to(place[group][:, :, None], (*group.shape, size)).ravel(), np.broadcast_to(group[:, None, :], (*group.shape, size)).ravel()
+            code, many = np.unique((x * m + y)[x >= 0], return_counts=True)
+            flat[code] += many
+    return out
+
+
+def joins(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of pairs x, y that join the labelled components to as few as all pairs would, and the labels then."""
+    labels, taken = labels.copy(), []
+    left = np.flatnonzero(labels[x] != labels[y])
+    while len(left):
+        parent: dict[int, int] = {}
+
+        def top(k: int) -> int:
+            while parent.get(k, k) != k:
+                k = parent[k]
+            return k
+
+        # one pair for each component at a time
+        _, one = np.unique(labels[x[left]], return_index=True)
+        for p in left[one].tolist():
+            a, b = top(int(labels[x[p]])), top(int(labels[y[p]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                taken.append(p)
+        names = np.unique(labels)
+        labels = np.array([top(int(k)) for k in names])[np.searchsorted(names, labels)]
+        left = left[labels[x[left]] != labels[y[left]]]
+    return np.array(taken, np.int64), labels
+
+
+def region_links(lists: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Pairs of a crowded region that join its components: as few as will do of the sure ones, and all that only full sets can decide.
+
+    ``lists`` are the BOTTOM least hashes of the sets (all of a smaller set).
+    """
+    names, many = np.unique(labels, return_counts=True)
+    rows = np.flatnonzero(labels != names[many.argmax()])  # the largest component's classes need not meet each other
+    length = np.array([len(x) for x in lists], np.int64)
+    cut = sizes > BOTTOM
+    last = np.array([int(x[-1]) if c else 1 << 32 for x, c in zip(lists, cut.tolist(), strict=True)])
+    # below the lesser of two last values both lists have all that the sets have
+    below = np.stack([np.searchsorted(x, last, side="right") for x in lists]) if cut.any() else None  # [j, i]: of j's list, up to i's last
+    share = numerator / denominator
+    common = common_counts(lists, rows)
+    sure, unsure = [], []
+    for k in range(0, len(rows), 256):
+        x = rows[k : k + 256]
+        same = common[k : k + 256].astype(np.int64)
+        left, right = length[x, None], length[None]
+        whole = ~cut[x, None] & ~cut[None]
+        if below is not None:
+            left, right = np.minimum(left, below[x]), np.minimum(right, below[:, x].T)
+        union = np.maximum(left + right - same, 1)
+        # whole lists are exact but for hashes that meet by chance; of others the share is a sample's
+        slack = np.where(whole, 1.0, 4 * np.sqrt(share * (1 - share) * union))
+        possible = (same + slack >= share * (union - whole) - 1e-9) & (labels[x, None] != labels[None]) & _near_size(sizes, x[:, None], np.arange(len(lists))[None], share)
+        certain = possible & (same - slack >= share * (union + whole))
+        for out, mask in ((sure, certain), (unsure, possible & ~certain)):
+            i, j = np.nonzero(mask)
+            out.append((x[i], j))
+    x, y = (np.concatenate([p[k] for p in sure] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    taken, joined = joins(labels, x, y)
+    out = list(zip(x[taken].tolist(), y[taken].tolist(), strict=True))
+    for x, y in unsure:
+        open_ = joined[x] != joined[y]
+        out += zip(x[open_].tolist(), y[open_].tolist(), strict=True)
+    return out
+
+
+def crowded_pairs(members: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(tree, prefix, cls, label, hashes, n) -> candidate pairs a, b within regions of LARGE classes at most."""
+
+    def run(region):
+        import pyarrow as pa
+
+        region = region.sort_by("cls")
+        cls = region.column("cls").to_pylist()
+        _, labels = np.unique(np.array([x.hex() for x in region.column("label").to_pylist()]), return_inverse=True)
+        lists = [np.frombuffer(x, np.uint32) for x in region.column("hashes").to_pylist()]
+        found = region_links(lists, region.column("n").to_numpy(), labels, numerator, denominator)
+        ends = [sorted((cls[i], cls[j])) for i, j in found]
+        return pa.table({"a": pa.array([x for x, _ in ends], pa.binary()), "b": pa.array([y for _, y in ends], pa.binary())})
+
+    return members.groupBy("tree", "prefix").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def first_shingles(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -504,65 +657,72 @@ def first_shingles(sets: DataFrame, numerator: int, denominator: int) -> DataFra
     return sets.select("cls", "shingles").mapInArrow(firsts, "cls binary, n int, shingle long, rest int")
 
 
-def exact_rest(crowded: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
-    """All links a, b among the classes of crowded regions whose components (node, label) differ so far."""
-
-    def shingled(batches):
-        import pyarrow as pa
-
-        for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column(1), words)
-            right = pa.array([set_key(s) == c for s, c in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "shingles"]).filter(right)
-
-    chosen = crowded.join(reps.select("cls", F.col("doc_id").alias("rep")), "cls")
-    texts = chosen.join(docs.select("doc_id", "text"), F.col("rep").eqNullSafe(F.col("doc_id"))).select("cls", "text")
-    # rows may repeat a doc_id and its text
-    sets = materialize(texts.mapInArrow(shingled, "cls binary, shingles binary").groupBy("cls").agg(F.max("shingles").alias("shingles")), "mh-sets")
-    own = labels.select(F.col("node").alias("cls"), "label")
-    firsts = first_shingles(sets, numerator, denominator).join(own, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    firsts = materialize(firsts, "mh-firsts")
+def first_shingle_pairs(sets: DataFrame, labels: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """All pairs a, b of classes in different components that can be alike by their first common shingle."""
+    firsts = materialize(labelled(first_shingles(sets, numerator, denominator), labels), "mh-firsts")
     # of a shingle's classes only those outside its largest component have to meet all others
     by = firsts.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(F.max_by("label", "k").alias("top"), F.count(F.lit(1)).alias("labels"))
     live = materialize(firsts.join(by.filter("labels > 1").select("shingle", "top"), "shingle"), "mh-live")
     x = live.filter("label != top").select("shingle", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "rest", "label")])
     y = live.select("shingle", *[F.col(c).alias(f"y_{c}") for c in ("cls", "n", "rest", "label")])
-    size = (F.least("x_n", "y_n") * denominator >= F.greatest("x_n", "y_n") * numerator)
+    size = F.least("x_n", "y_n") * denominator >= F.greatest("x_n", "y_n") * numerator
     # the first shingle that two sets share leaves no more than the shorter rest to share
     share = (F.least("x_rest", "y_rest") + 1) * (numerator + denominator) >= (F.col("x_n") + F.col("y_n")) * numerator
     met = x.join(y, "shingle").filter((F.col("x_label") != F.col("y_label")) & size & share)
-    pairs = materialize(met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct(), "mh-met", thin=True)
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
-    return compared(both.select("a", "b", "x", "y"), numerator, denominator)
+    return met.select(F.least("x_cls", "y_cls").alias("a"), F.greatest("x_cls", "y_cls").alias("b")).distinct()
+
+
+def crowded_links(regions: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame | None:
+    """All links a, b between the components that crowded regions hold so far; None where each holds one."""
+    rows = reps.select("cls", "sig", F.explode(F.array(*map(F.lit, range(TREES)))).alias("tree"))
+    members = rows.select("tree", F.expr(f"substring(sig, tree * {2 * DEPTH} + 1, {2 * LEAST_DEPTH})").alias("prefix"), "cls").join(regions, ["tree", "prefix"])
+    members = materialize(labelled(members, labels), "mh-members")
+    several = members.groupBy("tree", "prefix").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("tree", "prefix")
+    members = materialize(members.join(materialize(several, "mh-several", thin=True), ["tree", "prefix"]), "mh-members")
+    pairs = []
+    gathered, large = members.filter(F.col("n") <= LARGE), members.filter(F.col("n") > LARGE)
+    if not gathered.isEmpty():
+        hashes = materialize(class_sets(gathered.select("cls").distinct(), reps, docs, words, bottom, "hashes binary, n long"), "mh-hashes")
+        pairs.append(materialize(crowded_pairs(gathered.drop("n").join(hashes, "cls"), numerator, denominator), "mh-gathered", thin=True))
+    if not large.isEmpty():
+        sets = materialize(class_sets(large.select("cls").distinct(), reps, docs, words), "mh-sets")
+        pairs.append(materialize(first_shingle_pairs(sets, labels, numerator, denominator), "mh-met", thin=True))
+    if not pairs:
+        return None
+    pairs = pairs[0] if len(pairs) == 1 else pairs[0].union(pairs[1]).distinct()
+    sets = materialize(class_sets(classes_of(pairs), reps, docs, words), "mh-sets")
+    return confirm(pairs, sets, numerator, denominator)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 8, denominator: int = 10) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, cls, component_id: the least doc_id of a document's component."""
+def near_duplicates(docs: DataFrame, words: int = 5, numerator: int = 8, denominator: int = 10, miss: float = MISS) -> DataFrame:
+    """(doc_id, text) -> doc_id, text_key, n_shingles, cls, component_id: the least doc_id of a document's component,
+    and first: whether a row has that doc_id and the least key of its texts in the component."""
     spark = docs.sparkSession
     signed = materialize(sign(docs, words), "mh-signed")
-    reps = materialize(signed.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig")), "mh-reps", thin=True)
-    pairs, crowded = candidates(reps)
-    pairs, crowded = materialize(pairs, "mh-pairs", thin=True), materialize(crowded, "mh-crowded", thin=True)
-    release(spark)
-    # each class meets the hubs around it first; what they link needs no second link, so of the
-    # other candidates only those between components are left to confirm
-    links = materialize(confirm(pairs.filter("tier = 1"), reps, docs, words, numerator, denominator), "mh-links")
-    release(spark)
-    rest = materialize(across_components(pairs.filter("tier = 2"), components(links)), "mh-rest", thin=True)
-    links = links.unionByName(materialize(confirm(rest, reps, docs, words, numerator, denominator), "mh-links"))
+    reps = materialize(representatives(signed), "mh-reps", thin=True)
+    pairs, regions = candidates(reps, least_alike(numerator, denominator, miss), numerator / denominator)
+    pairs = materialize(pairs, "mh-pairs", thin=True)
+    sets = materialize(class_sets(classes_of(pairs), reps, docs, words), "mh-sets")
     release(spark)
+    links = materialize(confirm(pairs.filter("tier = 1"), sets, numerator, denominator), "mh-links", thin=True)
+    labels = materialize(components(links), "mh-labels", thin=True)
+    rest = across_components(pairs.filter("tier = 2"), labels)
+    links = links.unionByName(materialize(confirm(rest, sets, numerator, denominator), "mh-links", thin=True))
     labels = materialize(components(links), "mh-labels", thin=True)
-    if not crowded.isEmpty():
-        links = links.unionByName(materialize(exact_rest(crowded, labels, reps, docs, words, numerator, denominator), "mh-links"))
-        release(spark)
-        labels = materialize(components(links), "mh-labels", thin=True)
+    release(spark)
+    if not regions.isEmpty():
+        more = crowded_links(regions, labels, reps, docs, words, numerator, denominator)
+        if more is not None:
+            links = links.unionByName(materialize(more, "mh-links", thin=True))
+            labels = materialize(components(links), "mh-labels", thin=True)
+            release(spark)
     # nulls come after all ids as a component's least
-    least = labels.join(reps.select(F.col("cls").alias("node"), "doc_id"), "node").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = labels.join(least, "label").select(F.col("node").alias("cls"), "component_id")
-    owners = reps.select("cls", "doc_id").join(linked, "cls", "left").select("cls", F.coalesce("component_id", "doc_id").alias("component_id"))
-    owners = materialize(owners, "mh-owners", thin=True)
-    own = signed.select("doc_id", "n_shingles", "cls").join(owners, "cls", "left")
-    return own.select("doc_id", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = labelled(reps.select("cls", "doc_id", "text_key"), labels)
+    least = own.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("r"))
+    owners = own.select("cls", "label").join(least, "label").select("cls", F.col("r.doc_id").alias("component_id"), F.col("r.text_key").alias("least_key"))
+    found = signed.drop("sig").join(materialize(owners, "mh-owners", thin=True), "cls", "left")
+    first = F.col("cls").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("least_key")))
+    return found.select("doc_id", "text_key", "n_shingles", "cls", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), first.alias("first"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
