@@ -59,21 +59,36 @@ def _kept_pairs(a: list, b: list) -> list[tuple[int, int]]:
     return [(i, i) for i in range(head)] + pairs + [(len(a) - tail + i, len(b) - tail + i) for i in range(tail)]
 
 
-def _slide(tokens: list, changed: list[bool]) -> None:
-    """Move each changed run down while the token after it equals its first one."""
-    i, n = 0, len(tokens)
-    while i < n:
-        if not changed[i]:
-            i += 1
+def _latest(tokens: list, changed: list[bool]) -> list[bool]:
+    """The same changes with each run of them at its latest place.
+
+    A run may move by one where the token it leaves equals the one it takes.
+    Runs are placed from the end on; one that reaches the next is one with it
+    and may move further.
+    """
+    placed: list[tuple[int, int]] = []  # from the end of the sequence backwards
+    end = len(tokens)
+    while end:
+        start = end
+        while start and changed[start - 1]:
+            start -= 1
+        if start == end:
+            end -= 1
             continue
-        end = i
-        while end < n and changed[end]:
-            end += 1
-        if end < n and tokens[i] == tokens[end]:
-            changed[i], changed[end] = False, True
-            i += 1
-        else:
-            i = end
+        first, last = start, end
+        while True:
+            room = placed[-1][0] if placed else len(tokens)
+            while last < room and tokens[first] == tokens[last]:
+                first, last = first + 1, last + 1
+            if not placed or last < room:
+                break
+            last = placed.pop()[1]
+        placed.append((first, last))
+        end = start
+    out = [False] * len(tokens)
+    for first, last in placed:
+        out[first:last] = [True] * (last - first)
+    return out
 
 
 def chunks(a: list, b: list) -> list[tuple[bool, int, int, int, int]]:
@@ -81,8 +96,7 @@ def chunks(a: list, b: list) -> list[tuple[bool, int, int, int, int]]:
     gone, new = [True] * len(a), [True] * len(b)
     for i, j in _kept_pairs(a, b):
         gone[i] = new[j] = False
-    _slide(a, gone)
-    _slide(b, new)
+    gone, new = _latest(a, gone), _latest(b, new)
     out, i, j = [], 0, 0
     while i < len(a) or j < len(b):
         p, q = i, j
@@ -100,15 +114,6 @@ def chunks(a: list, b: list) -> list[tuple[bool, int, int, int, int]]:
     return out
 
 
-def notation(found: list[tuple[bool, int, int, int, int]]) -> str:
-    """Changed chunks as ``[from,to]->[from,to]`` with inclusive ends; ``[at]`` is one token, ``(at)`` none."""
-
-    def one(start: int, end: int) -> str:
-        return f"({start})" if start == end else f"[{start}]" if end == start + 1 else f"[{start},{end - 1}]"
-
-    return " ".join(f"{one(a, b)}->{one(c, d)}" for changed, a, b, c, d in found if changed)
-
-
 def similarity_of(found: list[tuple[bool, int, int, int, int]]) -> float:
     """Kept tokens as a share of kept ones and of the longer side of each change."""
     same = sum(b - a for changed, a, b, _, _ in found if not changed)
@@ -264,5 +269,35 @@ def apply_window_delta(base: bytes, delta: bytes) -> bytes:
     return bytes(out)
 
 
+def make_window_delta(base: bytes, target: bytes, version: int = 0) -> bytes:
+    """One window that copies what both begin with from the base and the rest from new data; version 1 deflates its sections."""
+    same = 0
+    while same < min(len(base), len(target)) and base[same] == target[same]:
+        same += 1
+    fresh = target[same:]
+    code = (_instruction(0, same) + _plain(0) if same else b"") + (_instruction(2, len(fresh)) if fresh else b"")
+
+    def section(data: bytes) -> bytes:
+        if not version:
+            return data
+        small = zlib.compress(data)
+        return _plain(len(data)) + (small if len(small) < len(data) else data)
+
+    code, fresh = section(code), section(fresh)
+    head = b"".join(_plain(x) for x in (0, len(base), len(target), len(code), len(fresh)))
+    return b"SVN" + bytes([version]) + head + code + fresh
+
+
+def _plain(n: int) -> bytes:
+    out = [n & 127]
+    while n := n >> 7:
+        out.append(128 | n & 127)
+    return bytes(reversed(out))
+
+
+def _instruction(kind: int, n: int) -> bytes:
+    return bytes([kind << 6 | n]) if n < 64 else bytes([kind << 6]) + _plain(n)
+
+
 def apply_delta(base: Column, delta: Column, windows: bool = False) -> Column:
     return each(apply_window_delta if windows else apply_copy_delta, "binary", base, delta)

@@ -21,9 +21,10 @@ def lines(text: Column, accepted: tuple[str, ...] = ("crlf", "lf", "cr")) -> Col
     """Array of (line, eol); a last line without terminator has an empty eol, and no empty line follows a final terminator."""
     pattern = _pattern(accepted)
     ends = F.regexp_extract_all(text, F.lit(f"(?:{pattern})"), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    rows = F.transform(parts, lambda p, i: F.struct(p.alias("line"), F.coalesce(F.get(ends, i), F.lit("")).alias("eol")))
-    return F.filter(rows, lambda r: (r["line"] != "") | (r["eol"] != ""))
+    both = F.struct(ends.alias("ends"), F.split(text, pattern, -1).alias("parts"))
+    # bound once: an expression within a lambda would be computed for each line
+    rows = F.transform(F.array(both), lambda v: F.transform(v["parts"], lambda p, i: F.struct(p.alias("line"), F.coalesce(F.get(v["ends"], i), F.lit("")).alias("eol"))))
+    return F.filter(F.get(rows, F.lit(0)), lambda r: (r["line"] != "") | (r["eol"] != ""))
 
 
 def normalize_eols(text: Column, accepted: tuple[str, ...], produced: str) -> Column:

@@ -1,97 +1,169 @@
 """Graph operators over edge tables: history walks, generations, tree flattening and reference resolution.
 
-Edges and nodes are plain tables.  Walks whose depth is small or bounded are
-recursive queries; whole-graph computations go level by level, each level
-written out before the next.
+Edges and nodes are plain tables, and no walk has a limit.  Chains (first
+parents, symbolic references) are followed by pointer doubling, in as many
+rounds as the length of the longest has binary digits.  Reachability alternates
+between closing whole chains and stepping to the other parents; longest paths
+run over a graph in which chains are single edges.  Trees go level by level.
+Each round starts from written tables.
 """
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .durable import written
+from .durable import discard, written
 
 
-def _view(df: DataFrame, name: str) -> str:
-    name = f"{name}_{uuid.uuid4().hex[:12]}"
-    df.createOrReplaceTempView(name)
-    return name
+def _chain(parents: DataFrame) -> DataFrame:
+    """(id, to): each commit and its first parent."""
+    return parents.filter("parent_index = 0").groupBy(F.col("commit_id").alias("id")).agg(F.min("parent_id").alias("to"))
 
 
-def first_parent_walk(parents: DataFrame, seeds: DataFrame, most: int = 10_000) -> DataFrame:
-    """(commit_id, parent_index, parent_id), (id) -> id, depth, seed: each seed and its chain of first parents, at most ``most`` deep."""
-    spark = parents.sparkSession
-    p, s = _view(parents.filter("parent_index = 0").select("commit_id", "parent_id"), "parents"), _view(seeds.select("id"), "seeds")
-    return spark.sql(f"""
-        WITH RECURSIVE walk MAX RECURSION LEVEL {most + 1} AS (
-          SELECT id AS seed, id, 0 AS depth FROM {s}
-          UNION ALL
-          SELECT w.seed, e.parent_id, w.depth + 1 FROM walk w JOIN {p} e ON e.commit_id = w.id WHERE w.depth < {most - 1})
-        SELECT id, CAST(depth AS BIGINT) AS depth, seed FROM walk""")
+def _jumps(chain: DataFrame, *carried: tuple[str, Column]):
+    """Written tables (id, to, ...): the ends of 1, 2, 4, ... steps along a chain, as long as there are any.
 
-
-def ancestors(parents: DataFrame, seeds: DataFrame, most_levels: int = 1_000_000) -> DataFrame:
-    """(seed, id): everything each seed reaches, itself included; level by level, without what is known."""
-    frontier = known = written(seeds.select(F.col("id").alias("seed"), "id").distinct(), "anc")
-    for _ in range(most_levels):
-        step = frontier.join(parents, frontier["id"] == parents["commit_id"]).select("seed", F.col("parent_id").alias("id")).distinct()
-        frontier = written(step.join(known, ["seed", "id"], "left_anti"), "anc")
-        if frontier.isEmpty():
+    ``carried`` columns of two joined jumps are told by expressions over ``x`` (the first) and ``y`` (the second).
+    """
+    table, steps, nodes = written(chain, "jump"), 1, None
+    while not table.isEmpty():
+        yield steps, table
+        nodes = table.count() if nodes is None else nodes
+        if steps > 2 * nodes:
+            raise ValueError("the chain of first parents has a cycle")
+        table = written(table.alias("x").join(table.alias("y"), F.col("x.to") == F.col("y.id")).select(F.col("x.id").alias("id"), F.col("y.to").alias("to"), *[e.alias(n) for n, e in carried]), "jump")
+        steps *= 2
+
+
+def first_parent_walk(parents: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(commit_id, parent_index, parent_id), (id) -> id, depth, seed: each seed and its whole chain of first parents."""
+    parts = [written(seeds.select("id", F.lit(0).cast("long").alias("depth"), F.col("id").alias("seed")).distinct(), "walk")]
+    for steps, jump in _jumps(_chain(parents)):
+        # what is known lies less than ``steps`` deep; the same again, that much deeper
+        known = reduce(DataFrame.unionByName, parts)
+        further = known.alias("w").join(jump.alias("j"), F.col("w.id") == F.col("j.id"))
+        parts.append(written(further.select(F.col("j.to").alias("id"), (F.col("w.depth") + steps).alias("depth"), "w.seed"), "walk"))
+        if parts[-1].isEmpty():
             break
-        known = known.unionByName(frontier)  # of written levels
-    return known
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ancestors(parents: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(commit_id, parent_index, parent_id), (id) -> seed, id: everything each seed reaches, itself included."""
+    return _reached(parents, seeds.select(F.col("id").alias("seed"), "id"))
+
+
+def reachable(parents: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(commit_id, parent_index, parent_id), (id) -> id: everything that any of the seeds reaches, themselves included."""
+    return _reached(parents, seeds.select(F.lit(0).alias("seed"), "id")).select("id")
+
+
+def _reached(parents: DataFrame, start: DataFrame) -> DataFrame:
+    jumps = [jump for _, jump in _jumps(_chain(parents))]
+    others = written(parents.filter("parent_index > 0").select("commit_id", "parent_id").distinct(), "others")
+    frontier, known = written(start.distinct(), "reach"), []
+    while not frontier.isEmpty():
+        # all of the frontier's chains: after the jumps of 1, 2, 4, ... steps no first parent is missing
+        closed = frontier
+        for jump in jumps:
+            more = closed.alias("c").join(jump.alias("j"), F.col("c.id") == F.col("j.id")).select("c.seed", F.col("j.to").alias("id"))
+            closed = written(closed.unionByName(more).distinct(), "reach")
+        new = written(_without(closed, known), "reach")
+        known.append(new)
+        step = new.join(others, new["id"] == others["commit_id"]).select("seed", F.col("parent_id").alias("id")).distinct()
+        frontier = written(_without(step, known), "reach")
+    discard(*jumps)
+    return reduce(DataFrame.unionByName, known) if known else start.distinct()
+
+
+def _without(rows: DataFrame, known: list[DataFrame]) -> DataFrame:
+    return rows.join(reduce(DataFrame.unionByName, known), ["seed", "id"], "left_anti") if known else rows
 
 
 def ahead_behind(parents: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: how many commits only the left and only the right seeds reach."""
-    a = ancestors(parents, left).select("id").distinct().withColumn("l", F.lit(1))
-    b = ancestors(parents, right).select("id").distinct().withColumn("r", F.lit(1))
+    a = reachable(parents, left).withColumn("l", F.lit(1))
+    b = reachable(parents, right).withColumn("r", F.lit(1))
     both = a.join(b, "id", "full")
     return both.agg(F.count_if(F.col("r").isNull()).alias("ahead"), F.count_if(F.col("l").isNull()).alias("behind"))
 
 
-def generations(nodes: DataFrame, parents: DataFrame, most_levels: int = 100_000) -> DataFrame:
-    """(id), (commit_id, parent_id) -> id, generation: one more than the greatest generation of the parents, 1 without any."""
-    edges = parents.select("commit_id", "parent_id").distinct()
-    level = written(nodes.select("id").join(edges, F.col("id") == F.col("commit_id"), "left_anti"), "gen")
-    levels = []
-    for depth in range(1, most_levels):
-        if level.isEmpty():
+def longest(nodes: DataFrame, parents: DataFrame, name: str) -> DataFrame:
+    """(id, own), (commit_id, parent_id) -> id, name: own value, or one more than the greatest value of the parents where that is greater.
+
+    Parents that are no nodes do not count.  Runs of nodes with one parent are
+    contracted to one edge each, with the number of steps and the greatest own
+    value counted on to its end; only the nodes with none or several parents
+    are then improved round by round, from those that changed last.
+    """
+    node = written(nodes.select("id", F.col("own").cast("long").alias("own")).groupBy("id").agg(F.max("own").alias("own")), "long")
+    edges = parents.select("commit_id", "parent_id").distinct().join(node.select(F.col("id").alias("commit_id")), "commit_id", "left_semi")
+    edges = written(edges.join(node.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("commit_id", "parent_id"), "long")
+    single = edges.groupBy(F.col("commit_id").alias("id")).agg(F.min("parent_id").alias("to"), F.count(F.lit(1)).alias("n")).filter("n = 1").select("id", "to")
+    chain = single.join(node, "id").select("id", "to", F.lit(1).cast("long").alias("steps"), F.col("own").alias("best"))
+    # a run ends at the first node that is not single; until then its length doubles
+    runs, limit = written(chain, "run"), 2 * node.count() + 2
+    while True:
+        step = runs.alias("x").join(runs.alias("y"), F.col("x.to") == F.col("y.id"), "left")
+        step = step.select("x.id", F.coalesce("y.to", "x.to").alias("to"), (F.col("x.steps") + F.coalesce("y.steps", F.lit(0))).alias("steps"), F.greatest("x.best", F.col("y.best") + F.col("x.steps")).alias("best"), F.col("y.id").isNotNull().alias("moved"))
+        step = written(step, "run")
+        moved, most = step.agg(F.count_if("moved"), F.max("steps")).first()
+        discard(runs)
+        runs = step.drop("moved")
+        if not moved:
             break
-        levels.append(level.withColumn("generation", F.lit(depth).cast("long")))
-        level = written(level.join(edges, F.col("id") == F.col("parent_id")).select(F.col("commit_id").alias("id")).distinct(), "gen")
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.groupBy("id").agg(F.max("generation").alias("generation"))
+        if most > limit:
+            raise ValueError("the graph has a cycle")
+    # edges of the contracted graph: from a node that is not single to the ends of its parents' runs
+    knots = node.join(single.select("id"), "id", "left_anti")
+    several = edges.join(knots.select(F.col("id").alias("commit_id")), "commit_id", "left_semi")
+    run = runs.select(F.col("id").alias("parent_id"), "to", "steps", "best")
+    hops = several.join(run, "parent_id", "left").select("commit_id", F.coalesce("to", "parent_id").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), (F.col("best") + 1).alias("best"))
+    hops = written(hops, "hops")
+    least = hops.groupBy(F.col("commit_id").alias("id")).agg(F.max("best").alias("best"))
+    value = written(knots.join(least, "id", "left").select("id", F.greatest("own", "best").alias("value")), "value")
+    hops = written(hops.groupBy("commit_id", "to").agg(F.max("steps").alias("steps")), "hops")
+    changed, rounds = value, 0
+    while not changed.isEmpty():
+        better = changed.join(hops, F.col("id") == F.col("to")).groupBy(F.col("commit_id").alias("id")).agg(F.max(F.col("value") + F.col("steps")).alias("found"))
+        changed = written(better.join(value, "id").filter("found > value").select("id", F.col("found").alias("value")), "value")
+        value = written(value.join(changed.withColumnRenamed("value", "now"), "id", "left").select("id", F.coalesce("now", "value").alias("value")), "value")
+        rounds += 1
+        if rounds > limit:
+            raise ValueError("the graph has a cycle")
+    end = value.select(F.col("id").alias("to"), "value")
+    along = runs.join(end, "to").select("id", F.greatest("best", F.col("value") + F.col("steps")).alias(name))
+    return value.select("id", F.col("value").alias(name)).unionByName(along)
+
+
+def generations(nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """(id), (commit_id, parent_id) -> id, generation: one more than the greatest generation of the parents, 1 without any."""
+    return longest(nodes.select("id", F.lit(1).alias("own")), parents, "generation")
 
 
-def corrected_times(nodes: DataFrame, parents: DataFrame, numbered: DataFrame) -> DataFrame:
+def corrected_times(nodes: DataFrame, parents: DataFrame) -> DataFrame:
     """(id, epoch) -> id, corrected: own time, but later than every parent's corrected time."""
-    top = numbered.agg(F.max("generation")).first()[0] or 0
-    own = written(nodes.select("id", "epoch").join(numbered, "id"), "time")
-    done = written(own.filter("generation = 1").select("id", F.col("epoch").alias("corrected")), "time")
-    for g in range(2, top + 1):
-        here = own.filter(F.col("generation") == g)
-        by = here.join(parents, F.col("id") == F.col("commit_id")).join(done.withColumnRenamed("id", "pid"), F.col("parent_id") == F.col("pid"))
-        new = by.groupBy(here["id"], "epoch").agg(F.max("corrected").alias("m")).select("id", F.greatest("epoch", F.col("m") + 1).alias("corrected"))
-        done = written(done.unionByName(new), "time")
-    return done
-
-
-def flatten_tree(entries: DataFrame, roots: DataFrame, files_only: bool = True, most: int = 4096) -> DataFrame:
+    return longest(nodes.select("id", F.col("epoch").alias("own")), parents, "corrected")
+
+
+def flatten_tree(entries: DataFrame, roots: DataFrame, files_only: bool = True) -> DataFrame:
     """(tree_id, name, mode, object_id), (tree_id) -> root, path, name, mode, object_id of all entries below the roots."""
-    spark = entries.sparkSession
-    e, r = _view(entries, "entries"), _view(roots.select("tree_id"), "roots")
-    out = spark.sql(f"""
-        WITH RECURSIVE walk MAX RECURSION LEVEL {most} AS (
-          SELECT r.tree_id AS root, e.name AS path, e.name, e.mode, e.object_id FROM {r} r JOIN {e} e ON e.tree_id = r.tree_id
-          UNION ALL
-          SELECT w.root, concat(w.path, '/', e.name), e.name, e.mode, e.object_id FROM walk w JOIN {e} e ON w.mode = 16384 AND e.tree_id = w.object_id)
-        SELECT * FROM walk""")
+    e = entries.select("tree_id", "name", "mode", "object_id")
+    columns = ("root", "path", "name", "mode", "object_id")
+    level = roots.select(F.col("tree_id").alias("root"), "tree_id").distinct().join(e, "tree_id").select("root", F.col("name").alias("path"), "name", "mode", "object_id")
+    levels, most = [written(level, "tree")], None
+    while True:
+        folders = levels[-1].filter("mode = 16384").select("root", F.col("path").alias("above"), F.col("object_id").alias("tree_id"))
+        if folders.isEmpty():
+            break
+        most = entries.select("tree_id").distinct().count() if most is None else most
+        if len(levels) > most:
+            raise ValueError("a tree contains itself")
+        levels.append(written(folders.join(e, "tree_id").withColumn("path", F.concat_ws("/", "above", "name")).select(*columns), "tree"))
+    out = reduce(DataFrame.unionByName, levels)
     return out.filter("mode != 16384") if files_only else out
 
 
@@ -107,16 +179,22 @@ def lookup_path(entries: DataFrame, root: str, path: str) -> DataFrame:
     return at
 
 
-def resolve_references(refs: DataFrame, most: int = 64) -> DataFrame:
-    """(name, id, symbolic_target) -> name, id: symbolic references followed to an id; dangling and cyclic ones are null."""
-    spark = refs.sparkSession
-    r = _view(refs, "refs")
-    return spark.sql(f"""
-        WITH RECURSIVE walk MAX RECURSION LEVEL {most + 2} AS (
-          SELECT name, name AS at, id, symbolic_target, 0 AS hops FROM {r}
-          UNION ALL
-          SELECT w.name, t.name, t.id, t.symbolic_target, w.hops + 1 FROM walk w JOIN {r} t ON w.id IS NULL AND w.symbolic_target = t.name WHERE w.hops < {most})
-        SELECT name, max(id) AS id FROM walk GROUP BY name""")
+def resolve_references(refs: DataFrame) -> DataFrame:
+    """(name, id, symbolic_target) -> name, id: symbolic references followed to an id; dangling and cyclic ones are null.
+
+    Every round each open reference takes over what its target knows, so the
+    rounds follow the binary digits of the longest chain.
+    """
+    own = refs.groupBy("name").agg(F.max("id").alias("id"), F.max("symbolic_target").alias("target"))
+    table = written(own.select("name", "id", F.when(F.col("id").isNull(), F.col("target")).alias("target")), "refs")
+    rounds = max(1, table.count()).bit_length() + 1
+    for _ in range(rounds):  # after that many, what is open is a cycle
+        if table.filter("target IS NOT NULL").isEmpty():
+            break
+        t = table.select(F.col("name").alias("t_name"), F.col("id").alias("t_id"), F.col("target").alias("t_target"))
+        step = table.join(t, table["target"] == F.col("t_name"), "left")
+        table = written(step.select("name", F.coalesce("id", "t_id").alias("id"), F.col("t_target").alias("target")), "refs")
+    return table.select("name", "id")
 
 
 def peel(refs: DataFrame, tags: DataFrame) -> DataFrame:
@@ -171,7 +249,7 @@ def revision_list(commits: DataFrame, parents: DataFrame, seeds: DataFrame, firs
     ``order`` is ``date`` (committed), ``author-date`` or ``topo`` (by falling generation).  The count is cut before the
     order is reversed, as a history is.
     """
-    reached = first_parent_walk(parents, seeds).select("id").distinct() if first_parent else ancestors(parents, seeds).select("id").distinct()
+    reached = reachable(parents.filter("parent_index = 0") if first_parent else parents, seeds)
     counts = parents.groupBy(F.col("commit_id").alias("id")).agg(F.count(F.lit(1)).alias("n_parents"))
     rows = commits.join(reached, "id", "left_semi").join(counts, "id", "left").withColumn("n_parents", F.coalesce("n_parents", F.lit(0)))
     if min_parents is not None:

@@ -45,21 +45,22 @@ def with_ordinal(df: DataFrame, order: list[By], name: str = ORDINAL, one_task_b
     """Add the 0-based position of each row.
 
     Small inputs are numbered by one window.  Larger ones are cut into ranges
-    of the first order expression at values from a sample; rows are numbered
-    within their range and shifted by the sizes of the ranges before it, so no
-    task sees more than a range and only one row a range reaches the driver.
+    of the whole order at rows from a sample; rows are numbered within their
+    range and shifted by the sizes of the ranges before it, so no task sees
+    more than a range, also where one value of the first key is hot, and only
+    one row a range reaches the driver beside the sample.
     """
     spark = df.sparkSession
     if estimated_bytes(df) <= one_task_bytes:
         return df.withColumn(name, (F.row_number().over(Window.orderBy(*sort_columns(order))) - 1).cast("long"))
     ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    key, descending = order[0].key, order[0].descending
-    share = min(1.0, 200.0 * ranges / max(1, df.count()))
-    points = sorted(r[0] for r in df.select(key.alias("k")).filter("k is not null").sample(share, 7).collect())
-    cuts = sorted({points[i * len(points) // ranges] for i in range(1, ranges)}) if points else []
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= key)) if cuts else F.lit(0)
-    bucket = F.coalesce(F.when(key.isNotNull(), bucket), F.lit(-1))
-    tagged = df.withColumn("__range", -bucket if descending else bucket)
+    share = min(1.0, 100.0 * ranges / max(1, df.count()))
+    keys = df.select(*[b.key.alias(f"k{i}") for i, b in enumerate(order)])
+    points = keys.sample(share, 7).orderBy(*[By(F.col(f"k{i}"), b.descending).column() for i, b in enumerate(order)]).collect()
+    cuts = [points[i * len(points) // ranges] for i in range(1, ranges)] if points else []
+    made = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, keys.schema, strict=True)]) for c in cuts])
+    bucket = F.size(F.filter(made, lambda c: _reached(c, order))) if cuts else F.lit(0)
+    tagged = df.withColumn("__range", bucket)
     sizes = sorted((r["__range"], r["n"]) for r in tagged.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
     before, offsets = 0, {}
     for b, n in sizes:
@@ -70,27 +71,44 @@ def with_ordinal(df: DataFrame, order: list[By], name: str = ORDINAL, one_task_b
     return tagged.withColumn(name, (start + place).cast("long")).drop("__range")
 
 
+def _reached(cut: Column, order: list[By]) -> Column:
+    """Whether a row does not come before a cut, a struct of the order's keys."""
+    out = F.lit(True)
+    for i, b in reversed(list(enumerate(order))):
+        own, other = b.key, cut[f"k{i}"]
+        first, last = (own, other) if b.descending else (other, own)  # nulls are least: first when rising, last when falling
+        after = F.coalesce(last > first, first.isNull() & last.isNotNull())
+        out = after | (own.eqNullSafe(other) & out)
+    return out
+
+
 class Sequence:
-    """A DataFrame and its order; every method returns a new Sequence unless it says otherwise."""
+    """A DataFrame and its order; every method returns a new Sequence unless it says otherwise.
+
+    ``dense`` says that the rows have their positions, from 0 on without a gap, in the column ORDINAL.
+    """
 
-    def __init__(self, df: DataFrame, order: list[By | str]):
+    def __init__(self, df: DataFrame, order: list[By | str], dense: bool = False):
         self.df = df
         self.order = [By(F.col(o)) if isinstance(o, str) else o for o in order]
+        self.dense = dense
 
     @classmethod
     def of(cls, spark, rows: list, schema: str) -> Sequence:
         """A sequence of literal rows in the order given."""
         df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"{ORDINAL} long, {schema}")
-        return cls(df, [ORDINAL])
+        return cls(df, [ORDINAL], True)
 
-    def _numbered(self, name: str = ORDINAL) -> DataFrame:
-        if name in self.df.columns:
+    def _numbered(self) -> DataFrame:
+        """The rows with their positions; an ordinal of an order or of rows that were before is no position."""
+        if self.dense:
             return self.df
-        return with_ordinal(self.df, self.order, name)
+        fresh = with_ordinal(self.df, self.order, "__position")
+        return fresh.drop(ORDINAL).withColumnRenamed("__position", ORDINAL)
 
     def indexed(self) -> Sequence:
         """With the position as column; later operators keep it as their order."""
-        return Sequence(self._numbered(), [ORDINAL])
+        return Sequence(self._numbered(), [ORDINAL], True)
 
     # ---- projection and restriction ----
 
@@ -104,7 +122,7 @@ class Sequence:
         """Project; a function gets the row's position.  The order columns are kept beside."""
         if any(callable(c) and not isinstance(c, Column) for c in columns):
             df = self._numbered()
-            return Sequence(df.select(ORDINAL, *[c if isinstance(c, Column) else c(F.col(ORDINAL)) for c in columns]), [ORDINAL])
+            return Sequence(df.select(ORDINAL, *[c if isinstance(c, Column) else c(F.col(ORDINAL)) for c in columns]), [ORDINAL], True)
         return Sequence(self.df.select(*columns), self.order)
 
     def cast(self, **types: str) -> Sequence:
@@ -142,7 +160,7 @@ class Sequence:
 
     def take_while(self, predicate) -> Sequence:
         df, stop = self._leading(predicate)
-        return Sequence(df.filter(stop.isNull() | (F.col(ORDINAL) < stop)).drop("__stop"), [ORDINAL])
+        return Sequence(df.filter(stop.isNull() | (F.col(ORDINAL) < stop)).drop("__stop"), [ORDINAL], True)
 
     def skip_while(self, predicate) -> Sequence:
         df, stop = self._leading(predicate)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import algebra, graphs, scalars  # noqa: F401  they register their queries
+from . import algebra, formats, graphs, repository, scalars  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES, query
 from .tables import load
 

@@ -7,49 +7,71 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators.durable import written
+from ..operators.sequence import By, with_ordinal
 from .registry import query
 from .tables import load
 
-# ---- a commit graph of events: chains of 16 events a user, with first parents one or two back and
-# second parents at the next user's chain ----
+# ---- a commit graph of events: an event's first parent is the user's event before it, its second, where its id is a
+# multiple of 7, the latest event before it that another user has ----
 
-_DAG = """p AS (SELECT event_id AS id, user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n, floor(epoch(ts))::BIGINT AS epoch FROM events),
-n AS (SELECT id, u, n // 16 AS b, n % 16 AS k, epoch FROM p),
-e AS (SELECT c.id AS commit_id, 0 AS parent_index, q.id AS parent_id FROM n c JOIN n q ON q.u = c.u AND q.b = c.b AND q.k = c.k - 1 - c.id % 2
-      UNION ALL SELECT c.id, 1, q.id FROM n c JOIN n q ON q.u = c.u + 1 AND q.b = c.b AND q.k = c.k - 1 WHERE c.id % 3 = 0)"""
+_DAG = """p AS (SELECT event_id AS id, user_id AS u, ts, floor(epoch(ts))::BIGINT AS epoch, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS mine,
+lag(event_id) OVER (ORDER BY ts, event_id) AS last, lag(user_id) OVER (ORDER BY ts, event_id) AS last_u FROM events),
+q AS (SELECT *, sum(CASE WHEN last_u IS DISTINCT FROM u THEN 1 ELSE 0 END) OVER (ORDER BY ts, id) AS run FROM p),
+n AS (SELECT *, first_value(last) OVER (PARTITION BY run ORDER BY ts, id) AS other FROM q),
+e AS (SELECT id AS commit_id, 0 AS parent_index, mine AS parent_id FROM n WHERE mine IS NOT NULL UNION ALL SELECT id, 1, other FROM n WHERE id % 7 = 0 AND other IS NOT NULL)"""
 
 
 def _commits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    """Nodes (id, u, epoch) and edges (commit_id, parent_index, parent_id)."""
     epoch = F.expr("CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 1000000) AS BIGINT)")
-    n = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("u"), place.alias("n"), epoch.alias("epoch"))
-    n = n.select("id", "u", F.floor(F.col("n") / 16).alias("b"), (F.col("n") % 16).alias("k"), "epoch")
-    q = n.select(F.col("id").alias("parent_id"), F.col("u").alias("pu"), F.col("b").alias("pb"), F.col("k").alias("pk"))
-    first = n.join(q, (F.col("pu") == F.col("u")) & (F.col("pb") == F.col("b")) & (F.col("pk") == F.col("k") - 1 - F.col("id") % 2)).select(F.col("id").alias("commit_id"), F.lit(0).alias("parent_index"), "parent_id")
-    second = n.filter("id % 3 = 0").join(q, (F.col("pu") == F.col("u") + 1) & (F.col("pb") == F.col("b")) & (F.col("pk") == F.col("k") - 1))
-    return n, first.unionByName(second.select(F.col("id").alias("commit_id"), F.lit(1).alias("parent_index"), "parent_id"))
-
-
-@query(f"""WITH RECURSIVE {_DAG}, w(seed, id, depth) AS (SELECT max(id), max(id), 0 FROM n GROUP BY u
+    n = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("u"), "ts", epoch.alias("epoch"))
+    n = written(with_ordinal(n, [By(F.col("ts")), By(F.col("id"))], "place"), "dag")
+    mine = F.lag("id").over(Window.partitionBy("u").orderBy("place"))
+    first = n.select(F.col("id").alias("commit_id"), F.lit(0).alias("parent_index"), mine.alias("parent_id")).filter("parent_id IS NOT NULL")
+    # the latest event of another user comes just before the run of events that a user's event is in: the
+    # last change of user up to its place, in its own block of places or in the blocks before it
+    before = n.select((F.col("place") + 1).alias("place"), F.col("id").alias("last"), F.col("u").alias("last_u"))
+    rows = n.join(before, "place", "left").select("id", "place", F.floor(F.col("place") / _BLOCK).alias("block"), F.when(F.col("u") != F.col("last_u"), F.col("last")).alias("change"))
+    rows = rows.withColumn("near", F.last("change", True).over(Window.partitionBy("block").orderBy("place")))
+    tops = rows.groupBy("block").agg(F.max_by("near", "place").alias("top"))  # a row a block
+    tops = tops.select((F.col("block") + 1).alias("block"), F.last("top", True).over(Window.orderBy("block")).alias("far"))
+    second = rows.filter("id % 7 = 0").join(tops, "block", "left").select(F.col("id").alias("commit_id"), F.lit(1).alias("parent_index"), F.coalesce("near", "far").alias("parent_id"))
+    parents = written(first.unionByName(second.filter("parent_id IS NOT NULL")), "dag")
+    return n, parents
+
+
+#: Places of the global order that one task sees together.
+_BLOCK = 4096
+
+
+@query(f"""WITH RECURSIVE {_DAG}, w(seed, id, depth) AS (SELECT arg_max(id, (ts, id)), arg_max(id, (ts, id)), 0 FROM n GROUP BY u
 UNION ALL SELECT seed, e.parent_id, depth + 1 FROM w JOIN e ON e.commit_id = w.id AND parent_index = 0) SELECT id, CAST(depth AS BIGINT) AS depth, seed FROM w""")
 def rev_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First-parent history of each user's latest commit."""
-    nodes, parents = (written(x, "dag") for x in _commits(spark, sf_dir))
-    return G.first_parent_walk(parents, nodes.groupBy("u").agg(F.max("id").alias("id")))
+    nodes, parents = _commits(spark, sf_dir)
+    return G.first_parent_walk(parents, _tips(nodes))
+
+
+def _tips(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("u").agg(F.max_by("id", "place").alias("id"))
 
 
 @query(f"""WITH RECURSIVE {_DAG}, f(id, r) AS (SELECT id, 1 FROM n WHERE id NOT IN (SELECT commit_id FROM e)
 UNION SELECT e.commit_id, r + 1 FROM f JOIN e ON e.parent_id = f.id) SELECT id, CAST(max(r) AS BIGINT) AS generation FROM f GROUP BY id""")
 def generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, parents = (written(x, "dag") for x in _commits(spark, sf_dir))
+    nodes, parents = _commits(spark, sf_dir)
     return G.generations(nodes, parents)
 
 
-@query(f"""WITH RECURSIVE {_DAG}, f(id, t, r) AS (SELECT id, epoch, 0 FROM n
-UNION SELECT e.commit_id, f.t + 1, r + 1 FROM f JOIN e ON e.parent_id = f.id) SELECT id, CAST(max(t) AS BIGINT) AS corrected FROM f GROUP BY id""")
+#: Times in days, so that many parents are as late as their children.
+_DAYS = 86_400
+
+
+@query(f"""WITH RECURSIVE {_DAG}, d AS (SELECT id, epoch // {_DAYS} AS own FROM n), f(id, t) AS (SELECT id, own FROM d
+UNION SELECT e.commit_id, f.t + 1 FROM f JOIN e ON e.parent_id = f.id JOIN d ON d.id = e.commit_id WHERE f.t + 1 > d.own) SELECT id, CAST(max(t) AS BIGINT) AS corrected FROM f GROUP BY id""")
 def corrected_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, parents = (written(x, "dag") for x in _commits(spark, sf_dir))
-    return G.corrected_times(nodes, parents, G.generations(nodes, parents))
+    nodes, parents = _commits(spark, sf_dir)
+    return G.corrected_times(nodes.select("id", F.floor(F.col("epoch") / _DAYS).alias("epoch")), parents)
 
 
 @query(f"WITH {_DAG} SELECT commit_id AS id, count(*) AS n_parents FROM e GROUP BY commit_id HAVING count(*) > 1")
@@ -58,15 +80,14 @@ def merge_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parents.groupBy(F.col("commit_id").alias("id")).agg(F.count(F.lit(1)).alias("n_parents")).filter("n_parents > 1")
 
 
-@query(f"""WITH RECURSIVE {_DAG}, l(id) AS (SELECT max(id) FROM n UNION SELECT parent_id FROM l JOIN e ON commit_id = id),
-r(id) AS (SELECT max(id) FROM n WHERE u = (SELECT u + 1 FROM n ORDER BY id DESC LIMIT 1) UNION SELECT parent_id FROM r JOIN e ON commit_id = id)
-SELECT (SELECT count(*) FROM l WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM r WHERE id IS NOT NULL)) AS ahead,
-(SELECT count(*) FROM r WHERE id IS NOT NULL AND id NOT IN (SELECT id FROM l WHERE id IS NOT NULL)) AS behind""")
+@query(f"""WITH RECURSIVE {_DAG}, t AS (SELECT u, arg_max(id, (ts, id)) AS id FROM n GROUP BY u), l(id) AS (SELECT max(id) FROM t UNION SELECT parent_id FROM l JOIN e ON commit_id = id),
+r(id) AS (SELECT min(id) FROM t UNION SELECT parent_id FROM r JOIN e ON commit_id = id)
+SELECT (SELECT count(*) FROM l WHERE id NOT IN (SELECT id FROM r)) AS ahead, (SELECT count(*) FROM r WHERE id NOT IN (SELECT id FROM l)) AS behind""")
 def ahead_behind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, parents = (written(x, "dag") for x in _commits(spark, sf_dir))
-    last = nodes.orderBy(F.desc("id")).limit(1)
-    other = nodes.join(F.broadcast(last.select((F.col("u") + 1).alias("u"))), "u").groupBy("u").agg(F.max("id").alias("id")).select("id")  # one row
-    return G.ahead_behind(parents, last.select("id"), other)
+    """Between the users' tips of the greatest and of the least id."""
+    nodes, parents = _commits(spark, sf_dir)
+    tips = _tips(nodes)
+    return G.ahead_behind(parents, tips.agg(F.max("id").alias("id")), tips.agg(F.min("id").alias("id")))
 
 
 # ---- a tree of regions, nations and customers ----
@@ -137,7 +158,7 @@ def _refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {_REFS}, w(name, id, t) AS (SELECT name, id, symbolic_target FROM r UNION ALL SELECT w.name, r.id, r.symbolic_target FROM w JOIN r ON w.id IS NULL AND w.t = r.name)
 SELECT name, max(id) AS id FROM w GROUP BY name""")
 def ref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.resolve_references(_refs(spark, sf_dir), most=8)
+    return G.resolve_references(_refs(spark, sf_dir))
 
 
 @query("""SELECT 'refs/tags/' || o_orderkey AS name, sha1(CAST(o_orderkey AS VARCHAR)) AS id, CASE WHEN o_orderstatus = 'F' THEN sha1('target' || o_orderkey) ELSE sha1(CAST(o_orderkey AS VARCHAR)) END AS commit_id FROM orders""")
@@ -186,8 +207,6 @@ def index_pack_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS BIGINT) AS index_position, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS pack_position FROM (SELECT p_partkey, sha1(CAST(p_partkey AS VARCHAR)) AS id FROM part)""")
 def reverse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.sequence import By, with_ordinal
-
     ids = load(spark, sf_dir, "part").select("p_partkey", F.sha1(F.col("p_partkey").cast("string").cast("binary")).alias("id"))
     ids = with_ordinal(ids, [By(F.col("id"))], "index_position")
     return with_ordinal(ids, [By(F.col("p_partkey"))], "pack_position").select("id", "index_position", "pack_position")
@@ -217,15 +236,14 @@ def config_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("grp", "sub", "key").agg(F.max("n").alias("line"))
 
 
-@query(f"""WITH RECURSIVE {_DAG}, r(id) AS (SELECT max(id) FROM n GROUP BY u UNION SELECT parent_id FROM r JOIN e ON commit_id = id),
-c AS (SELECT n.id, n.epoch, (SELECT count(*) FROM e WHERE commit_id = n.id) AS n_parents FROM n WHERE n.id IN (SELECT id FROM r)),
+@query(f"""WITH RECURSIVE {_DAG}, r(id) AS (SELECT arg_max(id, (ts, id)) FROM n GROUP BY u UNION SELECT parent_id FROM r JOIN e ON commit_id = id),
+c AS (SELECT n.id, n.epoch, k.n_parents FROM n JOIN (SELECT commit_id, count(*) AS n_parents FROM e GROUP BY 1) k ON k.commit_id = n.id WHERE n.id IN (SELECT id FROM r)),
 top AS (SELECT * FROM c WHERE n_parents >= 1 ORDER BY epoch DESC, id DESC LIMIT 32)
 SELECT id, CAST(row_number() OVER (ORDER BY epoch, id) - 1 AS BIGINT) AS rn FROM top""")
 def rev_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 32 latest commits with parents reached from the users' tips, oldest first."""
-    nodes, parents = (written(x, "dag") for x in _commits(spark, sf_dir))
-    tips = nodes.groupBy("u").agg(F.max("id").alias("id")).select("id")
-    return G.revision_list(nodes.select("id", "epoch"), parents, tips, min_parents=1, max_count=32, reverse=True).select("id", "rn")
+    nodes, parents = _commits(spark, sf_dir)
+    return G.revision_list(nodes.select("id", "epoch"), parents, _tips(nodes).select("id"), min_parents=1, max_count=32, reverse=True).select("id", "rn")
 
 
 _BLOB = "sha1(encode('blob ' || octet_length(encode(text))) || '\\x00'::BLOB || encode(text))"

@@ -125,22 +125,6 @@ def mode_octal(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- bytes ----
 
 
-@query("""SELECT doc_id, md5(substr(text, 1, 20)) AS head, md5(substr(text, 6)) AS rest, CAST(length(text) AS BIGINT) AS n FROM documents WHERE octet_length(encode(text)) = length(text)""")
-def byte_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.encode("text", "UTF-8")
-    ascii_only = _docs(spark, sf_dir).filter(F.octet_length("text") == F.length("text"))
-    return ascii_only.select("doc_id", F.md5(B.take(b, 20)).alias("head"), F.md5(B.skip(b, 5)).alias("rest"), F.length(b).cast("long").alias("n"))
-
-
-@query("""SELECT doc_id, CAST(strpos(text, 'the') - 1 AS BIGINT) AS at, md5(substr(text, 1, greatest(length(text) - 4, 0))) AS body, right(text, 4) AS tail,
-starts_with(text, 'The') AS the FROM documents WHERE octet_length(encode(text)) = length(text) AND length(text) >= 4""")
-def byte_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.encode("text", "UTF-8")
-    docs = _docs(spark, sf_dir).filter((F.octet_length("text") == F.length("text")) & (F.length("text") >= 4))
-    parts = docs.select("doc_id", B.index_of(b, b"the").cast("long").alias("at"), B.leave(b, 4).alias("l"), B.starts_with(b, b"The").alias("the"))
-    return parts.select("doc_id", "at", F.md5("l.body").alias("body"), F.decode("l.tail", "UTF-8").alias("tail"), "the")
-
-
 @query("""SELECT doc_id, CAST(len(string_split(text, ' ')) AS BIGINT) AS pieces, trim(string_split(text, ' ')[1], chr(10) || ' ') AS first FROM documents""")
 def byte_split_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = B.split(F.encode("text", "UTF-8"), " ")
@@ -153,13 +137,6 @@ def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(b).alias("md5"), F.sha1(b).alias("sha1"), F.sha2(b, 256).alias("sha256"))
 
 
-@query()
-def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SHA-384, SHA-512, CRC-32 and CRC-24, which DuckDB lacks."""
-    b = F.encode("text", "UTF-8")
-    return _docs(spark, sf_dir).select("doc_id", F.sha2(b, 384).alias("sha384"), F.sha2(b, 512).alias("sha512"), F.crc32(b).alias("crc32"), B.crc24(b).cast("long").alias("crc24"))
-
-
 @query("SELECT doc_id, base64(encode(text)) AS encoded, true AS same FROM documents")
 def base64_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.encode("text", "UTF-8")
@@ -204,13 +181,6 @@ def bit_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.bit_and("l_orderkey").alias("both"), F.bit_or("l_orderkey").alias("either"), F.bit_xor("l_orderkey").alias("one"))
 
 
-@query()
-def bit_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte strings of unequal length, the shorter followed by zeros."""
-    a, b = F.encode("c_name", "UTF-8"), F.encode("c_mktsegment", "UTF-8")
-    return load(spark, sf_dir, "customer").select("c_custkey", *[F.hex(B.bitwise(a, b, k)).alias(k) for k in ("and", "or", "xor")], F.hex(B.bitwise_not(a)).alias("not"))
-
-
 @query("""SELECT event_id, (CAST(event_id % 1000 AS BIGINT) << 34) | CAST(floor(epoch(ts)) AS BIGINT) AS packed, CAST(event_id % 1000 AS BIGINT) AS generation, CAST(floor(epoch(ts)) AS BIGINT) AS epoch FROM events""")
 def generation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     epoch = F.expr("CAST(floor(unix_micros(CAST(ts AS TIMESTAMP)) / 1000000) AS BIGINT)")
@@ -224,12 +194,6 @@ def network_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", B.network_int(b, 0, 8, signed=True).alias("big"), B.network_int(b, 6, 2).alias("small"), B.stage_of(F.col("o_orderkey")).alias("stage"))
 
 
-@query("SELECT o_orderkey, o_orderkey % 128 AS size_value, o_orderkey % 128 AS offset_value, o_orderkey % 128 AS plain_value FROM orders")
-def varints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = F.unhex(F.lpad(F.hex(F.col("o_orderkey") % 128), 2, "0"))
-    return load(spark, sf_dir, "orders").select("o_orderkey", *[B.varint(b, k).cast("long").alias(f"{k}_value") for k in ("size", "offset", "plain")])
-
-
 @query("SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, CASE WHEN event_id % 2 = 0 THEN '+0530' ELSE '-0800' END AS zone FROM events")
 def epoch_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = F.when(F.col("event_id") % 2 == 0, 330).otherwise(-480)

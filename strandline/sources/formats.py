@@ -141,9 +141,14 @@ def pack_entries(data: bytes, size: int = 20) -> Iterator[dict]:
             base = start - back
         elif kind == ID_DELTA:
             base, at = data[at : at + size].hex(), at + size
-        z = zlib.decompressobj()
-        body = z.decompress(data[at:]) + z.flush()
-        at = len(data) - len(z.unused_data)
+        z, pieces = zlib.decompressobj(), []
+        while not z.eof:
+            part = data[at : at + 4096]
+            if not part:
+                raise ValueError("a pack entry that does not end")
+            pieces.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        body = b"".join(pieces)
         if len(body) != length:
             raise ValueError("a pack entry of another size")
         yield {"offset": start, "kind": kind, "base": base, "data": body, "crc32": zlib.crc32(data[start:at])}
@@ -220,6 +225,13 @@ def reverse_index(objects: list[dict], pack_checksum: bytes, algorithm: str = "s
     return out + hashlib.new(algorithm, out).digest()
 
 
+def reverse_positions(data: bytes, count: int) -> list[int]:
+    """Positions in the id order, by rising offset, of a reverse index."""
+    if data[:4] != b"RIDX":
+        raise ValueError("not a reverse index")
+    return list(struct.unpack_from(f">{count}I", data, 12))
+
+
 def chunks_of(data: bytes, magic: bytes, head: int) -> dict[bytes, bytes]:
     """Chunks of a chunk file by name; the table of contents starts at ``head``."""
     if data[:4] != magic:
@@ -365,10 +377,48 @@ def _config_value(raw: str) -> str:
 
 def directory_rows(data: bytes, size: int = 20) -> Iterator[dict]:
     """Entries of a directory index of version 2, 3 or 4."""
+    return iter(_directory(data, size)[0])
+
+
+def directory_extensions(data: bytes, size: int = 20) -> list[tuple[str, bytes]]:
+    """(name, body) of the extensions behind the entries.  Where the index tells the end of its entries, they are not read."""
+    at = _end_of_entries(data, size) or _directory(data, size)[1]
+    out = []
+    while at + 8 <= len(data) - size:
+        n = int.from_bytes(data[at + 4 : at + 8], "big")
+        out.append((data[at : at + 4].decode("latin-1"), data[at + 8 : at + 8 + n]))
+        at += 8 + n
+    return out
+
+
+def _end_of_entries(data: bytes, size: int) -> int | None:
+    """The place that the last extension, EOIE, gives: its offset and a hash over the extensions' names and sizes."""
+    at = len(data) - size - 4 - size - 8
+    if at < 12 or data[at : at + 4] != b"EOIE":
+        return None
+    end = int.from_bytes(data[at + 8 : at + 12], "big")
+    seen, place = b"", end
+    while place < at:
+        seen += data[place : place + 8]
+        place += 8 + int.from_bytes(data[place + 4 : place + 8], "big")
+    told = data[at + 12 : at + 12 + size]
+    return end if place == at and hashlib.new("sha1" if size == 20 else "sha256", seen).digest() == told else None
+
+
+def split_link(body: bytes, size: int = 20) -> tuple[str, list[int], list[int]]:
+    """A split index's link: id of the shared index, places of its entries that are deleted and that are replaced."""
+    if len(body) == size:
+        return body[:size].hex(), [], []
+    deleted, _, at = ewah_bits(body, size)
+    replaced, _, _ = ewah_bits(body, at)
+    return body[:size].hex(), deleted, replaced
+
+
+def _directory(data: bytes, size: int) -> tuple[list[dict], int]:
     if data[:4] != b"DIRC":
         raise ValueError("not a directory index")
     version, n = struct.unpack_from(">II", data, 4)
-    at, name = 12, b""
+    at, name, out = 12, b"", []
     for _ in range(n):
         start = at
         cs, cn, ms, mn, dev, ino, mode, uid, gid, length = struct.unpack_from(">10I", data, at)
@@ -388,14 +438,15 @@ def directory_rows(data: bytes, size: int = 20) -> Iterator[dict]:
             end = data.index(b"\0", at)
             name = data[at:end]
             at = start + (end - start) // 8 * 8 + 8
-        yield {
+        out.append({
             "name": name.decode("utf-8", "replace"), "mode": mode, "id": id_, "flags": flags | more << 16, "stage": (flags & 0x3000) >> 12, "ctime_ns": cs * 10**9 + cn, "mtime_ns": ms * 10**9 + mn,
             "dev": dev, "inode": ino, "uid": uid, "gid": gid, "truncated_size": length,
-        }
+        })
+    return out, at
 
 
-def directory_bytes(entries: list[dict], version: int = 2, algorithm: str = "sha1") -> bytes:
-    """A directory index of the given entries (name, mode, id, flags, sizes and times)."""
+def directory_bytes(entries: list[dict], version: int = 2, algorithm: str = "sha1", extensions: list[tuple[str, bytes]] = ()) -> bytes:
+    """A directory index of the given entries (name, mode, id, flags, sizes and times); extensions are followed by EOIE."""
     size = id_bytes(algorithm)
     out, last = b"DIRC" + struct.pack(">II", version, len(entries)), b""
     for e in entries:
@@ -411,6 +462,12 @@ def directory_bytes(entries: list[dict], version: int = 2, algorithm: str = "sha
             last = raw
         else:
             out += head + raw + b"\0" * (8 - (len(head) + len(raw)) % 8)
+    end, seen = len(out), b""
+    for mark, body in extensions:
+        out += mark.encode() + struct.pack(">I", len(body)) + body
+        seen += mark.encode() + struct.pack(">I", len(body))
+    if extensions:
+        out += b"EOIE" + struct.pack(">II", 4 + size, end) + hashlib.new(algorithm, seen).digest()
     return out + hashlib.new(algorithm, out).digest()
 
 
@@ -508,6 +565,27 @@ def revision_file_rows(data: bytes, base=None) -> Iterator[tuple[str, bytes]]:
         at = end + 7
 
 
+def representation_at(read, revision: int, offset: int) -> bytes:
+    """The text that begins at an offset of a revision's file (``read(revision)``), its deltas undone through the revisions they name."""
+    from ..functions.diff import apply_window_delta
+
+    deltas = []
+    while True:
+        data = read(revision)
+        m = re.compile(rb"(PLAIN|DELTA(?: (\d+) (\d+) (\d+))?)\n").match(data, offset)
+        if not m:
+            raise ValueError("no representation begins there")
+        raw = data[m.end() : data.index(b"ENDREP\n", m.end())]
+        if m[1] == b"PLAIN" or not m[2]:
+            text = raw if m[1] == b"PLAIN" else apply_window_delta(b"", raw)
+            break
+        deltas.append(raw)
+        revision, offset = int(m[2]), int(m[3])
+    for raw in reversed(deltas):
+        text = apply_window_delta(text, raw)
+    return text
+
+
 def http_response(data: bytes) -> dict:
     """Status, headers (names in lower case) and body of a response; chunked and compressed bodies are undone."""
     from ..functions.binary import http_dechunk_bytes, inflate_any

@@ -3,10 +3,17 @@
     spark.dataSource.register(RepositorySource)
     spark.read.format("repository").option("table", "commits").load(path)
 
-Each pack, each of the 256 folders of loose objects and each small file is one
-partition, so a scan is as parallel as the repository has packs.  Filters
-``type = ..`` and ``id = ..`` are taken by the reader where Spark's filter
-pushdown for Python sources is on.
+Ranges of a pack's offset order, each of the 256 folders of loose objects and
+each small file are partitions.  An object that lies in several places is
+returned by the first that is asked (loose objects, packs by name, then those
+of alternates): each task looks its ids up in the indexes of the places before,
+so no shuffle is needed.  Filters ``type = ..`` and ``id = ..`` are taken by
+the reader where Spark's filter pushdown for Python sources is on: an id is
+found through file names and index fan-outs, a type through a pack's bitmaps or
+the heads of its entries, without other bodies.
+
+Tables of single files (bundles, framed lines, dumps, revision files) take a
+file or a folder of files as their path.
 """
 
 from __future__ import annotations
@@ -17,10 +24,12 @@ from dataclasses import dataclass, field
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from . import formats as X
+from .packs import RANGE, Pack, PackIndex, Store, bitmap_positions
 
 SIGNATURE = "struct<name:string,email:string,epoch:bigint,tz_offset_min:int>"
 SCHEMAS = {
     "objects": "id string, type string, size bigint, source string, content binary",
+    "object_ids": "id string, source string",
     "commits": f"id string, tree_id string, parent_ids array<string>, parent_count int, author {SIGNATURE}, committer {SIGNATURE}, message string, summary string, is_signed boolean, merge_tags array<string>",
     "commit_parents": "commit_id string, parent_index int, parent_id string",
     "tree_entries": "tree_id string, ordinal int, mode int, name string, object_id string",
@@ -32,7 +41,16 @@ SCHEMAS = {
     "pack_index": "pack string, id string, offset bigint, crc32 bigint",
     "commit_graph": "id string, tree_id string, parent_ids array<string>, generation bigint, commit_time bigint, corrected_time bigint",
     "multi_pack_index": "id string, pack string, offset bigint",
+    "reverse_index": "pack string, pack_position bigint, index_position bigint, id string",
+    "pack_types": "pack string, pack_position bigint, id string, type string",
+    "bundle": "file string, version int, kind string, id string, name string",
+    "bundle_objects": "file string, id string, type string, size bigint, content binary",
+    "packet_lines": "file string, seq int, payload binary",
+    "hash_dump": "file string, key string, value binary",
+    "headers": "file string, key string, value string",
+    "revision_texts": "file string, seq int, kind string, text binary",
 }
+FILE_TABLES = ("bundle", "bundle_objects", "packet_lines", "hash_dump", "headers", "revision_texts")
 _OBJECT_TABLES = {"commits": "commit", "commit_parents": "commit", "tree_entries": "tree", "tag_objects": "tag"}
 
 
@@ -79,6 +97,9 @@ class RepositoryReader(DataSourceReader):
 
     def partitions(self):
         root, at = self.root, lambda *p: os.path.join(self.root, *p)
+        if self.table in FILE_TABLES:
+            files = [root] if os.path.isfile(root) else [os.path.join(root, n) for n in sorted(os.listdir(root)) if os.path.isfile(os.path.join(root, n))]
+            return [Part(self.table, f) for f in files] or [Part("none", "")]
         if self.table == "refs":
             return [Part("refs", root)]
         if self.table == "reflog":
@@ -89,20 +110,21 @@ class RepositoryReader(DataSourceReader):
             if self.table == "commit_graph" and not os.path.exists(path) and os.path.exists(chain):
                 return [Part("commit_graph_chain", chain)]
             return [Part(self.table if os.path.exists(path) else "none", path)]
-        packs = [p for f in self._object_folders() if os.path.isdir(os.path.join(f, "pack")) for n in sorted(os.listdir(os.path.join(f, "pack"))) if (p := os.path.join(f, "pack", n))]
-        if self.table == "pack_index":
-            return [Part("pack_index", p) for p in packs if p.endswith(".idx")] or [Part("none", "")]
-        loose = [Part("loose", os.path.join(f, n)) for f in self._object_folders() for n in sorted(os.listdir(f)) if len(n) == 2 and (self.id is None or self.id.startswith(n))]
-        return [Part("pack", p) for p in packs if p.endswith(".pack")] + loose or [Part("none", "")]
-
-    def _object_folders(self) -> list[str]:
-        own = os.path.join(self.root, "objects")
-        out = [own]
-        more = os.path.join(own, "info", "alternates")
-        if os.path.exists(more):
-            with open(more) as f:
-                out += [os.path.normpath(os.path.join(own, x.strip())) for x in f if x.strip() and x[0] != "#"]
-        return [f for f in out if os.path.isdir(f)]
+        store = Store(root, self.algorithm)
+        if self.table in ("pack_index", "reverse_index", "pack_types"):
+            return [Part(self.table, p) for p in store.packs if os.path.exists(p.removesuffix(".pack") + ".idx")] or [Part("none", "")]
+        if self.id is not None:
+            return [Part("lookup", self.id)]
+        out = []
+        for f in store.folders:
+            out += [Part("loose", os.path.join(f, n), f) for n in sorted(os.listdir(f)) if len(n) == 2]
+        for p in store.packs:
+            index = p.removesuffix(".pack") + ".idx"
+            if not os.path.exists(index):
+                out.append(Part("whole_pack", p))
+                continue
+            out += [Part("pack", p, first) for first in range(0, PackIndex(index, X.id_bytes(self.algorithm)).count, RANGE)]
+        return out or [Part("none", "")]
 
     def read(self, part: Part):
         yield from getattr(self, "_" + part.kind)(part)
@@ -112,42 +134,127 @@ class RepositoryReader(DataSourceReader):
 
     # ---- objects ----
 
-    def _objects(self, part):
-        """(id, type, size, source, body or null)."""
-        wants_body = self.table == "objects" or self.type
-        if part.kind == "pack":
-            for o in X.pack_objects(_read(part.path), self.algorithm):
-                yield o["id"], o["type"], len(o["body"]), "pack", o["body"]
-            return
-        head = os.path.basename(part.path)
+    def _lookup(self, part):
+        """The object of an id."""
+        if len(part.path) == 2 * X.id_bytes(self.algorithm) and all(c in "0123456789abcdef" for c in part.path):
+            got = Store(self.root, self.algorithm).read(bytes.fromhex(part.path))
+            if got and self.type in (None, got[0]):
+                yield from self._rows(part.path, got[0], len(got[1]), "lookup", got[1])
+
+    def _loose(self, part):
+        store, head, folder = Store(self.root, self.algorithm), os.path.basename(part.path), part.value
+        before = store.earlier(folder)
         for name in sorted(os.listdir(part.path)):
             id_ = head + name
-            if len(id_) != 2 * X.id_bytes(self.algorithm) or self.id not in (None, id_):
+            if len(id_) != 2 * X.id_bytes(self.algorithm) or any(store.has(w, bytes.fromhex(id_)) for w in before):
+                continue
+            if self.table == "object_ids":
+                yield id_, "loose"
                 continue
             data = _read(os.path.join(part.path, name))
             kind, size, _ = X.loose_object(data, head_only=True)
             if self.type in (None, kind):
-                yield id_, kind, size, "loose", X.loose_object(data)[2] if wants_body else None
+                yield from self._rows(id_, kind, size, "loose", X.loose_object(data)[2])
 
     def _pack(self, part):
-        for id_, kind, size, source, body in self._objects(part):
-            if self.type not in (None, kind) or self.id not in (None, id_):
+        store = Store(self.root, self.algorithm)
+        pack, before = store.pack(part.path), store.earlier(part.path)
+        typed = bitmap_positions(part.path, self.type, store.size) if self.type else None
+
+        def wanted(id_: bytes, place: int) -> bool:
+            if typed is not None and place not in typed or any(store.has(w, id_) for w in before):
+                return False
+            return self.type is None or typed is not None or pack.type_of(pack.index.find(id_)) == self.type
+
+        if self.table == "object_ids":
+            order = pack.index.by_offset()
+            for i in order[part.value : part.value + RANGE].tolist():
+                if not any(store.has(w, pack.index.id_at(i)) for w in before):
+                    yield pack.index.id_at(i).hex(), "pack"
+            return
+        for id_, kind, body in pack.objects(part.value, RANGE, wanted):
+            yield from self._rows(id_, kind, len(body), "pack", body)
+
+    def _whole_pack(self, part):
+        """A pack without an index is read from its beginning to its end, after all that have one."""
+        store = Store(self.root, self.algorithm)
+        bare = [p for p in store.packs if store.pack(p).index is None]
+        outside = lambda id_: (lambda got: got and {"type": got[0], "body": got[1]})(store.read(bytes.fromhex(id_)))
+        seen = {o["id"] for p in bare[: bare.index(part.path)] for o in X.pack_objects(_read(p), self.algorithm, outside)}
+        indexed = [w for w in store.sources() if w[1] not in bare]
+        for o in X.pack_objects(_read(part.path), self.algorithm, outside):
+            if o["id"] in seen or any(store.has(w, bytes.fromhex(o["id"])) for w in indexed):
                 continue
-            if self.table == "objects":
-                yield id_, kind, size, source, body
-            elif self.table == "commits":
-                r = X.commit_row(body)
-                people = [None if r[k] is None else tuple(r[k].values()) for k in ("author", "committer")]
-                yield id_, r["tree_id"], r["parent_ids"], r["parent_count"], *people, r["message"], r["summary"], r["is_signed"], r["merge_tags"]
-            elif self.table == "commit_parents":
-                yield from ((id_, i, p) for i, p in enumerate(X.commit_row(body)["parent_ids"]))
-            elif self.table == "tree_entries":
-                yield from ((id_, *row) for row in X.tree_rows(body, X.id_bytes(self.algorithm)))
-            else:
-                r = X.tag_row(body)
-                yield id_, r["object_id"], r["object_type"], r["name"], None if r["tagger"] is None else tuple(r["tagger"].values()), r["message"], r["summary"], r["is_signed"]
-
-    _loose = _pack
+            seen.add(o["id"])
+            if self.table == "object_ids":
+                yield o["id"], "pack"
+            elif self.type in (None, o["type"]):
+                yield from self._rows(o["id"], o["type"], len(o["body"]), "pack", o["body"])
+
+    def _rows(self, id_: str, kind: str, size: int, source: str, body: bytes):
+        if self.table == "objects":
+            yield id_, kind, size, source, body
+        elif self.table == "object_ids":
+            yield id_, source
+        elif self.table == "commits":
+            r = X.commit_row(body)
+            people = [None if r[k] is None else tuple(r[k].values()) for k in ("author", "committer")]
+            yield id_, r["tree_id"], r["parent_ids"], r["parent_count"], *people, r["message"], r["summary"], r["is_signed"], r["merge_tags"]
+        elif self.table == "commit_parents":
+            yield from ((id_, i, p) for i, p in enumerate(X.commit_row(body)["parent_ids"]))
+        elif self.table == "tree_entries":
+            yield from ((id_, *row) for row in X.tree_rows(body, X.id_bytes(self.algorithm)))
+        else:
+            r = X.tag_row(body)
+            yield id_, r["object_id"], r["object_type"], r["name"], None if r["tagger"] is None else tuple(r["tagger"].values()), r["message"], r["summary"], r["is_signed"]
+
+    def _reverse_index(self, part):
+        """Places in the offset order, from the pack's reverse index or, without one, by sorting."""
+        index = PackIndex(part.path.removesuffix(".pack") + ".idx", X.id_bytes(self.algorithm))
+        reverse = part.path.removesuffix(".pack") + ".rev"
+        order = X.reverse_positions(_read(reverse), index.count) if os.path.exists(reverse) else index.by_offset().tolist()
+        for place, i in enumerate(order):
+            yield os.path.basename(part.path), place, i, index.id_at(i).hex()
+
+    def _pack_types(self, part):
+        """Types from the pack's bitmaps alone or, without them, from the heads of its entries."""
+        pack = Pack(part.path, self.algorithm)
+        kinds = {}
+        for kind in ("commit", "tree", "blob", "tag"):
+            kinds |= dict.fromkeys(bitmap_positions(part.path, kind, pack.size) or (), kind)
+        for place, i in enumerate(pack.index.by_offset().tolist()):
+            yield os.path.basename(part.path), place, pack.index.id_at(i).hex(), kinds.get(place) or pack.type_of(pack.index.offset_at(i))
+
+    # ---- single files ----
+
+    def _bundle(self, part):
+        b = X.bundle_rows(_read(part.path))
+        name = os.path.basename(part.path)
+        yield from ((name, b["version"], "capability", None, k if v == "" else f"{k}={v}") for k, v in b["capabilities"])
+        yield from ((name, b["version"], "prerequisite", i, n) for i, n in b["prerequisites"])
+        yield from ((name, b["version"], "reference", i, n) for i, n in b["references"])
+
+    def _bundle_objects(self, part):
+        for o in X.pack_objects(X.bundle_rows(_read(part.path))["pack"], self.algorithm):
+            yield os.path.basename(part.path), o["id"], o["type"], len(o["body"]), o["body"]
+
+    def _packet_lines(self, part):
+        yield from ((os.path.basename(part.path), i, x) for i, x in enumerate(X.packet_lines(_read(part.path))))
+
+    def _hash_dump(self, part):
+        yield from ((os.path.basename(part.path), k, v) for k, v in X.hash_dump(_read(part.path)).items())
+
+    def _headers(self, part):
+        yield from ((os.path.basename(part.path), k, v) for k, v in X.header_rows(_read(part.path).decode("utf-8", "replace")).items())
+
+    def _revision_texts(self, part):
+        """Deltas take their base from the file of the revision that they name: texts by that revision and place."""
+        folder = os.path.dirname(part.path)
+
+        def base(revision: int, offset: int, length: int) -> bytes:
+            return X.representation_at(lambda r: _read(os.path.join(folder, str(r))), revision, offset)
+
+        yield from ((os.path.basename(part.path), i, kind, text) for i, (kind, text) in enumerate(X.revision_file_rows(_read(part.path), base)))
 
     # ---- the rest ----
 
@@ -189,12 +296,22 @@ class RepositoryReader(DataSourceReader):
                     yield from self._settings(more, depth + 1)
 
     def _index_entries(self, part):
-        for e in X.directory_rows(_read(part.path), X.id_bytes(self.algorithm)):
+        """Entries; a split index's own are laid over those of the shared index beside it."""
+        size, data = X.id_bytes(self.algorithm), _read(part.path)
+        own = list(X.directory_rows(data, size))
+        link = dict(X.directory_extensions(data, size)).get("link")
+        if link is not None:
+            id_, deleted, replaced = X.split_link(link, size)
+            shared = os.path.join(os.path.dirname(part.path), f"sharedindex.{id_}")
+            if id_.strip("0") and os.path.exists(shared):
+                over = dict(zip(replaced, own, strict=False))
+                own = X.merge_split_index(list(X.directory_rows(_read(shared), size)), set(deleted), over, own[len(replaced) :])
+        for e in own:
             yield tuple(e.values())
 
     def _pack_index(self, part):
-        for id_, offset, crc in X.index_rows(_read(part.path), X.id_bytes(self.algorithm)):
-            yield os.path.basename(part.path), id_, offset, crc
+        for id_, offset, crc in X.index_rows(_read(part.path.removesuffix(".pack") + ".idx"), X.id_bytes(self.algorithm)):
+            yield os.path.basename(part.path).removesuffix(".pack") + ".idx", id_, offset, crc
 
     def _commit_graph(self, part):
         for r in X.commit_graph_rows(_read(part.path)):
@@ -212,9 +329,15 @@ class RepositoryReader(DataSourceReader):
         yield from X.multi_pack_rows(_read(part.path))
 
 
+def object_count(spark, path: str, algorithm: str = "sha1") -> int:
+    """Number of objects, from names and indexes alone."""
+    return load(spark, path, "object_ids", algorithm).count()
+
+
 def load(spark, path: str, table: str, algorithm: str = "sha1"):
     """A table of the repository at ``path``."""
     spark.dataSource.register(RepositorySource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # Spark refuses readers that take filters otherwise
     return spark.read.format("repository").option("table", table).option("algorithm", algorithm).load(path)
 
 

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..functions.text import parse_signature
+from ..sources.formats import reflog_rows
 
 
 def parse_log_lines(lines: DataFrame, text: str = "value", source: Column | None = None) -> DataFrame:
@@ -31,6 +34,61 @@ def read_log_stream(spark: SparkSession, folder: str) -> DataFrame:
     return parse_log_lines(lines.select("value", name.alias("__ref")), "value", F.col("__ref"))
 
 
+LOG = "ref_name string, original_id string, target_id string, signature struct<name:string,email:string,epoch:bigint,tz_offset_min:int>, reason string"
+
+
+class LogSource(DataSource):
+    """Reference logs as they grow: ``spark.readStream.format("reference_log").load(folder)``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "reference_log"
+
+    def schema(self) -> str:
+        return LOG
+
+    def simpleStreamReader(self, schema) -> LogReader:
+        return LogReader(self.options["path"])
+
+
+class LogReader(SimpleDataSourceStreamReader):
+    """The offset is how many bytes of each file have been read, always up to the end of a line."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def read(self, start: dict):
+        end = dict(start)
+        for name, path in self._files():
+            with open(path, "rb") as f:
+                f.seek(start.get(name, 0))
+                end[name] = start.get(name, 0) + f.read().rfind(b"\n") + 1
+        return self.readBetweenOffsets(start, end), end
+
+    def readBetweenOffsets(self, start: dict, end: dict):
+        rows = []
+        for name, path in self._files():
+            begin = start.get(name, 0)
+            with open(path, "rb") as f:
+                f.seek(begin)
+                text = f.read(end.get(name, begin) - begin).decode("utf-8", "replace")
+            rows += [(name, old, new, None if who is None else tuple(who.values()), reason) for _, old, new, who, reason in reflog_rows(text)]
+        return iter(rows)
+
+    def _files(self) -> list[tuple[str, str]]:
+        found = [os.path.join(d, n) for d, _, names in os.walk(self.folder) for n in names]
+        return sorted((os.path.relpath(p, self.folder), p) for p in found)
+
+
+def follow_logs(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the lines that are appended to the logs below a folder; the reference's name is a file's path there."""
+    spark.dataSource.register(LogSource)
+    return spark.readStream.format("reference_log").load(folder)
+
+
 STATE = "files string, n long"
 FOLDED = "stream string, seq long, n_files long, files string"
 

@@ -41,6 +41,26 @@ def test_slices(letters):
     assert values(letters.where(lambda i: i % 2 == 1), "k") == [("A",), ("B",)]
 
 
+def test_positions_after_other_operators(letters, spark):
+    """Positions are those of the sequence at hand, not of one that it came from."""
+    assert values(letters.reverse().where(lambda i: i < 2), "k") == [("c",), ("B",)]
+    assert values(letters.skip(1).skip(1).where(lambda i: i == 0), "k") == [("a",)]
+    assert values(letters.order_by(F.col("v")).skip(3), "k") == [("c",), ("B",)]
+    assert sorted(map(tuple, letters.reverse().zip(Sequence.of(spark, [(10,), (20,)], "w int")).select("k", "w").collect())) == [("B", 20), ("c", 10)]
+    assert not letters.sequence_equal(letters.reverse()) and letters.reverse().reverse().sequence_equal(letters)
+    assert not letters.sequence_equal(letters.take(4)) and not letters.take(4).sequence_equal(letters)
+
+
+def test_positions_by_ranges(spark):
+    """Ranges of the whole order: one hot first key, nulls, and falling keys."""
+    rows = [(None if i % 11 == 0 else 5 if i % 3 else i % 7, f"t{i * 37 % 500:03d}" if i % 13 else None, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a int, b string, id long").repartition(3)
+    for falling in (False, True):
+        order = [By(F.col("a"), falling), By(F.col("b"), not falling), By(F.col("id"))]
+        one, many = (with_ordinal(df, order, "n", size).select("id", "n").orderBy("id").collect() for size in (1 << 40, 0))
+        assert one == many and sorted(r["n"] for r in many) == list(range(500))
+
+
 def test_joins(letters, spark):
     pairs = letters.zip(Sequence.of(spark, [(10,), (20,)], "w int")).select("k", "w").collect()
     assert sorted(map(tuple, pairs)) == [("A", 20), ("b", 10)]
