@@ -57,8 +57,7 @@ def cast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events)")
 def of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _at(spark, sf_dir)
-    kind = events.df.agg(F.min("event_type").alias("kind"))
-    return events.df.join(F.broadcast(kind), F.col("event_type") == F.col("kind")).select("event_id", "user_id")  # one row
+    return events.of_type("event_type", events.fold(F.min("event_type"))).df.select("event_id", "user_id")
 
 
 # ---- sets ----
@@ -79,30 +78,30 @@ _PAIR = "a AS (SELECT c_nationkey AS k FROM customer), b AS (SELECT s_nationkey
 @query(f"WITH {_PAIR} SELECT k FROM a UNION ALL SELECT k FROM b")
 def concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _nation_keys(spark, sf_dir)
-    return a.df.select("k").unionAll(b.df.select("k"))
+    return a.concat(b).df.select("k")
 
 
 @query(f"WITH {_PAIR} SELECT k FROM a UNION SELECT k FROM b")
 def union(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _nation_keys(spark, sf_dir)
-    return a.df.select("k").union(b.df.select("k")).distinct()
+    return a.union(b, F.col("k")).df.select("k")
 
 
 @query(f"WITH {_PAIR} SELECT k FROM a EXCEPT SELECT k FROM b")
 def except_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _nation_keys(spark, sf_dir)
-    return a.df.select("k").subtract(b.df.select("k"))
+    return a.except_(b, F.col("k")).df.select("k")
 
 
 @query(f"WITH {_PAIR} SELECT k FROM a INTERSECT SELECT k FROM b")
 def intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _nation_keys(spark, sf_dir)
-    return a.df.select("k").intersect(b.df.select("k"))
+    return a.intersect(b, F.col("k")).df.select("k")
 
 
 @query("SELECT DISTINCT event_type FROM events")
 def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _at(spark, sf_dir).df.select("event_type").distinct()
+    return _at(spark, sf_dir).distinct(F.col("event_type")).df.select("event_type")
 
 
 _SMALL, _LARGE, _DEAR = "p_size <= 20", "p_size > 20", "p_size >= 46 AND p_type = 'PROMO'"
@@ -354,7 +353,7 @@ _LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line"
 
 @query(f"{_LINES} FROM documents")
 def select_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).df.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return _documents(spark, sf_dir).select_many(F.split("text", "\n", -1), "line").df.select("doc_id", "line")
 
 
 @query("""SELECT idx, line FROM (SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS idx, text FROM documents), LATERAL (SELECT unnest(string_split(text, chr(10))) AS line)""")
@@ -364,7 +363,7 @@ def select_many_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CAST(length(line) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)")
 def select_many_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).df.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line")).select("doc_id", F.length("line").cast("long").alias("n"))
+    return _documents(spark, sf_dir).select_many(F.split("text", "\n", -1), "line").df.select("doc_id", F.length("line").cast("long").alias("n"))
 
 
 @query("""SELECT idx, CAST(pos - 1 AS BIGINT) AS place, CAST(length(parts[pos]) AS BIGINT) AS n FROM
@@ -387,11 +386,12 @@ def default_if_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.default_if_empty().df
 
 
-@query("""SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 9000
-UNION ALL SELECT CAST(-1 AS BIGINT), 'nobody' WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 9000)""")
+@query("""SELECT 'some' AS kind, c_custkey, c_name FROM customer WHERE c_acctbal > 9000 UNION ALL SELECT 'none', -1, 'nobody'""")
 def default_if_empty_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Sequence(load(spark, sf_dir, "customer").filter("c_acctbal > 9000").select("c_custkey", "c_name"), ["c_custkey"])
-    return s.default_if_empty(c_custkey=-1, c_name="nobody").df
+    """A sequence with rows and one without."""
+    own = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    some, none = (Sequence(own.filter(f).select("c_custkey", "c_name"), ["c_custkey"]).default_if_empty(c_custkey=-1, c_name="nobody").df for f in ("c_acctbal > 9000", "c_acctbal > 1e9"))
+    return some.select(F.lit("some").alias("kind"), "*").unionByName(none.select(F.lit("none").alias("kind"), "*"))
 
 
 # ---- terminals as one-row tables ----
@@ -401,27 +401,34 @@ def default_if_empty_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 min(l_shipdate) AS first_ship, max(l_shipdate) AS last_ship, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, round(avg(l_quantity), 6) AS mean,
 bool_or(l_returnflag = 'R') AS has_r FROM lineitem""")
 def terminals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count, Any, All, Min, Max, Sum, Average and Contains in one pass."""
-    return load(spark, sf_dir, "lineitem").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_quantity") > 25).alias("n_big"), F.bool_or(F.col("l_discount") == 0).alias("any_free"),
-        F.bool_and(F.col("l_quantity") > 0).alias("all_positive"), F.min("l_shipdate").alias("first_ship"), F.max("l_shipdate").alias("last_ship"),
-        F.sum(F.col("l_quantity").cast("long")).alias("total"), F.round(F.avg("l_quantity"), 6).alias("mean"), F.bool_or(F.col("l_returnflag") == "R").alias("has_r"),
+    """Count, Any, All, Min, Max, Sum, Average and Contains."""
+    s = seq(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
+    row = (
+        s.count(), s.count(F.col("l_quantity") > 25), s.any(F.col("l_discount") == 0), s.all(F.col("l_quantity") > 0), s.fold(F.min("l_shipdate")), s.fold(F.max("l_shipdate")),
+        s.fold(F.sum(F.col("l_quantity").cast("long"))), s.fold(F.round(F.avg("l_quantity"), 6)), s.contains(F.col("l_returnflag"), "R"),
     )
+    return spark.createDataFrame([row], "n long, n_big long, any_free boolean, all_positive boolean, first_ship timestamp_ntz, last_ship timestamp_ntz, total long, mean double, has_r boolean")
 
 
 @query("""SELECT (SELECT event_id FROM events ORDER BY ts, event_id LIMIT 1) AS first_id, (SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 1) AS last_id,
-(SELECT event_id FROM events ORDER BY ts, event_id LIMIT 1 OFFSET 41) AS at_41""")
+(SELECT event_id FROM events ORDER BY ts, event_id LIMIT 1 OFFSET 41) AS at_41, (SELECT max(event_id) FROM events) AS only_id, (SELECT count(*) FROM region) AS listed, CAST(0 AS BIGINT) AS nothing""")
 def first_last_element(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First, Last and ElementAt: ends are partial aggregates, the element a bounded top-n."""
-    events = load(spark, sf_dir, "events")
-    key = F.struct("ts", "event_id")
-    ends = events.agg(F.min_by("event_id", key).alias("first_id"), F.max_by("event_id", key).alias("last_id"))
-    at = Sequence(events, ["ts", "event_id"]).take(42).df.agg(F.max_by("event_id", key).alias("at_41"))
-    return ends.crossJoin(F.broadcast(at))  # one row each
+    """First, Last, ElementAt, Single and ToList, and the empty sequence."""
+    s = _at(spark, sf_dir)
+    only = s.single(F.col("event_id") == s.fold(F.max("event_id")))
+    listed = seq(spark, sf_dir, "region", "r_regionkey").to_list()
+    nothing = Sequence.of(spark, [], "x int")
+    row = (s.first()["event_id"], s.last()["event_id"], s.element_at(41)["event_id"], only["event_id"], len(listed), nothing.count() + len(nothing.to_list()) + int(nothing.first_or_none() is not None))
+    return spark.createDataFrame([row], "first_id long, last_id long, at_41 long, only_id long, listed long, nothing long")
 
 
-@query("""SELECT count(*) = 0 AS equal_to_itself, (SELECT count(*) FROM orders) AS n FROM (SELECT 1 WHERE false)""")
+@query("SELECT true AS equal_to_itself, false AS equal_without_last, false AS equal_to_reversed, false AS equal_to_changed")
 def sequence_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = _orders(spark, sf_dir)
-    same = orders.sequence_equal(Sequence(orders.df.orderBy(F.desc("o_orderkey")), ["o_orderkey"]))
-    return orders.df.agg(F.lit(same).alias("equal_to_itself"), F.count(F.lit(1)).alias("n"))
+    """Against the same rows from another order, without the last row, the other way round and with one changed value."""
+    s = _orders(spark, sf_dir)
+    own = Sequence(s.df.select("o_orderkey", "o_custkey"), ["o_orderkey"])
+    last = own.fold(F.max("o_orderkey"))
+    changed = own.df.withColumn("o_custkey", F.when(F.col("o_orderkey") == last, -1).otherwise(F.col("o_custkey")))
+    others = [Sequence(own.df.orderBy(F.desc("o_orderkey")), ["o_orderkey"]), own.where(F.col("o_orderkey") < last), own.reverse(), Sequence(changed, ["o_orderkey"])]
+    names = ("itself", "without_last", "reversed", "changed")
+    return spark.createDataFrame([tuple(own.sequence_equal(o) for o in others)], ", ".join(f"equal_{'without_last' if n == 'without_last' else 'to_' + n} boolean" for n in names))

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from strandline.sources import formats as X
+from strandline.sources import packs as P
 from strandline.sources import repository as R
 from strandline.sources import writers as W
 
@@ -84,6 +85,57 @@ def test_pack_index_and_pushed_filters(spark, repo, tmp_path):
     assert X.reverse_index(objects, data[-20:])[:4] == b"RIDX"
 
 
+def test_objects_of_several_places(spark, repo, tmp_path):
+    """Each object once, whether loose, in packs with and without an index, or with bases elsewhere; ids lead to them."""
+    path, _ = repo
+    loose = sorted((r["id"], r["type"], bytes(r["content"])) for r in R.load(spark, path, "objects").collect())
+    rows = [(t, b) for _, t, b in loose]
+    root = W.init(str(tmp_path))
+    folder = os.path.join(root, "objects", "pack")
+    P.write_pack(folder, rows[:10])
+    P.write_pack(folder, rows[5:], deltas=False)
+    for end in (".idx", ".rev", ".bitmap"):
+        os.remove(P.write_pack(folder, rows[3:9] + rows[-2:]).removesuffix(".pack") + end)
+    for kind, body in rows[::3]:
+        W.write_object(root, kind, body)
+    got = R.load(spark, str(tmp_path), "objects")
+    assert sorted((r["id"], r["type"], bytes(r["content"])) for r in got.collect()) == loose
+    assert R.object_count(spark, str(tmp_path)) == len(loose)
+    for kind in ("blob", "commit", "tag", "tree"):
+        assert {r["id"] for r in got.filter(f"type = '{kind}'").collect()} == {i for i, t, _ in loose if t == kind}
+    for id_, kind, body in loose:
+        assert P.Store(root).read(bytes.fromhex(id_)) == (kind, body)
+    assert [(r["id"], r["type"]) for r in got.filter(f"id = '{loose[4][0]}'").collect()] == [loose[4][:2]] and got.filter("id = 'no'").collect() == []
+    index = P.PackIndex(next(os.path.join(folder, n) for n in os.listdir(folder) if n.endswith(".idx")))
+    ids = [index.id_at(i) for i in range(index.count)]
+    assert [index.find(x) for x in ids] == index.offsets().tolist() and index.find(b"\0" * 20) is None
+    for head in (ids[0][:1], ids[-1][:2]):
+        a, b = index.span(head)
+        assert ids[a:b] == [x for x in ids if x.startswith(head)]
+
+
+def test_bases_outside_a_pack_and_large_packs(tmp_path):
+    import struct
+    import zlib
+
+    root = W.init(str(tmp_path))
+    base = b"0123456789" * 30
+    id_ = W.write_object(root, "blob", base)
+    target = base[:100] + b"new" + base[100:]
+    delta = P.copy_delta(base, target)
+    frame = bytes([X.ID_DELTA << 4 | len(delta) & 15 | (128 if len(delta) > 15 else 0)]) + (bytes([len(delta) >> 4]) if len(delta) > 15 else b"") + bytes.fromhex(id_) + zlib.compress(delta)
+    data = b"PACK" + struct.pack(">II", 2, 1) + frame
+    folder = os.path.join(root, "objects", "pack")
+    rows = [{"id": X.hash_object("blob", target), "offset": 12, "crc32": zlib.crc32(frame)}]
+    for end, raw in ((".pack", data + b"\0" * 20), (".idx", X.write_index(rows, b"\0" * 20))):
+        with open(os.path.join(folder, "pack-thin" + end), "wb") as f:
+            f.write(raw)
+    assert P.Store(root).read(bytes.fromhex(rows[0]["id"])) == ("blob", target)
+    bodies = [b"line %d\n" % i * 3 for i in range(P.RANGE + 50)]
+    pack = P.Pack(P.write_pack(folder, [("blob", b) for b in bodies]))
+    assert [b for _, _, b in pack.objects(P.RANGE, 100)] == bodies[P.RANGE :] and len(list(pack.objects(0, P.RANGE))) == P.RANGE
+
+
 def test_object_sink(spark, tmp_path):
     root = W.init(str(tmp_path))
     df = spark.createDataFrame([("blob", bytearray(b"This is 'iota'."))] * 3, "type string, content binary")
@@ -98,6 +150,12 @@ def test_directory_index(version, algorithm):
     entries = [{"name": f, "mode": W.FILE, "id": X.hash_object("blob", f.encode(), algorithm), "stage": i % 2, "mtime_ns": 5 * 10**9 + i} for i, f in enumerate(sorted(FILES))]
     got = list(X.directory_rows(X.directory_bytes(entries, version, algorithm), X.id_bytes(algorithm)))
     assert [(g["name"], g["id"], g["stage"], g["mtime_ns"]) for g in got] == [(e["name"], e["id"], e["stage"], e["mtime_ns"]) for e in entries]
+    full = X.directory_bytes(entries, version, algorithm, [("TREE", b"x" * 300), ("sdir", b"")])
+    size = X.id_bytes(algorithm)
+    assert [n for n, _ in X.directory_extensions(full, size)] == ["TREE", "sdir", "EOIE"] and X._end_of_entries(full, size) == X._directory(full, size)[1]
+    assert X._end_of_entries(full.replace(b"sdir", b"sdis"), size) is None and X.directory_extensions(X.directory_bytes(entries, version, algorithm), size) == []
+    link = b"\7" * size + X.ewah_encode({2, 70}, 90) + X.ewah_encode({1}, 90)
+    assert X.split_link(link, size) == ("07" * size, [2, 70], [1]) and X.split_link(b"\7" * size, size) == ("07" * size, [], [])
     split = X.merge_split_index(got, {0}, {1: {"id": "ff"}}, [got[0] | {"name": "zz"}])
     assert len(split) == len(got) and split[-1]["name"] == "zz" and {"ff"} < {e["id"] for e in split}
 
