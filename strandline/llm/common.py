@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import tempfile
 import uuid
+import weakref
 from pathlib import Path
 
 import numpy as np
@@ -28,8 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", spark.sparkContext.applicationId)
 
 
+def session_dir(spark: SparkSession) -> str:
+    """Folder of this application's tables; deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/strandline/{spark.sparkContext.applicationId}"
+    if path not in _sessions:
+        _sessions.add(path)
+        atexit.register(_delete, spark.sparkContext._jvm, path)
+    return path
+
+
+_sessions: set[str] = set()
+
+
+def _delete(jvm, path: str) -> None:
+    try:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(folder, True)
+    except Exception:  # noqa: BLE001 - the driver's JVM may have ended; what it leaves costs space only
+        pass
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def materialize(df: DataFrame, name: str, thin: bool = False) -> DataFrame:
@@ -43,8 +73,23 @@ def materialize(df: DataFrame, name: str, thin: bool = False) -> DataFrame:
     if thin:
         df = df.coalesce(max(2, spark.sparkContext.defaultParallelism))
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+_written: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing unwritten depends on any more."""
+    for df in tables:
+        ref, path = _written.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            jvm = df.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def release(spark: SparkSession) -> None:
