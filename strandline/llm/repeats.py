@@ -6,7 +6,8 @@ else in the corpus is removed.  The suffixes are dealt by content: of the
 anchor, so equal windows have equal anchors at equal places, and an anchor's
 occurrences carry all that must be compared with each other.
 
-1. Anchors are counted in partial sums; one that occurs once has no repeat.
+1. Anchors are counted in partial sums; one that occurs once has no repeat and
+   does not travel again: a bitmap of fixed size holds those that occur twice.
 2. An anchor whose occurrences all have the same surroundings repeats in all
    of its windows.
 3. The rest are compared byte by byte: the distinct surroundings of an anchor
@@ -14,11 +15,16 @@ occurrences carry all that must be compared with each other.
    prefixes yields the interval tree; intervals whose suffixes are preceded by
    different bytes are the maximal repeat groups, with all occurrences.
 4. An anchor with more distinct surroundings than ``MOST_CONTEXTS`` is not
-   gathered: its windows are counted by hash, in partial sums, for all rows.
+   gathered: its windows are counted by digest, in partial sums, for all rows.
+
+Equal surroundings, windows (4.) and texts are told by 128 bits of BLAKE2b and
+SHA-256 digests of all their bytes; the quick hashes of grams only say what to
+compare.  Texts are read in blocks of BLOCK window starts.
 
 Defined results: null and empty texts have no bytes; texts shorter than
 ``length`` keep all of them; matches never cross documents; equal texts, also
-under one doc_id, are repeats of each other; an empty table gives no rows.
+under one doc_id, are repeats of each other; columns other than doc_id and text
+are not read, so their names cannot clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +35,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SpanHash, materialize, mix64, release, shuffle_partitions, slices, table, trim, utf8_buffer
+from .common import SpanHash, discard, materialize, mix64, release, shuffle_partitions, slices, table, trim, utf8_buffer
 
 LENGTH, GRAM = 200, 50
 MOST_CONTEXTS = 4096
 SLICE_BYTES = 1 << 20
+#: Window starts of a text that are read at a time.
+BLOCK = 1 << 22
+#: Bits of the bitmap of anchors that occur more than once (8 MB).
+BITMAP = 1 << 26
 
 
 # ---- anchors -------------------------------------------------------------------
@@ -79,8 +89,6 @@ class Anchors:
         self.doc, self.pos, self.low = doc[at], own[at], windows[at]
         self.count = np.diff(np.append(at, len(windows)))
         self.gram = grams[self.pos]
-        #: hash of all bytes of the owned windows and of the anchor's place in them
-        self.around = mix64(self.hash.spans(self.low, self.low + self.count + length - 1) + (self.pos - self.low).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
 def pack(low, count, offset):
@@ -88,26 +96,80 @@ def pack(low, count, offset):
     return low << 16 | count << 8 | offset
 
 
-ANCHOR = "anchor long, around long, key binary, place long"
+def text_blocks(batch):
+    """(row, bytes, offsets, start) of an Arrow slice's texts: together or, where one is long, block by block."""
+    data, offsets = utf8_buffer(batch.column(batch.schema.get_field_index("text")))
+    if len(data) <= BLOCK + LENGTH:
+        yield np.arange(batch.num_rows), data, offsets, 0
+        return
+    for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        for at in range(a, max(b - LENGTH + 1, a + 1), BLOCK):
+            part = data[at : min(b, at + BLOCK + LENGTH - 1)]
+            yield np.array([row]), part, np.array([0, len(part)]), at - a
 
 
-def anchors(docs: DataFrame) -> DataFrame:
-    """(text) -> a row for each anchor; ``key`` is the text's MD5."""
+def anchor_counts(docs: DataFrame) -> DataFrame:
+    """(text) -> the anchors that occur more than once."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in slices(batches, "text", SLICE_BYTES):
-            data, offsets = utf8_buffer(batch.column(batch.schema.get_field_index("text")))
-            a = Anchors(data, offsets)
-            if not len(a.pos):
-                continue
-            keys = [hashlib.md5(data[s:e].tobytes()).digest() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-            place = pack(a.low - offsets[a.doc], a.count, a.pos - a.low)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a.gram.view(np.int64)), pa.array(a.around.view(np.int64)), pa.array(keys, pa.binary()).take(pa.array(a.doc)), pa.array(place)],
-                names=["anchor", "around", "key", "place"],
-            )
+            for _, data, offsets, _ in text_blocks(batch):
+                a = Anchors(data, offsets)
+                if len(a.pos):
+                    yield pa.RecordBatch.from_arrays([pa.array(a.gram.view(np.int64))], names=["anchor"])
+
+    return docs.select("text").mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+
+
+def bitmap_of(anchors_: DataFrame) -> np.ndarray:
+    """A bit for each anchor; others may share it."""
+    place = F.pmod("anchor", F.lit(BITMAP))
+    words = anchors_.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(anchor, {BITMAP}) & 63 as int))")).alias("bits"))
+    out = np.zeros(BITMAP >> 6, np.int64)
+    got = words.toArrow()  # BITMAP / 64 rows at most, whatever the corpus holds
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out
+
+
+ANCHOR = "anchor long, around binary, key binary, place long"
+
+
+def digest_of(raw) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def anchors(docs: DataFrame, bitmap=None) -> DataFrame:
+    """(text) -> a row for each anchor that is in the bitmap (a broadcast); ``around`` is the digest of the bytes of its windows
+    and its place in them, ``key`` the text's."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in slices(batches, "text", SLICE_BYTES):
+            keys: dict[int, bytes] = {}
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for rows, data, offsets, start in text_blocks(batch):
+                a = Anchors(data, offsets)
+                some = np.arange(len(a.pos))
+                if bitmap is not None:
+                    bit = a.gram.view(np.int64) & (BITMAP - 1)
+                    some = np.flatnonzero(bitmap.value[bit >> 6] >> (bit & 63) & 1)
+                if not len(some):
+                    continue
+                doc, low, count = a.doc[some], a.low[some], a.count[some]
+                offset = a.pos[some] - low
+                view = memoryview(np.ascontiguousarray(data))
+                around = [hashlib.blake2b(view[x : x + n + LENGTH - 1], digest_size=16, salt=bytes([o])).digest() for x, n, o in zip(low.tolist(), count.tolist(), offset.tolist(), strict=True)]
+                own = rows[doc]
+                for r in np.unique(own).tolist():
+                    if r not in keys:
+                        keys[r] = hashlib.sha256(texts[r].as_py().encode()).digest()[:16]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a.gram[some].view(np.int64)), pa.array(around, pa.binary()), pa.array([keys[r] for r in own.tolist()], pa.binary()), pa.array(pack(low - offsets[doc] + start, count, offset))],
+                    names=["anchor", "around", "key", "place"],
+                )
 
     return docs.select("text").mapInArrow(run, ANCHOR)
 
@@ -250,7 +312,7 @@ def _compared(contexts: list[bytes], counts: list[int], length: int) -> list[np.
 
 
 def text_key(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
 def texts_by_key(docs: DataFrame) -> DataFrame:
@@ -266,7 +328,7 @@ def _split(place: Column) -> tuple[Column, Column, Column]:
     return F.shiftright(place, 16), F.shiftright(place, 8).bitwiseAND(255), place.bitwiseAND(255)
 
 
-CONTEXT = "anchor long, around long, key binary, place long, n long, context binary"
+CONTEXT = "anchor long, around binary, key binary, place long, n long, context binary"
 MARK = "key binary, first long, last long"
 
 
@@ -290,7 +352,7 @@ def contexts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 for x in w:
                     low, count = x["place"] >> 16, x["place"] >> 8 & 255
                     out.append((x["anchor"], x["around"], key, x["place"], x["n"], raw[low : low + count + LENGTH - 1]))
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["anchor", "around", "key", "place", "n", "context"])
 
@@ -330,7 +392,7 @@ def compare_contexts(batches):
 
 
 def count_windows(big: DataFrame) -> DataFrame:
-    """Marks of anchors with very many contexts: their windows are counted by hash."""
+    """Marks of anchors with very many contexts: their windows are counted by digest."""
 
     def run(batches):
         import pyarrow as pa
@@ -338,13 +400,13 @@ def count_windows(big: DataFrame) -> DataFrame:
         for batch in batches:
             for key, anchor, place, n, context in zip(*(batch.column(c).to_pylist() for c in ("key", "anchor", "place", "n", "context")), strict=True):
                 count, offset = place >> 8 & 255, place & 255
-                h = SpanHash(np.frombuffer(context, np.uint8)).windows(LENGTH)[:count]
+                h = [digest_of(context[i : i + LENGTH]) for i in range(count)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([anchor] * count), pa.array(offset - np.arange(count)), pa.array(h.view(np.int64)), pa.array([key] * count, pa.binary()), pa.array((place >> 16) + np.arange(count)), pa.array([n] * count)],
+                    [pa.array([anchor] * count), pa.array(offset - np.arange(count)), pa.array(h, pa.binary()), pa.array([key] * count, pa.binary()), pa.array((place >> 16) + np.arange(count)), pa.array([n] * count)],
                     names=["anchor", "offset", "h", "key", "first", "n"],
                 )
 
-    rows = materialize(big.mapInArrow(run, "anchor long, offset long, h long, key binary, first long, n long"), "rep-windows")
+    rows = materialize(big.mapInArrow(run, "anchor long, offset long, h binary, key binary, first long, n long"), "rep-windows")
     often = rows.groupBy("anchor", "offset", "h").agg(F.sum("n").alias("all")).filter(F.col("all") > 1).drop("all")
     return rows.filter("n = 1").join(often, ["anchor", "offset", "h"], "left_semi").select("key", "first", F.col("first").alias("last"))
 
@@ -352,21 +414,27 @@ def count_windows(big: DataFrame) -> DataFrame:
 def marks(docs: DataFrame) -> DataFrame:
     """key, first, last: ranges of starts of repeated windows in the texts that have no copy of themselves."""
     spark = docs.sparkSession
-    stats = anchors(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("lo"), F.max("around").alias("hi")).filter("n > 1")
-    stats = materialize(stats.select("anchor", (F.col("lo") == F.col("hi")).alias("same")), "rep-anchors", thin=True)
+    twice = materialize(anchor_counts(docs), "rep-anchors", thin=True)
     release(spark)
-    found = materialize(anchors(docs).join(stats, "anchor"), "rep-found")
+    bitmap = spark.sparkContext.broadcast(bitmap_of(twice))
+    found = materialize(anchors(docs, bitmap).join(twice, "anchor", "left_semi"), "rep-found")
+    discard(twice)
     release(spark)
-    differ = found.filter(~F.col("same")).groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("r"))
+    mixed = found.groupBy("anchor").agg(F.min("around").alias("lo"), F.max("around").alias("hi")).filter("lo != hi").select("anchor")
+    mixed = materialize(mixed, "rep-mixed", thin=True)
+    differ = found.join(mixed, "anchor", "left_semi").groupBy("anchor", "around").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("r"))
     differ = materialize(differ.select("anchor", "around", "n", "r.key", "r.place"), "rep-differ", thin=True)
     big = materialize(differ.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > MOST_CONTEXTS).select("anchor"), "rep-big", thin=True)
     around = materialize(contexts(differ, docs), "rep-contexts")
     release(spark)
     small = around.join(big, "anchor", "left_anti").repartition(shuffle_partitions(spark), "anchor").sortWithinPartitions("anchor")
     compared = materialize(small.mapInArrow(compare_contexts, MARK), "rep-compared")
-    counted = count_windows(around.join(big, "anchor", "left_semi"))
-    often = found.filter(~F.col("same")).join(differ.filter("n > 1").select("anchor", "around"), ["anchor", "around"], "left_semi")
-    return _mark_full(found.filter("same")).unionByName(_mark_full(often)).unionByName(compared).unionByName(counted)
+    counted = materialize(count_windows(around.join(big, "anchor", "left_semi")), "rep-counted")
+    discard(around)
+    same = found.join(mixed, "anchor", "left_anti")
+    often = found.join(differ.filter("n > 1").select("anchor", "around"), ["anchor", "around"], "left_semi")
+    often = often.join(mixed, "anchor", "left_semi")
+    return _mark_full(same).unionByName(_mark_full(often)).unionByName(compared).unionByName(counted)
 
 
 OUT = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
