@@ -20,13 +20,17 @@ or more a single text in common is enough where term and entity occur once.
 
 Defined results: a null text counts as empty and has no spans; rows are
 independent of ``doc_id``, so null or repeated ids are fine; ties in start are
-ordered by kind; an empty table gives an empty result.
+ordered by kind; columns that ``find`` adds replace input columns of their
+names, and ``sanitise`` leaves all columns but the text as they are, whatever
+their names; an empty table gives an empty result.
 
 Spans are found row by row: ``split`` yields the gaps between the matches that
 ``regexp_extract_all`` yields, so running lengths give code-point offsets with
 no limit on a text's length.  The patterns are possessive and anchored to the
 start of a run (or to the end of the previous match), which keeps each scan
-linear in the text.
+linear in the text.  Matches are gathered, and texts are put together again,
+CHUNK spans at a time, so that a text of very many matches is not copied once
+for each of them.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import discard, free_name, materialize, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: kind, pattern, characters without which a text has no match
@@ -51,6 +55,8 @@ SIGNIFICANT = 10
 GENERALISE_AT, REMOVE_AT = 0.9, 0.97
 TERM = r"\p{L}{3,}+"
 SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
+#: Spans that are gathered at a time.
+CHUNK = 128
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -64,24 +70,45 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _passes(kind: str, s: Column) -> Column:
-    return _valid(kind, s["value"])
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once; within a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _spans(text: Column, pattern: Column, number: int) -> Column:
-    """All matches of a pattern as (start, end, kind, value); ends are exclusive."""
+def _chunked(items: Column, at: Column, kind: str, step, gather, finish) -> Column:
+    """Fold an array: ``step(acc, item, extra)`` over chunks, whose results ``gather`` turns into one item of the outer array.
+
+    acc is (at, out): where the fold stands and what the chunk has given so far.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+    chunks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))
+
+    def chunk(acc: Column, c: Column) -> Column:
+        own = F.slice(items, c * CHUNK + 1, F.lit(CHUNK))
+        return gather(acc, own, lambda begin, extra, join: F.aggregate(own, F.struct(begin.alias("at"), empty.alias("out")), lambda a, x: step(a, x, extra), join))
+
+    outer = F.array().cast("array<string>" if kind == "string" else f"array<array<{kind}>>")
+    return F.when(F.size(items) > 0, F.aggregate(chunks, F.struct(at.alias("at"), outer.alias("out")), chunk, finish))
+
+
+def _spans(text: Column, pattern: Column, number: int, valid=None) -> Column:
+    """All matches of a pattern as (start, end, kind, value) that are valid; ends are exclusive."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
     each = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
+    def step(acc: Column, x: Column, _) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         end = begin + F.length(x["value"])
         span = F.struct(begin.alias("start"), F.lit(number).alias("kind"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        more = F.concat(acc["out"], F.array(span))
+        return F.struct(end.alias("at"), (F.when(valid(x["value"]), more).otherwise(acc["out"]) if valid else more).alias("out"))
+
+    def gather(acc: Column, own: Column, fold) -> Column:
+        return fold(acc["at"], None, lambda inner: F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(inner["out"])).alias("out")))
 
-    return F.aggregate(each, start, step, lambda acc: acc["out"])
+    spans = lambda e: _chunked(e, F.lit(0), SPAN.removeprefix("array<").removesuffix(">"), step, gather, lambda acc: F.flatten(acc["out"]))
+    return F.coalesce(_bound(each, spans), F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -93,7 +120,7 @@ def base_spans(text: Column) -> Column:
         there = F.contains(text, F.lit(needs)) if needs else digit
         if kind != "email" and needs:
             there = there & digit
-        hits = F.filter(_spans(text, F.lit(pattern), i), partial(_passes, kind))
+        hits = _spans(text, F.lit(pattern), i, partial(_valid, kind) if kind != "email" else None)
         kinds.append(F.when(there, hits).otherwise(none))
     return F.array_sort(F.concat(*kinds))
 
@@ -167,13 +194,16 @@ def disclosures(docs: DataFrame, significant: float = SIGNIFICANT, generalise_at
 
 def find(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` (doc_id, text, ...) plus pii_base, pii_terms (spans) and pii_gone."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    found = disclosures(docs.select("doc_id", text.alias("text")))
+    return _with_spans(docs.drop("pii_base", "pii_terms", "pii_gone"), "pii_base", "pii_terms", "pii_gone")
+
+
+def _with_spans(docs: DataFrame, base: str, terms: str, gone: str) -> DataFrame:
+    found = disclosures(docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")))
     d, t = docs.alias("d"), found.alias("t")
-    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.xxhash64(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("t.key"))
-    terms = F.coalesce(F.col("t.terms"), F.array().cast("array<string>"))
-    dt = F.coalesce(F.col("d.text"), F.lit(""))
-    return d.join(t, on, "left").select("d.*", base_spans(dt).alias("pii_base"), term_spans(dt, terms).alias("pii_terms"), F.col("t.gone").alias("pii_gone"))
+    text = F.coalesce(F.col("d.text"), F.lit(""))
+    on = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.xxhash64(text) == F.col("t.key"))
+    own = F.coalesce(F.col("t.terms"), F.array().cast("array<string>"))
+    return d.join(t, on, "left").select("d.*", base_spans(text).alias(base), term_spans(text, own).alias(terms), F.col("t.gone").alias(gone))
 
 
 def sanitised(text: Column, spans: Column, gone: Column, placeholders: list[str] | None = None) -> Column:
@@ -183,27 +213,35 @@ def sanitised(text: Column, spans: Column, gone: Column, placeholders: list[str]
     others have beyond it is cut.
     """
     marks = F.array(*map(F.lit, placeholders or [f"<{k.upper()}>" for k in KINDS]))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        dropped = (s["kind"] == len(PATTERNS)) & F.array_contains(gone, F.lower(s["value"]))
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.when(dropped, F.lit("")).otherwise(F.get(marks, s["kind"])))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(F.when(fresh, piece).otherwise(F.lit("")))).alias("out"))
+    def whole(v: Column) -> Column:
+        def step(acc: Column, s: Column, near: Column) -> Column:
+            fresh = s["start"] >= acc["at"]
+            dropped = (s["kind"] == len(PATTERNS)) & F.array_contains(v["gone"], F.lower(s["value"]))
+            before = F.substring(near["text"], acc["at"] - near["at"] + 1, s["start"] - acc["at"])
+            piece = F.concat(before, F.when(dropped, F.lit("")).otherwise(F.get(marks, s["kind"])))
+            return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(F.when(fresh, piece).otherwise(F.lit("")))).alias("out"))
+
+        def gather(acc: Column, own: Column, fold) -> Column:
+            # what lies around the chunk's spans is cut out of the text once
+            until = F.array_max(F.transform(own, lambda s: s["end"]))
+            near = F.struct(acc["at"].alias("at"), F.substring(v["text"], acc["at"] + 1, F.greatest(until - acc["at"], F.lit(0))).alias("text"))
+            join = lambda inner: F.struct(inner["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(inner["out"], ""))).alias("out"))
+            return _bound(near, lambda n: fold(acc["at"], n, join))
 
-    def end(acc: Column) -> Column:
-        return F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
+        end = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(v["text"], acc["at"] + 1, F.length(v["text"])))
+        return _chunked(v["spans"], F.lit(0), "string", step, gather, end)
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text)
+    return F.when(F.size(spans) > 0, _bound(F.struct(text.alias("text"), spans.alias("spans"), gone.alias("gone")), whole)).otherwise(text)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """The same columns, with the text sanitised; a null text stays null."""
-    out = find(docs)
-    gone = F.coalesce(F.col("pii_gone"), F.array().cast("array<string>"))
-    spans = F.array_sort(F.concat("pii_base", "pii_terms"))
-    new = F.when(F.col("text").isNotNull(), sanitised(F.col("text"), spans, gone))
-    return out.withColumn("text", new).drop("pii_base", "pii_terms", "pii_gone")
+    names = [free_name(docs, n) for n in ("pii_base", "pii_terms", "pii_gone")]
+    out = _with_spans(docs, *names)
+    base, terms, gone = map(F.col, names)
+    new = sanitised(F.col("text"), F.array_sort(F.concat(base, terms)), F.coalesce(gone, F.array().cast("array<string>")))
+    return out.withColumn("text", F.when(F.col("text").isNotNull(), new)).drop(*names)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
