@@ -19,13 +19,16 @@ order; the only document is its own successor; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import add_columns, mix64, shuffle_partitions, slices, table
+from .common import add_columns, materialize, mix64, shuffle_partitions, slices, table
+from .components import components, joins
 
 SAMPLES = 128
 CLASSES, PERIOD = 64, 8192
@@ -33,8 +36,11 @@ SEED = 20240229
 #: Below so many active texts a plain loop beats array steps.
 FEW = 40
 BATCH_CHARS = 2 << 20
-BANDS, BAND_WIDTH = 16, 4
+#: Classes of a bucket that one task compares.
+BUCKET = 2048
 MAX_BUCKETS = 4096
+#: Rows by which the runs are cut, and characters of their texts.
+CUT_SAMPLE, CUT_CHARS = 20_000, 64
 
 
 def _walk_table() -> np.ndarray:
@@ -152,43 +158,117 @@ def likeness(a: Column, b: Column) -> Column:
     return F.size(same) / F.lit(float(SAMPLES))
 
 
-def near_pairs(prints: DataFrame, at_least: float = 0.8, bands: int = BANDS, width: int = BAND_WIDTH) -> DataFrame:
-    """(doc_id, fingerprint) -> doc_id, near, likeness: each document with others of its band buckets.
+def bands(at_least: float) -> list[tuple[int, int]]:
+    """(first sampler, number) of bands of which two fingerprints of that likeness agree in one at least: one more than samplers may differ."""
+    n = SAMPLES - math.ceil(at_least * SAMPLES - 1e-9) + 1
+    edges = [SAMPLES * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
-    Equal fingerprints are one class, represented by its least id.  In a bucket every class is paired with the
-    bucket's least class, so candidates grow with the rows and not with the square of a bucket.
+
+def bucket_links(prints: np.ndarray, at_least: float) -> list[tuple[int, int]]:
+    """Verified pairs of a bucket that join its rows to the components that all alike pairs would; rows are compared in blocks."""
+    n = len(prints)
+    top = np.arange(n)
+    out = []
+    for k in range(0, n, 128):
+        like = (prints[k : k + 128, None] == prints[None]).mean(axis=2)
+        x, y = np.nonzero(like >= at_least)
+        x += k
+        taken, top = joins(top, x, y)
+        out += list(zip(x[taken].tolist(), y[taken].tolist(), strict=True))
+    return out
+
+
+def near_components(prints: DataFrame, at_least: float = 0.8, most: int = BUCKET) -> DataFrame:
+    """(doc_id, fingerprint, ...) -> doc_id, fingerprint, class_id, component_id.
+
+    A class is the documents of one fingerprint, a component what is linked by likenesses of ``at_least`` or more; both
+    are named by their least doc_id.  Alike fingerprints agree in a whole band, so each bucket of a band is compared in
+    full, in one task where it has ``most`` classes or fewer.  The classes of a larger one are first compared with its
+    least; where several components are left, blocks of it are compared two by two.  No pair is lost.  Null
+    fingerprints are linked with nothing.
     """
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    keys = F.array(*[F.concat(F.lit(f"{b}:"), F.substring("fingerprint", b * width * 2 + 1, width * 2)) for b in range(bands)])
-    banded = classes.select("doc_id", "fingerprint", F.explode(keys).alias("band"))
-    heads = banded.groupBy("band").agg(F.min(F.struct("doc_id", "fingerprint")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pairs = banded.join(heads, "band").filter(F.col("doc_id") != F.col("head.doc_id")).select("doc_id", F.col("head.doc_id").alias("near"), "fingerprint", F.col("head.fingerprint").alias("other")).distinct()
-    return pairs.select("doc_id", "near", likeness(F.col("fingerprint"), F.col("other")).alias("likeness")).filter(F.col("likeness") >= at_least)
+    classes = materialize(prints.filter("fingerprint IS NOT NULL").groupBy(F.unhex("fingerprint").alias("cls")).agg(F.min("doc_id").alias("doc_id")), "near-classes")
+    keys = F.array(*[F.concat(F.lit(bytearray([i])), F.substring("cls", a + 1, n)) for i, (a, n) in enumerate(bands(at_least))])
+    rows = materialize(classes.select("cls", F.explode(keys).alias("bucket")), "near-rows")
+    sizes = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("first")).filter("n > 1"), "near-sizes", thin=True)
+
+    def compare(bucket):
+        import pyarrow as pa
+
+        cls = sorted(bucket.column("cls").to_pylist())
+        links = bucket_links(np.frombuffer(b"".join(cls), np.uint8).reshape(len(cls), SAMPLES), at_least)
+        return pa.table({"a": pa.array([cls[i] for i, _ in links], pa.binary()), "b": pa.array([cls[j] for _, j in links], pa.binary())})
+
+    def verify(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SAMPLES) for i in (0, 1))
+            yield batch.take(np.flatnonzero((x == y).mean(axis=1) >= at_least))
+
+    small = rows.join(sizes.filter(F.col("n") <= most).select("bucket"), "bucket", "left_semi")
+    links = materialize(small.groupBy("bucket").applyInArrow(compare, "a binary, b binary").distinct(), "near-links", thin=True)
+    large = rows.join(sizes.filter(F.col("n") > most), "bucket")
+    stars = large.filter("cls != first").select(F.col("cls").alias("a"), F.col("first").alias("b")).distinct()
+    links = links.unionByName(materialize(stars.mapInArrow(verify, "a binary, b binary"), "near-links", thin=True))
+    labels = materialize(components(links), "near-labels", thin=True)
+    named = large.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    several = materialize(named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("bucket"), "near-several", thin=True)
+    if not several.isEmpty():
+        blocks = F.ceil(F.col("n") / most).cast("int")
+        dealt = large.join(several, "bucket", "left_semi").select("bucket", "cls", blocks.alias("blocks"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("own"))
+        pairs = dealt.select("bucket", "cls", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        pairs = pairs.select("bucket", "cls", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+        links = links.unionByName(materialize(pairs.groupBy("bucket", "p", "q").applyInArrow(compare, "a binary, b binary").distinct(), "near-links", thin=True))
+        labels = materialize(components(links), "near-labels", thin=True)
+    own = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    least = own.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = materialize(own.join(least, "label").select(F.lower(F.hex("cls")).alias("fingerprint"), F.col("doc_id").alias("class_id"), "component_id"), "near-named", thin=True)
+    return prints.select("doc_id", F.lower("fingerprint").alias("fingerprint")).join(named, "fingerprint", "left").select("doc_id", "fingerprint", "class_id", "component_id")
+
+
+def cuts(docs: DataFrame, n: int) -> list:
+    """n - 1 rows (doc_id, text prefix) at most that cut the documents, in their order, into runs of about one size."""
+    head = F.substring(F.coalesce("text", F.lit("")), 1, CUT_CHARS)
+    hashed = docs.select("doc_id", head.alias("head"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("h"))
+    total = docs.count()
+    # a bounded sample by hash, so that a rerun cuts at the same places
+    few = hashed.filter(F.col("h") < int((1 << 30) * min(1.0, CUT_SAMPLE / max(total, 1)))).distinct().drop("h").collect()
+    few.sort(key=lambda r: r["head"])
+    few = sorted((r for r in few if r["doc_id"] is not None), key=lambda r: r["doc_id"], reverse=True) + [r for r in few if r["doc_id"] is None]
+    at = sorted({len(few) * i // n for i in range(1, n)} - {0})
+    return [few[i] for i in at if i < len(few)]
 
 
 def with_successor(docs: DataFrame) -> DataFrame:
     """(doc_id, text) in runs of descending doc_id, each ended by a row (last = true) that holds the next run's first document.
 
-    Runs are ranges of ids, so no task sees more than its range; the text moves once.
+    Runs are ranges of ids and, within an id or without one, of texts, so no task sees more than its range; the text moves once.
     """
     spark = docs.sparkSession
     n = min(MAX_BUCKETS, shuffle_partitions(spark))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("p")).first()["p"] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))) if cuts else F.array().cast("array<long>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(set(cuts)) + 1)).otherwise(F.size(F.filter(bounds, lambda b: b >= F.col("doc_id"))))
-    rows = docs.select("doc_id", "text", bucket.cast("int").alias("bucket"))
-    # one id a run reaches the driver: as many as there are partitions
-    heads = sorted((r["bucket"], r["head"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())
+    kind = docs.schema["doc_id"].dataType
+    text = F.coalesce(F.col("text"), F.lit(""))
+    bounds = F.array(*[F.struct(F.lit(r["doc_id"]).cast(kind).alias("id"), F.lit(r["head"]).alias("head")) for r in cuts(docs, n)]).cast(f"array<struct<id:{kind.simpleString()},head:string>>")
+
+    def before(c: Column) -> Column:
+        """Whether a row does not come before the cut c."""
+        same = c["id"].eqNullSafe(F.col("doc_id")) & (c["head"] <= text)
+        return same | F.coalesce(c["id"] > F.col("doc_id"), c["id"].isNotNull() & F.col("doc_id").isNull())
+
+    rows = docs.select("doc_id", "text", F.size(F.filter(bounds, before)).alias("bucket"))
+    # one short row a run reaches the driver: as many as there are partitions
+    top = rows.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()
+    heads = sorted(((r["bucket"], r["head"]) for r in top), key=lambda x: x[0])
     if not heads:
         return rows.withColumn("last", F.lit(False))
-    before = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
-    ids = [h for _, h in heads if h is not None]
-    first = rows.filter(F.col("doc_id").isin(ids) | F.col("doc_id").isNull() if any(h is None for _, h in heads) else F.col("doc_id").isin(ids))
-    first = first.groupBy("bucket").agg(F.max("doc_id").alias("doc_id"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    to = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("bucket"))
-    ends = first.select("doc_id", "text", to.alias("bucket"), F.lit(True).alias("last"))
+    before_ = {b: heads[i - 1][0] for i, (b, _) in enumerate(heads)}
+    ids = F.create_map(*[x for b, h in heads for x in (F.lit(b), F.lit(h).cast(kind))])
+    # the first document of each run: the least text of its greatest id
+    first = rows.filter(F.col("doc_id").eqNullSafe(ids[F.col("bucket")])).groupBy("bucket").agg(F.min(text).alias("text"))
+    to = F.element_at(F.create_map(*[F.lit(x) for kv in before_.items() for x in kv]), F.col("bucket"))
+    ends = first.select(F.lit(None).cast(kind).alias("doc_id"), "text", to.alias("bucket"), F.lit(True).alias("last"))
     every = rows.withColumn("last", F.lit(False)).unionByName(ends)
-    return every.repartition(n, "bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").desc_nulls_last(), F.coalesce("text", F.lit("")))
+    return every.repartition(n, "bucket").sortWithinPartitions("bucket", "last", F.col("doc_id").desc_nulls_last(), text)
 
 
 OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -197,6 +277,7 @@ OUT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprin
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edit with the successor's beginning, and how alike they are."""
     schema = T.StructType([docs.schema["doc_id"], *T._parse_datatype_string(OUT).fields])
+    id_type = to_arrow_type(docs.schema["doc_id"].dataType)
 
     def rows(batches):
         for batch in slices(batches, "text", 1 << 20):
@@ -214,8 +295,7 @@ def compare_edited(docs: DataFrame) -> DataFrame:
             (own[:-1] == other).mean(axis=1), (own[:-1] == own[1:]).mean(axis=1),
         ]
         kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        first = pa.array(ids, pa.int64())
-        return pa.RecordBatch.from_arrays([first, *map(pa.array, cols, kinds)], names=schema.names)
+        return pa.RecordBatch.from_arrays([pa.array(ids, id_type), *map(pa.array, cols, kinds)], names=schema.names)
 
     def run(batches):
         ids, texts, size = [], [], 0
