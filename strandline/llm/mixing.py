@@ -8,7 +8,8 @@ its boundary is one hash value.  A filter on the hash then selects the mix.
 Defined results: a null text has size 0; null sources are one source, last in
 order; rows of one ``doc_id`` share a hash and are taken together; a null
 ``doc_id`` is hashed by its text; an empty table gives an empty result; other
-columns pass through untouched.
+columns pass through untouched, whatever their names.  Targets are found in one
+task, which sees one short row a source (three numbers and a name).
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import free_name, materialize, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -138,8 +139,9 @@ def mixed(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap:
     rates = plan(materialize(sized_of(docs), "mix-sized"), weights, share, cap)
     d, p = docs.alias("d"), rates.alias("p")
     copies = copies_of(hash_of(F.col("d.doc_id"), F.col("d.text")), cap)
-    rows = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", copies.alias("__copies")).filter("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).drop("__copy", "__copies")
+    times, each = free_name(docs, "copies"), free_name(docs, "copy")
+    rows = d.join(p, F.col("d.source").eqNullSafe(F.col("p.source"))).select("d.*", copies.alias(times)).filter(F.col(times) > 0)
+    return rows.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).drop(each, times)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

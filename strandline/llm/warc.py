@@ -12,7 +12,9 @@ are ignored, and a later stage starts from the manifest.
 Defined results: a null payload is empty; of records with equal payloads the
 rows with the smallest id are responses and the rest revisits (null ids come
 last; where all ids are null every row is a response); an empty table gives no
-archive and no rows; memory is bounded by one record.
+archive and no rows; columns other than page_id, url and html are not read, so
+their names cannot clash; ids of any type are kept whole; memory is bounded by
+one record.
 """
 
 from __future__ import annotations
@@ -292,5 +294,5 @@ def archive(pages: DataFrame, min_bytes: int = 0, keep_monolithic: bool = False)
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     got = read_archives(*archive(pages), payload=False)
-    number = lambda c: F.nullif(F.substring_index(c, ":", -1), F.lit("")).cast(pages.schema["page_id"].dataType)
+    number = lambda c: F.nullif(F.regexp_replace(c, "^urn:page:", ""), F.lit("")).cast(pages.schema["page_id"].dataType)
     return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
