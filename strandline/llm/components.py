@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,28 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
     labels = edges.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label")
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+
+
+def joins(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of pairs x, y that join the labelled components to as few as all pairs would, and the labels then."""
+    labels, taken = labels.copy(), []
+    left = np.flatnonzero(labels[x] != labels[y])
+    while len(left):
+        parent: dict[int, int] = {}
+
+        def top(k: int) -> int:
+            while parent.get(k, k) != k:
+                k = parent[k]
+            return k
+
+        # one pair for each component at a time
+        _, one = np.unique(labels[x[left]], return_index=True)
+        for p in left[one].tolist():
+            a, b = top(int(labels[x[p]])), top(int(labels[y[p]]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                taken.append(p)
+        names = np.unique(labels)
+        labels = np.array([top(int(k)) for k in names])[np.searchsorted(names, labels)]
+        left = left[labels[x[left]] != labels[y[left]]]
+    return np.array(taken, np.int64), labels

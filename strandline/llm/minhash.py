@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, mix64, release, shuffle_partitions, slices, table, trim
-from .components import components
+from .components import components, joins
 
 TREES, DEPTH, LEAST_DEPTH = 16, 8, 4
 HASHES = TREES * DEPTH
@@ -218,7 +218,8 @@ def class_sets(classes: DataFrame, reps: DataFrame, docs: DataFrame, words: int,
             cols = [[c for c, _ in mine], *zip(*((keep or (lambda s: (s.tobytes(),)))(s) for _, s in mine), strict=True)] if mine else [[] for _ in fields]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.binary(), pa.int64()), strict=False)], names=fields.names)
 
-    chosen = classes.join(reps.select("cls", "doc_id", "text_key"), "cls").alias("c")
+    # a written table, so that Spark sees its size and moves the texts only if it is large
+    chosen = materialize(classes.join(reps.select("cls", "doc_id", "text_key"), "cls"), "mh-chosen", thin=True).alias("c")
     d = docs.select("doc_id", "text", text_key().alias("text_key")).alias("d")
     texts = d.join(chosen, F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_key") == F.col("c.text_key"))).select("c.cls", "d.text")
     # rows may repeat a doc_id and its text
@@ -534,31 +535,6 @@ def common_counts(lists: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def joins(labels: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs x, y that join the labelled components to as few as all pairs would, and the labels then."""
-    labels, taken = labels.copy(), []
-    left = np.flatnonzero(labels[x] != labels[y])
-    while len(left):
-        parent: dict[int, int] = {}
-
-        def top(k: int) -> int:
-            while parent.get(k, k) != k:
-                k = parent[k]
-            return k
-
-        # one pair for each component at a time
-        _, one = np.unique(labels[x[left]], return_index=True)
-        for p in left[one].tolist():
-            a, b = top(int(labels[x[p]])), top(int(labels[y[p]]))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                taken.append(p)
-        names = np.unique(labels)
-        labels = np.array([top(int(k)) for k in names])[np.searchsorted(names, labels)]
-        left = left[labels[x[left]] != labels[y[left]]]
-    return np.array(taken, np.int64), labels
-
-
 def region_links(lists: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, numerator: int, denominator: int) -> list[tuple[int, int]]:
     """Pairs of a crowded region that join its components: as few as will do of the sure ones, and all that only full sets can decide.
 
