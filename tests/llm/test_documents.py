@@ -1,6 +1,7 @@
 """The operators over documents against brute force, with nulls, ties, copies, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from strandline.llm.common import SpanHash
 from strandline.llm import edit_embedding, language, minhash, mixing, pieces, pii, queries, repeats, tiff
 
 OPS = [q for q in queries.QUERIES if q not in ("op1_warc", "op7_html")]
@@ -88,6 +90,28 @@ def test_pii_terms_of_rare_entities(ship):
     assert not any(got[i] for i in range(1100))
 
 
+def test_added_columns_and_input_columns_of_their_names(ship, docs):
+    clash = docs.selectExpr("*", *[f"'x{i}' AS {c}" for i, c in enumerate("pii_base pii_terms pii_gone __copies copies copy key terms".split())])
+    rest = clash.columns[4:]
+    for got in (pii.sanitise(clash), mixing.mixed(clash)):
+        assert got.columns == clash.columns and all(tuple(r[c] for c in rest) == tuple(f"x{i}" for i in range(len(rest))) for r in got.collect())
+    assert pii.find(clash).filter("pii_base IS NULL").isEmpty()
+
+
+def test_pii_of_long_texts(ship):
+    """A megabyte of matches, valid or not, is read in seconds."""
+    import time
+
+    emails = " ".join(f"u{i}@example.com" for i in range(50_000))
+    texts = ["12,34," * 170_000, emails, "4111 1111 1111 1111, " * 40_000]
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.sanitise(ship.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["text"] == texts[0] and got[1]["text"] == " ".join(["<EMAIL>"] * 50_000) and got[2]["text"] == "<CARD>, " * 40_000
+    spans = {r["doc_id"]: r["pii_base"] for r in pii.find(ship.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [(s["start"], s["end"]) for s in spans[1]] == [m.span() for m in re.finditer(r"\S+", emails)] and len(spans[2]) == 40_000
+    assert time.time() - began < 120
+
+
 def shingles(text, n):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", lower)
@@ -147,11 +171,72 @@ def test_forest_of_a_dense_region():
     assert len(pairs) == len({p[:2] for p in pairs}) < 20 * m and sum(t == 1 for _, _, t in pairs) < 8 * m
 
 
-def test_pairs_of_40_equal_sketch_values_are_confirmed():
-    """A pair of similarity 0.8 has fewer with probability 0.00035."""
+def test_least_likeness_of_sketches():
+    """A pair of similarity 0.8 falls below it with probability MISS at most; a pair just at it is a candidate."""
+    p = 0.8 + 0.2 / 16
+    least = round(minhash.least_alike(8, 10) * minhash.SKETCH)
+    below = sum(math.comb(minhash.SKETCH, k) * p**k * (1 - p) ** (minhash.SKETCH - k) for k in range(least))
+    assert 0 < below <= minhash.MISS and minhash.least_alike(8, 10, 0) == 0 and minhash.least_alike(6, 10) < minhash.least_alike(8, 10)
     sketches = np.zeros((2, minhash.SKETCH), np.uint8)
-    sketches[1, 40:] = 1
-    assert [p[:2] for p in minhash.region_pairs(np.zeros((2, minhash.DEPTH), np.uint16), sketches)] == [(0, 1)]
+    sketches[1, least:] = 1
+    assert [q[:2] for q in minhash.region_pairs(np.zeros((2, minhash.DEPTH), np.uint16), sketches)] == [(0, 1)]
+
+
+def test_region_links_against_force():
+    """Whole and cut lists: what joins components by force is found, with few pairs."""
+    rng = np.random.default_rng(8)
+    for base_size, changes, most in ((60, 14, 500), (3000, 600, 2000)):
+        base = rng.integers(0, 1 << 62, base_size, dtype=np.uint64)
+        sets = []
+        for _ in range(100):
+            s = base.copy()
+            at = rng.random(base_size) < rng.random() * changes / base_size
+            s[at] = rng.integers(0, 1 << 62, at.sum(), dtype=np.uint64)
+            sets.append(np.unique(s))
+        like = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in sets] for a in sets])
+        labels = np.arange(100)
+        labels[1:40:2] = 0
+        hashes = [np.frombuffer(minhash.bottom(s)[0], np.uint32) for s in sets]
+        got = minhash.region_links(hashes, np.array([len(s) for s in sets]), labels, 8, 10)
+        good = [(i, j) for i, j in got if like[i, j] >= 0.8]
+        parts = lambda links: minhash.joins(labels, np.array([i for i, _ in links]), np.array([j for _, j in links]))[1]
+        force = parts([tuple(x) for x in np.argwhere(like >= 0.8) if x[0] != x[1]])
+        assert (parts(good) == force).all() and len(got) < most
+
+
+def test_words_of_equal_polynomials_differ(ship, tmp_path):
+    """Words that every polynomial hash modulo a power of two takes for equal are different words."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(1, " ".join([a] * 6)), (2, " ".join([b] * 6)), (3, " ".join([a] * 6).upper())]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(ship.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_words_of_long_texts_in_blocks():
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choices("abcDEF", k=rng.randint(1, 12))) for _ in range(400_000)) + "x" * 3_000_000 + "\t" + "end  \n"
+    raw = text.encode()
+    assert len(raw) > 2 * minhash.BLOCK
+    assert minhash.word_hashes(raw).tolist() == [minhash._words[w] for w in raw.lower().split()]
+
+
+@pytest.mark.parametrize("large", [2048, 40])
+def test_minhash_of_large_regions(ship, monkeypatch, large):
+    """Regions that are gathered and regions that are joined by first shingles give the same components."""
+    monkeypatch.setattr(minhash, "LARGE", large)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    base, rows = [word() for _ in range(120)], []
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(120), rng.randint(0, 9)):
+            w[at] = word()
+        rows.append((i, " ".join(w)))
+    docs = ship.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, words=5).select("doc_id", "component_id").collect()}
+    assert got == {i: c for i, _, c in components_by_force(rows, 5)}
 
 
 def test_minhash_links_within_a_crowd(ship):
@@ -194,6 +279,52 @@ def test_language_accuracy(ship):
     assert np.mean([truth[r["doc_id"]] == r["lang_pred"] for r in got]) > 0.98
 
 
+def parsed_by_force(sample, text):
+    """Phrases of a text: each the longest substring of the sample; a symbol that the sample lacks ends one."""
+    count, held = 0, ""
+    for c in text:
+        if held + c in sample:
+            held += c
+        else:
+            count += 1
+            held = c if c in sample else ""
+    return count
+
+
+def test_phrases_against_force():
+    rng = random.Random(9)
+    draw = lambda letters, n: "".join(rng.choices(letters, k=n))
+    samples = {"a": [draw("abc ", 900), "abab" * 100], "b": [draw("bcdé ", 700)], "c": ["\u4e00\u4e8c" * 200]}
+    texts = [draw("abc ", k) for k in (1, 5, 255, 256, 257, 700, 3000)] + [draw("bcdxé .", 900), samples["a"][0] * 3, "abab" * 300, samples["b"][0][3:600] + "zz" + samples["b"][0], "", ". .", "\u4e00" * 600]
+    model = language.Model(samples)
+    plain = lambda t: re.sub(r"[^a-z\u00e9\u4e00\u4e8c]+", " ", t)
+    n, got = language.phrases(model, texts)
+    for j, lang in enumerate(model.langs):
+        joined = plain("\0".join(samples[lang]))
+        assert got[:, j].tolist() == [parsed_by_force(joined, plain(t)) if any(c.isalpha() for c in t) else 0 for t in texts]
+    assert n.tolist() == [len(plain(t)) if any(c.isalpha() for c in t) else 0 for t in texts]
+
+
+def test_languages_of_large_scripts(ship):
+    """Two languages of 2,000 letters each, of which every letter tells them apart."""
+    rng = random.Random(10)
+    letters = {"xx": [chr(0x4E00 + i) for i in range(2000)], "yy": [chr(0xAC00 + i) for i in range(2000)]}
+    rows = [(i, "".join(rng.choices(letters[k], k=300)), k) for i, k in enumerate(["xx", "yy"] * 150)]
+    got = language.identify(ship.createDataFrame(rows, "doc_id long, text string, lang string"), language.sample(ship.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert all(r["lang"] == r["lang_pred"] for r in got.collect())
+
+
+def test_language_sample_counts_copies_once(ship):
+    rng = random.Random(10)
+    prose = lambda letters: " ".join("".join(rng.choices(letters, k=6)) for _ in range(60))
+    hot = prose("abcd")
+    texts = [(hot, "aa")] * 8000 + [(prose("abcd"), "aa") for _ in range(40)] + [(prose("defg"), "bb") for _ in range(40)]
+    df = ship.createDataFrame([(i, t, k) for i, (t, k) in enumerate(texts)], "doc_id long, text string, lang string")
+    got = language.sample(df, chars=4000, piece=300)
+    assert set(got) == {"aa", "bb"} and all(3000 <= sum(map(len, v)) <= 4000 and len(set(v)) == len(v) for v in got.values())
+    assert any(not any(t.startswith(p) for t, _ in texts) for p in got["bb"])
+
+
 def test_suffix_automaton_accepts_exactly_the_substrings():
     text = [1, 2, 1, 1, 2, 3, 1, 2]
     states = language.suffix_automaton(text)
@@ -281,6 +412,33 @@ def test_repeats(ship, tables, corpus, monkeypatch, most):
     assert Counter(tuple(r)[1:] if r.__fields__[0] == "doc_id" else None for r in got) == Counter(want)
 
 
+def test_windows_of_equal_polynomials_differ(ship, tmp_path):
+    """Strings of 200 bytes that every polynomial hash modulo 2**64 takes for equal are no repeats of each other."""
+    sign = np.array([1])
+    for d in (64, 32, 32, 16, 16, 8, 8, 4, 4, 2, 2, 1, 2, 2):
+        sign = np.concatenate([np.zeros(d, int), sign]) - np.concatenate([sign, np.zeros(d, int)])
+    sign = np.append(sign, np.zeros(200 - len(sign), int))
+    a, b = (bytes((33 + np.maximum(x, 0)).tolist()) for x in (sign, -sign))
+    assert len(a) == len(b) == 200 and a != b and SpanHash(np.frombuffer(a, np.uint8)).windows(200) == SpanHash(np.frombuffer(b, np.uint8)).windows(200)
+    texts = [a.decode(), b.decode(), "y" * 150 + a.decode()[:40]]
+    ship.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in queries.QUERIES["op9_repeats"](ship, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == removed_by_force([t.encode() for t in texts])
+
+
+def test_repeats_of_long_texts_in_blocks():
+    """Blocks give the windows of a whole text, each once."""
+    import pyarrow as pa
+
+    text = "".join(random.Random(3).choices("abc", k=repeats.BLOCK + 1000))
+    owned = []
+    for rows, data, offsets, start in repeats.text_blocks(pa.RecordBatch.from_arrays([pa.array([text, "short"])], names=["text"])):
+        assert len(data) <= repeats.BLOCK + repeats.LENGTH
+        a = repeats.Anchors(data, offsets)
+        owned += [(int(rows[d]), x) for d, low, n in zip(a.doc, a.low, a.count, strict=True) for x in range(start + low, start + low + n)]
+    assert owned == [(0, x) for x in range(len(text) - repeats.LENGTH + 1)]
+
+
 def test_repeats_of_periodic_and_overlapping_texts(ship, tmp_path):
     import random
 
@@ -326,6 +484,21 @@ def test_fingerprints(ship, tables, corpus):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_fingerprints_of_any_ids(ship, tmp_path):
+    """String ids, one of them on half of the rows, and rows without an id."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a:b", "é", "Z", f"k{i % 9}", "hot", "hot", "hot"]), "".join(rng.choices("abc ", k=rng.randint(0, 40)))) for i in range(300)]
+    docs = ship.createDataFrame(rows, "doc_id string, text string")
+    order = sorted(rows, key=lambda r: r[1])
+    order = sorted((r for r in order if r[0] is not None), key=lambda r: r[0], reverse=True) + [r for r in order if r[0] is None]
+    want = Counter()
+    for (d, t), (_, nxt) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        f = edit_embedding.fingerprints([t, edited, nxt])
+        want[(d, len(t), hashlib.sha256(edited.encode()).hexdigest(), f[0].tobytes().hex(), f[1].tobytes().hex(), (f[0] == f[1]).mean(), (f[0] == f[2]).mean())] += 1
+    assert Counter(tuple(r) for r in edit_embedding.compare_edited(docs.repartition(5)).collect()) == want
+
+
 def test_edit_embedding_follows_edits(words):
     import random
 
@@ -337,6 +510,48 @@ def test_edit_embedding_follows_edits(words):
     assert like[1] > 0.85 and like[2] > 0.8 and 0.3 < like[3] < 0.7 and like[4] < 0.1
 
 
+@pytest.mark.parametrize("most", [2048, 8])
+def test_near_components_against_force(ship, most):
+    """Every alike pair is found, in ordinary buckets and in crowded ones; copies share a class."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (6, edit_embedding.SAMPLES), dtype=np.uint8)
+    prints = []
+    for i in range(240):
+        f = base[i % 6].copy()
+        at = rng.choice(edit_embedding.SAMPLES, rng.integers(0, 34 if i % 6 else 5), replace=False)
+        f[at] = rng.integers(0, 256, len(at))
+        prints += [f] * (1 + (i % 50 == 0))
+    prints = np.array(prints)
+    like = (prints[:, None] == prints[None]).mean(axis=2) >= 0.8
+    label = np.arange(len(prints))
+    for _ in range(len(prints)):
+        new = np.array([label[like[i]].min() for i in range(len(prints))])
+        if (new == label).all():
+            break
+        label = new
+    df = ship.createDataFrame([(i, f.tobytes().hex()) for i, f in enumerate(prints)] + [(9999, None)], "doc_id long, fingerprint string")
+    got = {r["doc_id"]: (r["class_id"], r["component_id"]) for r in edit_embedding.near_components(df, 0.8, most).collect()}
+    same = {f.tobytes(): i for i, f in reversed(list(enumerate(prints)))}
+    assert got.pop(9999) == (None, None) and got == {i: (same[f.tobytes()], label[i]) for i, f in enumerate(prints)}
+    assert len(edit_embedding.bands(0.8)) == 26 and sum(n for _, n in edit_embedding.bands(0.8)) == edit_embedding.SAMPLES
+
+
+def test_features_against_force():
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40):
+        payload = rng.integers(0, 256, 192 * n, dtype=np.uint8).tobytes() if n != 3 else b"ab " * 192
+        px = np.frombuffer(payload, np.uint8).reshape(n, 64, 3)
+        counts = Counter(payload)
+        entropy = -sum(c / len(payload) * math.log2(c / len(payload)) for c in counts.values())
+        means = [sum(payload[k::3]) / (64 * n) for k in range(3)]
+        want = f"mean={means[0]:.3f}:{means[1]:.3f}:{means[2]:.3f};entropy={entropy:.4f};"
+        got = tiff.features(px)
+        assert got.startswith(want.replace("-0.0000", "0.0000")) or got.replace("-0.0000", "0.0000").startswith(want.replace("-0.0000", "0.0000"))
+        assert len(got.split("gradient=")[1]) == 16
+        media = tiff.store(payload)
+        assert b"".join(p.tobytes() for _, p in tiff.pages(media)) == payload and media == tiff.store(payload)
+
+
 def test_walk_equals_its_definition():
     steps, _ = edit_embedding.tables()
     classes = np.random.default_rng(2).integers(0, edit_embedding.CLASSES, 500)

@@ -33,6 +33,14 @@ def test_warc(ship, tmp_path):
     }
 
 
+def test_warc_of_clashing_columns_and_any_ids(ship, tmp_path):
+    rows = [("a:b", "u", "same"), ("c", "u", "same"), (":", "u", "x" * 2_000_000), (None, None, None)]
+    df = ship.createDataFrame(rows, "page_id string, url string, html string").selectExpr("*", *[f"'x' AS {c}" for c in "first sha n path payload record_id".split()])
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in queries.QUERIES["op1_warc"](ship, str(tmp_path)).collect()}
+    assert got == {"a:b": ("response", None, 4), "c": ("revisit", "a:b", 4), ":": ("response", None, 2_000_000), None: ("response", None, 0)}
+
+
 def test_warc_of_no_pages(ship, tmp_path):
     assert rows_of(ship, tmp_path, [], "op1_warc") == []
 
@@ -103,5 +111,47 @@ def test_equivalence_classes():
     keys = [["<a", "t:x", "</a", "<b", "t:1", "</b"], ["<a", "t:x", "</a", "<b", "t:2", "</b", "<b", "t:3", "</b"]]
     found = extraction.classes(keys)
     assert set(found[(1, 1)]) == {"<a", "t:x", "</a"} and set(found[(1, 2)]) == {"<b", "</b"}
-    assert extraction.root(keys, found[(1, 1)]) == ["<a", "t:x", "</a"]
-    assert re.match("t:", keys[0][1]) and extraction.nested(keys, ["<a", "t:x", "</a"], found) == {"<b", "</b"}
+    template = extraction.Template([*keys, keys[1]])
+    assert [bytes(m) for m in template.member] == [b"\1\1\1\1\0\1"] + [b"\1\1\1\1\0\1\1\0\1"] * 2
+    assert bytes(extraction.Template(keys).member[1]) == b"\1\1\1" + b"\0" * 6
+
+
+def test_nested_classes():
+    """A list in the root's slot, with items that hold lists themselves; the texts of each level's class are known."""
+    rng = random.Random(6)
+
+    def made(n):
+        items = "".join("<li><b>item</b>" + "".join(f"<i>by</i><u>{rng.random()}</u>" for _ in range(rng.randint(2, 4))) + "</li>" for _ in range(n))
+        return f"<body><ul>{items}</ul><div>{rng.random()}</div></body>"
+
+    pages = [extraction.tokens(made(n)) for n in (2, 3, 2, 4)]
+    keys = [extraction.keyed(p) for p in pages]
+    template = extraction.Template(keys)
+    for page, k, member in zip(pages, keys, template.member, strict=True):
+        texts = [(name, bool(m)) for (kind, name, _), m in zip(page, member, strict=True) if kind == extraction.TEXT]
+        assert all(m == (name in ("item", "by")) for name, m in texts) and {"item", "by"} <= {n for n, _ in texts}
+        assert [x in ("<body #", "<ul #", "/ul", "<div #", "/div", "/body") or m for x, m in zip(k, member, strict=True)].count(True) == len(k) - len([x for x in texts if not x[1]])
+
+
+def test_slots_decide_for_broken_pages():
+    """A page whose article element is missing or never ends is read like the group's others; without the template it is not."""
+    rng = random.Random(7)
+    body = lambda: " ".join(rng.choices("red green blue white black".split(), k=30)) + str(rng.random())
+    made = [(body(), f"advert {rng.random()}", f"see also {rng.random()}") for _ in range(12)]
+    page = "<html><body><div id=x>{1}</div>{open}<div id=m><p>{0}</p></div>{close}<div id=z>{2}</div></body></html>".format
+    pages = [page(*m, open="<article>", close="</article>") for m in made[:10]]
+    pages += [page(*made[10], open="", close=""), page(*made[11], open="<article>", close="")]
+    assert extraction.extract(pages) == [m[0] for m in made]
+    assert extraction.extract(pages[10:11]) != [made[10][0]] and extraction.extract(pages[11:]) != [made[11][0]]
+
+
+def test_html_of_nothing_clashes_and_repeated_rows(ship, tmp_path):
+    assert rows_of(ship, tmp_path / "none", [], "op7_html") == []
+    rng = random.Random(8)
+    rows = [(i % 7, f"http://h.example.com/{i % 7}", page(i % 7, random.Random(i % 7))[0]) for i in range(40)] + [(None, None, None)] * 3
+    plain = rows_of(ship, tmp_path / "plain", rows, "op7_html")
+    assert len(plain) == 43 and all(r["text"] == (page(r["page_id"], random.Random(r["page_id"]))[1] if r["page_id"] is not None else "") for r in plain)
+    df = ship.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"'x' AS {c}" for c in "host salt salts copies key text n_chars copy a_id".split()])
+    assert sorted(map(repr, extraction.main_text(df).collect())) == sorted(map(repr, plain))
+    long = "<p>" + "word " * 200_000 + "</p>"
+    assert extraction.extract([f"<article>{long}</article>"])[0] == ("word " * 200_000).strip()

@@ -46,6 +46,18 @@ def test_near_dedup_stage(stages):
     assert Counter(r[0] for r in after) == Counter({c: 1 for _, _, c in parts}) and set(after) <= set(before)
 
 
+def test_near_dedup_decides_by_id_and_text(ship):
+    """A text that shares its doc_id with a copy of another document stays; rows with equal ids and texts are one."""
+    base = " ".join(f"w{i}" for i in range(60))
+    near, unique = base + " more", " ".join(f"u{i}" for i in range(50))
+    data = [(3, base, "en", "s", 1), (7, unique, "en", "s", 1), (7, near, "en", "s", 1), (7, unique, "de", "t", 2), (None, unique + " too", None, None, None), (8, None, "en", "s", 0), (9, "  ", None, "s", 0)]
+    docs = ship.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(rows(corpus_pipeline.drop_near_duplicates(ship, docs, "")))
+    assert got == Counter([data[0], data[3], data[5], data[6]]) or got == Counter([data[0], data[1], data[5], data[6]])
+    clash = docs.selectExpr("*", "1 AS text_key", "2 AS first", "3 AS cls")
+    assert corpus_pipeline.drop_near_duplicates(ship, clash, "").count() == 4
+
+
 def test_pii_stage(stages):
     after = {r[0]: r for r in rows(stages[3])}
     for d, text, *_ in rows(stages[2]):
