@@ -12,11 +12,12 @@ from ..functions import binary as B
 from ..functions import crypto as C
 from ..functions import diff as D
 from ..functions import text as X
+from ..operators import signatures as S
 from ..sources import packs as P
 from ..sources import repository as R
 from ..sources import writers as W
 from .registry import query
-from .repository import _REPO, local_path, repository
+from .repository import local_path
 from .tables import load
 
 
@@ -264,28 +265,27 @@ def der_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(F.col("d")[0]["body"]).alias("digest"), F.conv(F.hex(F.col("d")[1]["body"]), 16, 10).cast("long").alias("number"))
 
 
-@query(f"WITH RECURSIVE {_REPO} SELECT id, 'n' || k || '@example.com' AS signer, k % 5 <> 0 AS valid FROM c")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 7 <> 3 THEN n_name END AS principal, n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 3 AS valid FROM nation")
 def signed_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commits signed with keys that a table lists by principal; each fifth signature is of another commit."""
-    objects = R.load(spark, repository(spark, sf_dir), "objects").filter("type = 'commit'").select("id", "content")
-    commits = R.load(spark, repository(spark, sf_dir), "commits").select("id", F.col("author.email").alias("signer"))
-    rows = objects.join(commits, "id").withColumn("k", F.regexp_extract("signer", r"\d+", 0).cast("int"))
-    seed = F.sha2(F.col("signer"), 256)
-
-    def sign(seed_: str, body: bytes) -> bytes:
-        return ssh_signed(bytes.fromhex(seed_), body)
-
-    body = F.when(F.col("k") % 5 == 0, F.concat(F.col("content"), F.lit(bytearray(b"!")))).otherwise(F.col("content"))
-    rows = rows.select("id", "signer", "content", B.each(sign, "binary", seed, body).alias("signature"), B.each(lambda s: C.ed25519_public(bytes.fromhex(s)), "binary", seed).alias("public"))
-    keys = rows.select(F.col("signer").alias("principal"), F.col("public").alias("key"))  # the allowed signers
-    return verified_by(rows, keys).select("id", "signer", "valid")
-
-
-def verified_by(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(id, signer, content, signature) and (principal, key): whether the signer's own key signed the content."""
-    of_key = B.each(lambda s: C.ssh_strings(C.ssh_signature(s)["key"])[-1], "binary", F.col("signature"))
-    joined = rows.join(keys, (F.col("signer") == F.col("principal")) & (of_key == F.col("key")), "left")
-    return joined.withColumn("valid", F.col("principal").isNotNull() & C.ssh_verified(F.col("signature"), F.col("content")))
+    """Signed commits and tags against a table of keys: each fifth signature is of another text, each seventh key is not listed."""
+    import base64
+
+    rows, keys = [], []
+    for r in _names(spark, sf_dir):
+        k, name = r["n_nationkey"], r["n_name"]
+        seed = name.encode().ljust(32, b".")[:32]
+        who = W.person(name, f"n{k}@example.com", 1000000000 + k, 0)
+        plain = W.commit_bytes("0" * 40, [], who, who, f"Add {name}\n") if k % 2 else W.tag_bytes("0" * 40, "commit", name, who, f"Tag {name}\n")
+        text = base64.b64encode(ssh_signed(seed, plain + b"!" * (k % 5 == 0))).decode()
+        lines = ["-----BEGIN SSH SIGNATURE-----", *(text[i : i + 70] for i in range(0, len(text), 70)), "-----END SSH SIGNATURE-----"]
+        head, _, message = plain.partition(b"\n\n")
+        body = head + b"\ngpgsig " + "\n ".join(lines).encode() + b"\n\n" + message if k % 2 else plain + "\n".join(lines).encode() + b"\n"
+        rows.append((str(k), "commit" if k % 2 else "tag", bytearray(body)))
+        blob = _string(b"ssh-ed25519") + _string(C.ed25519_public(seed))
+        if k % 7 != 3:
+            keys.append((S.fingerprint_of(blob), name, bytearray(blob)))
+    found = S.verified(spark.createDataFrame(rows, "id string, type string, content binary"), spark.createDataFrame(keys, "fingerprint string, principal string, key binary"))
+    return found.select(F.col("id").cast("int").alias("n_nationkey"), "principal", "valid")
 
 
 def _string(b: bytes) -> bytes:

@@ -136,6 +136,41 @@ def test_bases_outside_a_pack_and_large_packs(tmp_path):
     assert [b for _, _, b in pack.objects(P.RANGE, 100)] == bodies[P.RANGE :] and len(list(pack.objects(0, P.RANGE))) == P.RANGE
 
 
+def test_reference_changes_are_all_or_none(tmp_path, monkeypatch):
+    root = W.init(str(tmp_path))
+    a, b = "a" * 40, "b" * 40
+    W.update_references(root, [("refs/heads/x", a, None), ("refs/heads/y", a, None)], WHO, "made")
+    with open(os.path.join(root, "packed-refs"), "w") as f:
+        f.write(f"{b} refs/heads/x\n{b} refs/heads/z\n")
+    files = lambda: {os.path.relpath(os.path.join(d, n), root): open(os.path.join(d, n)).read() for d, _, names in os.walk(root) for n in names}
+    before = files()
+    with pytest.raises(ValueError):
+        W.update_references(root, [("refs/heads/x", b, a), ("refs/heads/z", a, None)], WHO, "z is there")
+    assert files() == before
+    done = os.replace
+    monkeypatch.setattr(W.os, "replace", lambda x, y: done(x, y) if not y.endswith("heads/y") else (_ for _ in ()).throw(OSError("full")))
+    with pytest.raises(OSError):
+        W.update_references(root, [("refs/heads/x", b, a), ("refs/heads/z", None, b), ("refs/heads/y", b, a)], WHO, "half")
+    monkeypatch.setattr(W.os, "replace", done)
+    assert {n: t for n, t in files().items() if not n.endswith(".new")} == before
+    W.update_references(root, [("refs/heads/x", None, a), ("refs/heads/z", a, b)], WHO, "moved")
+    now = files()
+    assert "refs/heads/x" not in now and "refs/heads/x" not in now["packed-refs"] and now["refs/heads/z"] == a + "\n" and now["logs/refs/heads/x"].endswith(f"{a} {'0' * 40} {WHO}\tmoved\n")
+
+
+def test_repack_and_packed_references(spark, tmp_path):
+    path = str(tmp_path)
+    refs = W.fast_import(W.init(path), stream())
+    root = os.path.join(path, ".git")
+    before = sorted(tuple(r) for r in R.load(spark, path, "objects").select("id", "type", "size").collect())
+    names = {r["name"]: r["id"] for r in R.load(spark, path, "refs").collect()}
+    assert W.pack_references(root) == 3 and os.path.exists(W.repack(root)) and os.path.exists(W.repack(root))
+    assert os.listdir(os.path.join(root, "refs", "heads")) == [] and [n for n in os.listdir(os.path.join(root, "objects")) if len(n) == 2] == []
+    rows = {r["name"]: (r["id"], r["peeled_id"]) for r in R.load(spark, path, "refs").collect()}
+    assert {n: i for n, (i, _) in rows.items()} == names and rows["refs/tags/v0.1"][1] == refs["refs/heads/side"]
+    assert sorted(tuple(r) for r in R.load(spark, path, "objects").select("id", "type", "size").collect()) == before
+
+
 def test_object_sink(spark, tmp_path):
     root = W.init(str(tmp_path))
     df = spark.createDataFrame([("blob", bytearray(b"This is 'iota'."))] * 3, "type string, content binary")
