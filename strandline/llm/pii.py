@@ -179,17 +179,22 @@ def disclosures(docs: DataFrame, significant: float = SIGNIFICANT, generalise_at
     least = F.col("n_least")
     pairs = pairs.join(n_least, "term").filter((_disclosure(n, least) >= generalise_at) & (_bits(n, least) >= significant)).drop("n_least")
     pairs = materialize(pairs, "pii-pairs", thin=True)
-    # occurrences of the candidate terms in all texts: the candidates are a written table, so
-    # Spark broadcasts them only where their size is under its threshold and shuffles otherwise
-    words = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term"))
-    hits = materialize(words.join(pairs.select("term").distinct(), "term", "left_semi"), "pii-hits")
-    n_t = hits.select("key", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    # texts that hold each term: every text's words once, and every text once, in partial sums, so that what moves is a
+    # row a term and task; a text's copies are told by a table of the keys that occur more than once
+    words = materialize(docs.select("doc_id", F.xxhash64("text").alias("key"), _terms(F.col("text")).alias("words")), "pii-words")
+    again = materialize(words.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "pii-copies", thin=True)
+    once = words.join(again, "key", "left_anti").select("words").unionByName(words.join(again, "key", "left_semi").dropDuplicates(["key"]).select("words"))
+    n_t = once.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     flagged = pairs.join(n_t, "term").filter(_bits(n, F.col("n_t")) >= significant).groupBy("term").agg(F.max(_disclosure(n, F.col("n_t"))).alias("r")).filter(F.col("r") >= generalise_at)
     flagged = materialize(flagged, "pii-terms", thin=True)
+    # the flagged terms are a written table, so Spark broadcasts them only where their size is under its threshold
+    hits = words.select("doc_id", "key", F.explode("words").alias("term"))
     found = hits.join(flagged, "term").groupBy("doc_id", "key").agg(
         F.sort_array(F.collect_set("term")).alias("terms"), F.sort_array(F.collect_set(F.when(F.col("r") >= REMOVE_AT, F.col("term")))).alias("gone")
     )
-    return materialize(found, "pii-found", thin=True)
+    found = materialize(found, "pii-found", thin=True)
+    discard(near, words, pairs)
+    return found
 
 
 def find(docs: DataFrame) -> DataFrame:
