@@ -68,9 +68,11 @@ def _reached(parents: DataFrame, start: DataFrame) -> DataFrame:
     while not frontier.isEmpty():
         # all of the frontier's chains: after the jumps of 1, 2, 4, ... steps no first parent is missing
         closed = frontier
-        for jump in jumps:
+        for i, jump in enumerate(jumps):
             more = closed.alias("c").join(jump.alias("j"), F.col("c.id") == F.col("j.id")).select("c.seed", F.col("j.to").alias("id"))
-            closed = written(closed.unionByName(more).distinct(), "reach")
+            closed = closed.unionByName(more).distinct()
+            if i % 2:  # two jumps a table
+                closed = written(closed, "reach")
         new = written(_without(closed, known), "reach")
         known.append(new)
         step = new.join(others, new["id"] == others["commit_id"]).select("seed", F.col("parent_id").alias("id")).distinct()
@@ -85,10 +87,9 @@ def _without(rows: DataFrame, known: list[DataFrame]) -> DataFrame:
 
 def ahead_behind(parents: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: how many commits only the left and only the right seeds reach."""
-    a = reachable(parents, left).withColumn("l", F.lit(1))
-    b = reachable(parents, right).withColumn("r", F.lit(1))
-    both = a.join(b, "id", "full")
-    return both.agg(F.count_if(F.col("r").isNull()).alias("ahead"), F.count_if(F.col("l").isNull()).alias("behind"))
+    start = left.select(F.lit("l").alias("seed"), "id").unionByName(right.select(F.lit("r").alias("seed"), "id"))
+    sides = _reached(parents, start).groupBy("id").agg(F.bool_or(F.col("seed") == "l").alias("l"), F.bool_or(F.col("seed") == "r").alias("r"))
+    return sides.agg(F.count_if(~F.col("r")).alias("ahead"), F.count_if(~F.col("l")).alias("behind"))
 
 
 def longest(nodes: DataFrame, parents: DataFrame, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binary as B
 from ..operators import graph as G
-from ..operators.durable import fresh_path
+from ..operators.durable import fresh_path, written
 from ..sources import formats as X
 from ..sources import packs as P
 from ..sources import repository as R
@@ -268,7 +268,7 @@ def repo_tree_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_REPO} SELECT r_name || '/' || n_name || '/' || c_name AS path, b.id AS object_id FROM blobs b JOIN nations ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey")
 def repo_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of all files below the root tree, read out of the tree objects; the root is the tree that no other holds."""
-    e = _table("tree_entries")(spark, sf_dir)
+    e = written(_table("tree_entries")(spark, sf_dir), "entries")
     roots = e.select("tree_id").distinct().join(e.select(F.col("object_id").alias("tree_id")), "tree_id", "left_anti")
     return G.flatten_tree(e, roots).select("path", "object_id").distinct()
 
@@ -402,7 +402,7 @@ def repo_index_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_REPO} SELECT count(*) AS objects, CAST(0 AS BIGINT) AS problems FROM objects")
 def repo_fsck(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every object hashes to its id, and what commits, trees and tags point at is there."""
-    objects = _table("objects")(spark, sf_dir)
+    objects = written(_table("objects")(spark, sf_dir), "objects")
     t = lambda name: _table(name)(spark, sf_dir)
     edges = t("commit_parents").select(F.col("commit_id").alias("from_id"), F.col("parent_id").alias("to_id")).unionByName(t("commits").select(F.col("id").alias("from_id"), F.col("tree_id").alias("to_id")))
     edges = edges.unionByName(t("tree_entries").select(F.col("tree_id").alias("from_id"), F.col("object_id").alias("to_id"))).unionByName(t("tag_objects").select(F.col("id").alias("from_id"), F.col("object_id").alias("to_id")))

@@ -3,8 +3,8 @@
     spark.dataSource.register(RepositorySource)
     spark.read.format("repository").option("table", "commits").load(path)
 
-Ranges of a pack's offset order, each of the 256 folders of loose objects and
-each small file are partitions.  An object that lies in several places is
+Ranges of a pack's offset order, every eight of the 256 folders of loose objects
+and each small file are partitions.  An object that lies in several places is
 returned by the first that is asked (loose objects, packs by name, then those
 of alternates): each task looks its ids up in the indexes of the places before,
 so no shuffle is needed.  Filters ``type = ..`` and ``id = ..`` are taken by
@@ -51,6 +51,8 @@ SCHEMAS = {
     "revision_texts": "file string, seq int, kind string, text binary",
 }
 FILE_TABLES = ("bundle", "bundle_objects", "packet_lines", "hash_dump", "headers", "revision_texts")
+#: Of the 256 folders of loose objects so many are one partition.
+HEADS = 8
 _OBJECT_TABLES = {"commits": "commit", "commit_parents": "commit", "tree_entries": "tree", "tag_objects": "tag"}
 
 
@@ -117,7 +119,8 @@ class RepositoryReader(DataSourceReader):
             return [Part("lookup", self.id)]
         out = []
         for f in store.folders:
-            out += [Part("loose", os.path.join(f, n), f) for n in sorted(os.listdir(f)) if len(n) == 2]
+            heads = [os.path.join(f, n) for n in sorted(os.listdir(f)) if len(n) == 2]
+            out += [Part("loose", f, heads[i : i + HEADS]) for i in range(0, len(heads), HEADS)]
         for p in store.packs:
             index = p.removesuffix(".pack") + ".idx"
             if not os.path.exists(index):
@@ -142,16 +145,21 @@ class RepositoryReader(DataSourceReader):
                 yield from self._rows(part.path, got[0], len(got[1]), "lookup", got[1])
 
     def _loose(self, part):
-        store, head, folder = Store(self.root, self.algorithm), os.path.basename(part.path), part.value
-        before = store.earlier(folder)
-        for name in sorted(os.listdir(part.path)):
+        store = Store(self.root, self.algorithm)
+        before = store.earlier(part.path)
+        for folder in part.value:
+            yield from self._loose_folder(folder, store, before)
+
+    def _loose_folder(self, folder: str, store: Store, before: list):
+        head = os.path.basename(folder)
+        for name in sorted(os.listdir(folder)):
             id_ = head + name
             if len(id_) != 2 * X.id_bytes(self.algorithm) or any(store.has(w, bytes.fromhex(id_)) for w in before):
                 continue
             if self.table == "object_ids":
                 yield id_, "loose"
                 continue
-            data = _read(os.path.join(part.path, name))
+            data = _read(os.path.join(folder, name))
             kind, size, _ = X.loose_object(data, head_only=True)
             if self.type in (None, kind):
                 yield from self._rows(id_, kind, size, "loose", X.loose_object(data)[2])
