@@ -100,6 +100,25 @@ def trim(b: Column) -> Column:
     return F.encode(F.regexp_replace(F.decode(b, "ISO-8859-1"), r"^[\s\x00]+|[\s\x00]+$", ""), "ISO-8859-1")
 
 
+def _class(members: bytes) -> str:
+    return "[" + "".join(f"\\x{x:02X}" for x in members) + "]"
+
+
+def all_in(b: Column, members: bytes) -> Column:
+    """Whether every byte is one of the members."""
+    return F.decode(b, "ISO-8859-1").rlike(f"^(?s:{_class(members)})*$(?!\\n)")
+
+
+def any_in(b: Column, members: bytes) -> Column:
+    return F.decode(b, "ISO-8859-1").rlike(_class(members))
+
+
+def index_of_any(b: Column, members: bytes) -> Column:
+    """0-based place of the first byte that is one of the members, -1 if there is none."""
+    before = F.length(F.regexp_extract(F.decode(b, "ISO-8859-1"), f"^((?s:(?!{_class(members)}).)*)", 1))
+    return F.when(any_in(b, members), before).otherwise(F.lit(-1))
+
+
 def hex_text(b: Column) -> Column:
     return F.lower(F.hex(b))
 

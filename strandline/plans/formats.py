@@ -60,6 +60,90 @@ def byte_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT c_custkey, regexp_full_match(c_name, '[A-Za-z#]*') AS letters, regexp_full_match(c_name, '[A-Za-z#0-9]*') AS every, regexp_matches(c_name, '[789]') AS high,
+CASE WHEN regexp_matches(c_name, '[1-9]') THEN CAST(length(regexp_extract(c_name, '^[^1-9]*')) AS BIGINT) ELSE -1 END AS first FROM customer""")
+def byte_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All, any and first of the bytes that belong to a set."""
+    letters = bytes(range(65, 91)) + bytes(range(97, 123)) + b"#"
+    b = F.encode("c_name", "UTF-8")
+    return load(spark, sf_dir, "customer").select(
+        "c_custkey", B.all_in(b, letters).alias("letters"), B.all_in(b, letters + b"0123456789").alias("every"), B.any_in(b, b"789").alias("high"), B.index_of_any(b, b"123456789").cast("long").alias("first")
+    )
+
+
+@query("SELECT count(*) AS rows, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents")
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and bytes that a scan has passed on, seen while it is written elsewhere."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    docs = _docs(spark, sf_dir).observe(seen, F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes"))
+    docs.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["bytes"])], "rows long, bytes long")
+
+
+@query("""SELECT n_nationkey, sha1(CAST(n_nationkey + p AS VARCHAR)) AS parent_id, CASE WHEN p = 2 AND n_nationkey % 3 = 0 THEN 'v' || n_name END AS tag FROM nation, (VALUES (1), (2)) v(p)""")
+def merge_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents of merges, each beside the tag that was merged, if one was."""
+    from ..sources.formats import commit_row
+
+    def bodies(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for k, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                ids = [hashlib.sha1(str(k + p).encode()).hexdigest() for p in (1, 2)]
+                tag = f"mergetag object {ids[1]}\n type commit\n tag v{name}\n tagger T <t@e> 1 +0000\n \n words\n" if k % 3 == 0 else ""
+                row = commit_row(f"tree {'0' * 40}\nparent {ids[0]}\nparent {ids[1]}\nauthor A <a@b> 1 +0000\ncommitter A <a@b> 1 +0000\n{tag}\nmerge\n".encode())
+                out += [(k, p, t) for p, t in zip(row["parent_ids"], row["merge_tags"], strict=True)]
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string()), strict=True)], names=["n_nationkey", "parent_id", "tag"])
+
+    return load(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInArrow(bodies, "n_nationkey int, parent_id string, tag string")
+
+
+@query("SELECT n_nationkey, 'f' || n_nationkey AS name, CAST(1000000000 + n_nationkey AS BIGINT) AS time, n_name AS content, sha1(n_name) AS digest FROM nation")
+def opened_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages sealed with a pass phrase: file name, file time and content."""
+    import hashlib
+    import zlib
+
+    from ..functions.secrets import decrypt
+
+    def packet(tag: int, body: bytes) -> bytes:
+        return bytes([0xC0 | tag, 255]) + struct.pack(">I", len(body)) + body
+
+    def seal(name: bytes, k: int) -> bytes:
+        key = C.derive_key(name, 16, "sha256", b"saltsalt", 1024)
+        file = f"f{k}".encode()
+        inner = packet(11, b"b" + bytes([len(file)]) + file + struct.pack(">I", 1000000000 + k) + name)
+        inner = packet(8, b"\2" + zlib.compress(inner)) if k % 2 else inner
+        plain = bytes(range(16)) + bytes([14, 15]) + inner + b"\xd3\x14"
+        plain += hashlib.sha1(plain).digest()
+        aes, last, out = C.Aes(key), b"\0" * 16, b""
+        for i in range(0, len(plain), 16):
+            last = C._xor(plain[i : i + 16], aes.encrypt(last))
+            out += last
+        return packet(3, bytes([4, 7, 3, 8]) + b"saltsalt" + bytes([0])) + packet(18, b"\1" + out)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for k, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                got = decrypt(seal(name.encode(), k), name.encode())
+                rows.append((k, got["name"], got["time"], got["data"].decode()))
+            cols = list(zip(*rows, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int64(), pa.string()), strict=True)], names=["n_nationkey", "name", "time", "content"])
+
+    rows = load(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInArrow(run, "n_nationkey int, name string, time long, content string")
+    return rows.select("*", F.sha1(F.encode("content", "UTF-8")).alias("digest"))
+
+
 _ENTRY32 = "list_reduce([i::BIGINT] || range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
 _ENTRY24 = "list_reduce([(i << 16)::BIGINT] || range(8), lambda a, k: CASE WHEN (a << 1) & 16777216 <> 0 THEN xor(a << 1, 25578747) ELSE a << 1 END)"
 
