@@ -28,9 +28,12 @@ from pyspark.sql import types as T
 
 from .common import MIX1, add_columns, mix64, powers, slices, table
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: The vocabulary file, unless the setting names another one.
+MODEL, MODEL_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.strandline.pieceModel"
 #: Words whose ids a process keeps; the table starts afresh when it is full.
 KEPT_WORDS = 700_000
+#: Pairs of pieces whose merge a process remembers.
+KEPT_PAIRS = 1_000_000
 PAIR_BITS = 20
 MARK = "▁"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -140,6 +143,8 @@ class Pieces:
         known = self.pairs.get(key)
         if known is None:
             a, b = self.text[key // self.n], self.text[key % self.n]
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
             known = self.pairs[key] = self.merge(a + b) == [a, b]
         return known
 
@@ -285,7 +290,7 @@ def read_model(path: str = MODEL) -> bytes:
 
 def encode(docs: DataFrame, model: bytes | None = None, keep: list[str] | None = None, verify: bool = True) -> DataFrame:
     """``docs`` (or its columns ``keep``) with n_tokens, ids and, where ``verify``, round_trip: whether the ids decode to the text."""
-    proto = docs.sparkSession.sparkContext.broadcast(model or read_model())  # the vocabulary file; its size is fixed
+    proto = docs.sparkSession.sparkContext.broadcast(model or read_model(docs.sparkSession.conf.get(MODEL_SETTING, MODEL)))  # the vocabulary file; its size is fixed
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
     new += [T.StructField("round_trip", T.BooleanType())] * verify
     names = [c for c in (docs.columns if keep is None else keep) if c not in {f.name for f in new}]
@@ -308,7 +313,7 @@ def encode(docs: DataFrame, model: bytes | None = None, keep: list[str] | None =
 
 def decode(encoded: DataFrame, model: bytes | None = None, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids."""
-    proto = encoded.sparkSession.sparkContext.broadcast(model or read_model())
+    proto = encoded.sparkSession.sparkContext.broadcast(model or read_model(encoded.sparkSession.conf.get(MODEL_SETTING, MODEL)))
     schema = T.StructType([f for f in encoded.schema if f.name != name] + [T.StructField(name, T.StringType())])
 
     def run(batches):
